@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, media, packing
 from .arrow import read
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_digest(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary, capacity=2048, end_id=0)
@@ -21,7 +25,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op5_best_fit_packing, op9_bpe_round_trip)
+    own = (op4_media_columns, op5_best_fit_packing, op9_bpe_round_trip)
     return {f.__name__: f for f in own}
 
 
