@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing
+from . import bpe, compression, media, packing, simhash
 from .arrow import read
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_rules(read(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_digest(read(spark, sf_dir, "documents"))
 
@@ -24,8 +28,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), radius=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_media_columns, op5_best_fit_packing, op9_bpe_round_trip)
+    own = (op3_compression_bands, op4_media_columns, op5_best_fit_packing, op9_bpe_round_trip, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
