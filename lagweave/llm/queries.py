@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, media, packing, simhash
+from . import bpe, compression, media, packing, secrets, simhash
 from .arrow import read
 
 
+def op1_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_compression_bands, op4_media_columns, op5_best_fit_packing, op9_bpe_round_trip, op10_simhash_near_duplicates)
+    own = (op1_secret_randomness, op3_compression_bands, op4_media_columns, op5_best_fit_packing, op9_bpe_round_trip, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
