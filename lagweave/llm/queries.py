@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, media, packing, quality, secrets, simhash
+from . import bpe, compression, langid, media, packing, quality, secrets, simhash
 from .arrow import read
 
 
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary, capacity=2048, end_id=0)
 
 
+def op6_language_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_randomness, op3_compression_bands, op4_media_columns, op5_best_fit_packing, op8_quality_attention, op9_bpe_round_trip, op10_simhash_near_duplicates)
+    own = (op1_secret_randomness, op3_compression_bands, op4_media_columns, op5_best_fit_packing, op6_language_chain, op8_quality_attention, op9_bpe_round_trip, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
