@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,19 @@ def map_texts(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keeps: Callable[[pa.Array], np.ndarray], text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose texts ``keeps`` is true for. One pass without a shuffle."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ragged.slices(batch, at):
+                yield part.filter(pa.array(keeps(part.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

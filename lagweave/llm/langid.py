@@ -168,6 +168,18 @@ class ChainModel:
         totals = np.stack([ragged.sums(gamma[:, j] * real, first) for j in range(k)], 1)
         return totals / np.maximum(counts, 1)[:, None], counts
 
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Each text's language and its share of the words; ``und`` and 0 without a letter."""
+        buf, offsets = ragged.text_bytes(texts)
+        shares, counts = self.documents(buf, offsets)
+        at, code = pretokens.characters(buf)
+        letters = ragged.bounds(pretokens.class_table()[code] == pretokens.LETTER)
+        edge = np.searchsorted(at, offsets)
+        known = (letters[edge[1:]] > letters[edge[:-1]]) & bool(self.languages)
+        best = shares.argmax(1) if self.languages else np.zeros(len(counts), int)
+        names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())]
+        return names, np.where(known, np.clip(shares.max(1, initial=0.0), 0, 1), 0.0)
+
 
 class _Adam:
     def __init__(self, rate: float):
@@ -271,22 +283,24 @@ def label_documents(docs: DataFrame, model: ChainModel, keep: list[str], text_co
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)] + ["lang_pred string", "score double"])
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offsets = ragged.text_bytes(batch.column(len(fields)))
-        shares, counts = model.documents(buf, offsets)
-        at, code = pretokens.characters(buf)
-        letters = ragged.bounds(pretokens.class_table()[code] == pretokens.LETTER)
-        edge = np.searchsorted(at, offsets)
-        known = (letters[edge[1:]] > letters[edge[:-1]]) & bool(model.languages)
-        best = shares.argmax(1) if shares.shape[1] else np.zeros(len(counts), int)
-        names_of = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())]
-        score = np.where(known, shares.max(1, initial=0.0), 0.0)
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names_of, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, "lang_pred", "score"])
+        languages, score = model.predict(batch.column(len(fields)))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(languages, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
     found = arrow.map_texts(docs, label, schema, [*columns, F.col(text_column).alias("text")])
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, model: ChainModel, least: float = 0.35, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which some language holds at least that share of the words; undetermined ones go."""
+
+    def keeps(texts: pa.Array) -> np.ndarray:
+        languages, score = model.predict(texts)
+        return (np.array(languages, object) != UNDETERMINED) & (score >= least)
+
+    return arrow.filter_texts(docs, keeps, text_column)
+
+
 def document_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, by a model that never saw the held-out fold."""
     found = label_documents(docs, learn(docs), ["doc_id"])

@@ -198,6 +198,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(*sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows))
 
 
+def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts score the threshold or more."""
+    return arrow.filter_texts(docs, lambda texts: model.score(*passage_features(*ragged.text_bytes(texts))) >= threshold, text_column)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, by a model that never saw the held-out fold."""
     scored = score_documents(docs, learn(docs, labels), ["doc_id"])

@@ -23,9 +23,9 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold at most ``limit`` bytes (or one row)."""
-    sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(column)))[1])
+    sizes = np.diff(text_bytes(batch.column(column))[1])
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

@@ -236,7 +236,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket: int = BUCKET
 
 
 def group_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of (doc_id, fp): the smallest doc_id reachable by links.
+    """(fp, group, component_id) of every distinct fingerprint of (doc_id, fp): its group's smallest fingerprint, and the smallest doc_id reachable by links.
 
     Null ids count in no minimum; a component without any other has a null id.
     """
@@ -244,7 +244,7 @@ def group_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     roots = components.components(fingerprint_links(distinct.select("fp"), radius))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(whole, "root").select("fp", "component_id")
+    return named.join(whole, "root").select("fp", F.col("root").alias("group"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -255,4 +255,41 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_column: str = "doc_id",
     """
     prints = storage.settle(fingerprints(docs, id_column, text_column))
     groups = group_fingerprints(prints, radius)
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(groups.drop("group"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_each(docs: DataFrame, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
+
+    Of rows that share that id the one with the smallest fingerprint stays, and of equal
+    ones a single one. A null id counts as the largest. Texts move once, in the last join.
+    """
+    prints = storage.settle(fingerprints(docs, id_column, text_column))
+    groups = group_fingerprints(prints, radius)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    firsts = prints.join(groups.select("fp", "group"), "fp").groupBy("group").agg(F.min(rank).alias("x")).select("x.doc_id", "x.fp")
+    repeats = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    chosen = firsts.join(repeats, F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    repeated = F.col("again").isNotNull() | F.col("doc_id").isNull()
+    chosen = storage.settle(chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), repeated.alias("_repeated")))
+    mine = F.col(f"`{id_column}`").cast("long")
+    once = docs.join(chosen.where("not _repeated").select("_id"), mine == F.col("_id"), "left_semi")
+    some = chosen.where("_repeated")
+    if some.isEmpty():
+        return once
+    # ids that occur on several rows: their rows are told apart by fingerprint, and equal ones are merged
+    several = docs.join(some.select("_id").distinct(), mine.eqNullSafe(F.col("_id")), "left_semi")
+    width = len(docs.columns)
+    names = [f"_c{i}" for i in range(width)]
+    at = docs.columns.index(text_column)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)) + ", _fp long"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = fingerprint_texts(*ragged.text_bytes(batch.column(at)))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(prints.view(np.int64))], [*names, "_fp"])
+
+    marked = arrow.map_texts(several, run, schema, [*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(f"`{text_column}`").alias("text")])
+    key = names[docs.columns.index(id_column)]
+    marked = marked.join(some, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi")
+    merged = marked.groupBy(F.col(key).alias("_key"), "_fp").agg(*[F.first(n).alias(n) for n in names])
+    return once.unionByName(merged.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)]))
