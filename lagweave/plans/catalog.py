@@ -22,6 +22,11 @@ LOGS = DECLARED | {s: "log_diff" for s in ("volume", "quantity", "lines", "order
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    """The base panels for queries that read them many times: small next to the tables they are summed from."""
+    return panels.panel(spark, d).persist()
+
+
 def _relations(frame: DataFrame, *more: str) -> DataFrame:
     return frame.select("series_id", "source", "target", *more, "lag", out("weight").alias("weight"), out("score").alias("score"), "sample_count")
 
@@ -120,7 +125,7 @@ def budget_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resource_profile(spark: SparkSession, d: str) -> DataFrame:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     rows = frame.where(F.col("signal") == TARGET).groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
     return selection.resource_profile(relations.relations(frame, LAGS), selection.tiers(spark), LAGS, rows).withColumn("threshold", out("threshold"))
 
@@ -130,7 +135,7 @@ def trust_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated_mixture(spark: SparkSession, d: str) -> DataFrame:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     gates = selection.trust_gates(relations.relations(frame, LAGS, TARGET))
     return selection.gated_mixture(frame, gates).select("series_id", "target", "t", out("mixture", 3).alias("mixture"))
 
@@ -158,7 +163,7 @@ def bh_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     sources = models.top_sources(relations.relations(frame, LAGS, TARGET), TARGET, 2).withColumn("scale", F.lit(1.0))
     rows = models.features(frame, TARGET, sources, 2)
     return rows.select("series_id", "t", out("y", 4).alias("y"), *[out(F.element_at("x", i + 1), 4).alias(f"x{i}") for i in range(7)])
@@ -172,7 +177,7 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ar1_ols(spark: SparkSession, d: str) -> DataFrame:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     scaled = frame.withColumn("value", F.when(F.col("signal") == TARGET, F.col("value") / F.max("value").over(Window.partitionBy("series_id", "signal"))).otherwise(F.col("value")))
     none = frame.select("series_id").distinct().select("series_id", F.lit("ar1").alias("model"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("scale"))
     fitted = models.fit(models.features(scaled, TARGET, none, 1), None, 1)
@@ -199,7 +204,7 @@ def trajectory_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.lifecycle(relations.rolling_relations(panels.panel(spark, d), LAGS, WINDOW, TARGET))
+    return lifecycle.lifecycle(relations.rolling_relations(_held(spark, d), LAGS, WINDOW, TARGET))
 
 
 def relation_lifecycle(spark: SparkSession, d: str) -> DataFrame:
@@ -275,13 +280,13 @@ def prediction_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     found = sweep.budget_sweep(frame, TARGET, 2, 3, sweep.train_ends(frame, TARGET), selection.tiers(spark))
     return found.select("series_id", "budget", out("threshold").alias("threshold"), "retained", "admitted", "sources", "fit_status", "compute", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "delta_mae", "delta_rmse", "mae_loss_pct", "mae_vs_persistence_pct")])
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    frame = panels.panel(spark, d)
+    frame = _held(spark, d)
     train, check = sweep.train_ends(frame, TARGET, 2), sweep.train_ends(frame, TARGET, 5)
     return frame, sweep.validation_search(frame, TARGET, [1, 2], [0.1, 0.3], [1, 2], train, check.withColumnRenamed("train_end", "validation_end"))
 
