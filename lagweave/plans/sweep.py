@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import evaluation, models, relations, selection
+from .settle import settle
 
 
 def split_rows(panel: DataFrame, target: str, lags: int, train_end: DataFrame) -> DataFrame:
@@ -25,9 +26,9 @@ def train_ends(panel: DataFrame, target: str, share: int = 5) -> DataFrame:
 
 
 def training_relations(panel: DataFrame, target: str, lags: int, train_end: DataFrame) -> DataFrame:
-    """Held, as several steps read it: a few rows a series, next to the panel they are summed from."""
+    """Settled, as several steps read it: a few rows a series, next to the panel they are summed from."""
     past = panel.join(train_end, "series_id").where("t <= train_end").drop("train_end")
-    return relations.relations(past, lags, target).persist()
+    return settle(relations.relations(past, lags, target))
 
 
 def budget_sweep(panel: DataFrame, target: str, lags: int, cap: int, train_end: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -36,15 +37,15 @@ def budget_sweep(panel: DataFrame, target: str, lags: int, cap: int, train_end:
     Models are fixed on training rows. A tier without a model has NULL errors, never the
     baseline's. Losses are relative to the full budget.
     """
-    labels = split_rows(panel, target, lags, train_end)
+    labels = settle(split_rows(panel, target, lags, train_end))
     found = training_relations(panel, target, lags, train_end)
     kept = selection.retain(found, budgets).withColumn("model", F.format_string("%.2f", "budget"))
     admitted = kept.where(F.col("rank") <= cap)
-    sources = admitted.select("series_id", "model", "source", "rank", F.col("weight").alias("scale")).persist()
+    sources = settle(admitted.select("series_id", "model", "source", "rank", F.col("weight").alias("scale")))
     rows = models.features(panel, target, sources, lags)
     train = labels.where("is_train").select("series_id", "t")
     pairs = models.proportional_pairs(panel, sources, lags, train)
-    fitted = models.fit(rows.join(train, ["series_id", "t"], "left_semi"), pairs, lags).persist()
+    fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), pairs, lags))
     test = labels.where("not is_train")
     predicted = models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null")
     scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), F.col("predicted")).alias("delta_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("delta_rmse"))
@@ -73,15 +74,15 @@ def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresh
     ends = validation_end.withColumnRenamed("validation_end", "_end")
     out = None
     for lags in lag_grid:
-        labels = split_rows(panel, target, lags, train_end).join(ends, "series_id").where("t <= _end").drop("_end")
+        labels = settle(split_rows(panel, target, lags, train_end).join(ends, "series_id").where("t <= _end").drop("_end"))
         found = relations.ranked(training_relations(panel, target, lags, train_end))
         cells = found.crossJoin(F.broadcast(grid)).where("score > threshold and rank <= cap")
         lists = cells.groupBy("series_id", "threshold", "cap").agg(F.max("rank").alias("k"))
         # a cell admits the best k sources: models differ by k alone
-        sources = found.join(lists.select("series_id", "k").distinct(), "series_id").where("rank <= k").select("series_id", F.col("k").cast("string").alias("model"), "source", "rank", F.col("weight").alias("scale")).persist()
+        sources = settle(found.join(lists.select("series_id", "k").distinct(), "series_id").where("rank <= k").select("series_id", F.col("k").cast("string").alias("model"), "source", "rank", F.col("weight").alias("scale")))
         rows = models.features(panel, target, sources, lags)
         train = labels.where("is_train").select("series_id", "t")
-        fitted = models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(panel, sources, lags, train), lags).persist()
+        fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(panel, sources, lags, train), lags))
         held = labels.where("not is_train")
         predicted = models.predict(rows, fitted).join(held.select("series_id", "t", "persistence"), ["series_id", "t"])
         scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), F.coalesce("predicted", "persistence")).alias("mae"))
@@ -89,14 +90,14 @@ def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresh
         part = base.crossJoin(F.broadcast(grid)).join(lists, ["series_id", "threshold", "cap"], "left").withColumn("model", F.col("k").cast("string")).join(scored, ["series_id", "model"], "left")
         part = part.select("series_id", F.lit(lags).alias("lag_window"), "threshold", "cap", F.coalesce("k", F.lit(0)).cast("long").alias("n_sources"), F.coalesce("mae", "persistence_mae").alias("validation_mae"), "persistence_mae")
         out = part if out is None else out.unionByName(part)
-    return out.persist()
+    return settle(out)
 
 
 def select_cell(grid: DataFrame) -> DataFrame:
     """The best cell of each series: least error, fewest sources, highest threshold, smallest lag and cap; baseline_only if it doesn't beat persistence."""
     key = F.struct(F.round("validation_mae", stats.TIE_DIGITS).alias("e"), "n_sources", (-F.col("threshold")).alias("h"), "lag_window", "cap")
     best = grid.groupBy("series_id").agg(F.min_by(F.struct("lag_window", "threshold", "cap", "n_sources", "validation_mae", "persistence_mae"), key).alias("b")).select("series_id", "b.*")
-    return best.persist().withColumn("mode", F.when(F.col("validation_mae") >= F.col("persistence_mae"), "baseline_only").otherwise("delta"))
+    return settle(best).withColumn("mode", F.when(F.col("validation_mae") >= F.col("persistence_mae"), "baseline_only").otherwise("delta"))
 
 
 def frozen_test(panel: DataFrame, target: str, cells: DataFrame, refit_end: DataFrame, lag_grid: list[int]) -> DataFrame:
@@ -108,12 +109,12 @@ def frozen_test(panel: DataFrame, target: str, cells: DataFrame, refit_end: Data
     for lags in lag_grid:
         own = cells.where(F.col("lag_window") == lags)
         part = panel.join(own.select("series_id"), "series_id", "left_semi")
-        labels = split_rows(part, target, lags, refit_end)
+        labels = settle(split_rows(part, target, lags, refit_end))
         found = relations.ranked(training_relations(part, target, lags, refit_end)).join(own.where("mode = 'delta'").select("series_id", "threshold", "cap"), "series_id")
-        sources = found.where("score > threshold and rank <= cap").select("series_id", F.lit("frozen").alias("model"), "source", "rank", F.col("weight").alias("scale")).persist()
+        sources = settle(found.where("score > threshold and rank <= cap").select("series_id", F.lit("frozen").alias("model"), "source", "rank", F.col("weight").alias("scale")))
         rows = models.features(part, target, sources, lags)
         train, test = labels.where("is_train").select("series_id", "t"), labels.where("not is_train")
-        fitted = models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(part, sources, lags, train), lags).persist()
+        fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(part, sources, lags, train), lags))
         predicted = models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null")
         scored = predicted.groupBy("series_id").agg(stats.mae(F.col("y"), F.col("predicted")).alias("delta_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("delta_rmse"))
         base = evaluation.errors(test, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("test_rows"))
