@@ -82,4 +82,4 @@ def out(x: Column | str, digits: int = 10) -> Column:
 @F.pandas_udf(StringType())
 def fixed10(x: pd.Series) -> pd.Series:
     """A figure with ten decimals, rounded from its exact binary value (the JVM formats the shortest decimal instead)."""
-    return x.map(lambda v: f"{v:.10f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.10f}" for v in x], dtype=object)
