@@ -282,7 +282,7 @@ def prediction_confidence(spark: SparkSession, d: str) -> DataFrame:
 def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
     frame = _held(spark, d)
     found = sweep.budget_sweep(frame, TARGET, 2, 3, sweep.train_ends(frame, TARGET), selection.tiers(spark))
-    return found.select("series_id", "budget", out("threshold").alias("threshold"), "retained", "admitted", "sources", "fit_status", "compute", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "delta_mae", "delta_rmse", "mae_loss_pct", "mae_vs_persistence_pct")])
+    return found.select("series_id", "budget", out("threshold").alias("threshold"), "retained", "admitted", "sources", "fit_status", "compute", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse", "mae_loss_pct", "mae_vs_persistence_pct")])
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -298,7 +298,7 @@ def validation_search(spark: SparkSession, d: str) -> DataFrame:
 def frozen_test(spark: SparkSession, d: str) -> DataFrame:
     frame, grid = _search(spark, d)
     found = sweep.frozen_test(frame, TARGET, sweep.select_cell(grid), sweep.train_ends(frame, TARGET, 5), [1, 2])
-    return found.select("series_id", "mode", "lag_window", "threshold", "cap", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "delta_mae", "delta_rmse")])
+    return found.select("series_id", "mode", "lag_window", "threshold", "cap", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse")])
 
 
 QUERIES: tuple[Query, ...] = (

@@ -12,7 +12,7 @@ from ..functions import stats
 from ..operators import evaluation, lifecycle, relations, selection, transforms
 from ..sources import cases, panel as panels, sinks
 
-SCHEMA_VERSION = "delta.report.v1"
+SCHEMA_VERSION = "report.v1"
 STATES = ("birth", "strengthening", "stable", "decaying", "dead")
 REASONS = {
     "selected": "passes every check",

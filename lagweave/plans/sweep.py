@@ -48,7 +48,7 @@ def budget_sweep(panel: DataFrame, target: str, lags: int, cap: int, train_end:
     fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), pairs, lags))
     test = labels.where("not is_train")
     predicted = models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null")
-    scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), F.col("predicted")).alias("delta_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("delta_rmse"))
+    scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), F.col("predicted")).alias("model_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("model_rmse"))
     base = evaluation.errors(test, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("test_rows"))
     n_train = labels.where("is_train").groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
     counts = kept.groupBy("series_id", "model").agg(F.count(F.lit(1)).alias("retained"), F.sum((F.col("rank") <= cap).cast("long")).alias("admitted"))
@@ -61,7 +61,7 @@ def budget_sweep(panel: DataFrame, target: str, lags: int, cap: int, train_end:
     # the full budget's figures, next to every tier's
     full = Window.partitionBy("series_id").orderBy(F.col("budget").desc())
     change = lambda v: (F.try_divide(F.col(v), F.nullif(F.first(v).over(full), F.lit(0.0))) - 1) * 100
-    return table.withColumns({"mae_loss_pct": change("delta_mae"), "mae_vs_persistence_pct": (F.try_divide("delta_mae", F.nullif("persistence_mae", F.lit(0.0))) - 1) * 100}).drop("rows")
+    return table.withColumns({"mae_loss_pct": change("model_mae"), "mae_vs_persistence_pct": (F.try_divide("model_mae", F.nullif("persistence_mae", F.lit(0.0))) - 1) * 100}).drop("rows")
 
 
 def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresholds: list[float], caps: list[int], train_end: DataFrame, validation_end: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def select_cell(grid: DataFrame) -> DataFrame:
     """The best cell of each series: least error, fewest sources, highest threshold, smallest lag and cap; baseline_only if it doesn't beat persistence."""
     key = F.struct(F.round("validation_mae", stats.TIE_DIGITS).alias("e"), "n_sources", (-F.col("threshold")).alias("h"), "lag_window", "cap")
     best = grid.groupBy("series_id").agg(F.min_by(F.struct("lag_window", "threshold", "cap", "n_sources", "validation_mae", "persistence_mae"), key).alias("b")).select("series_id", "b.*")
-    return settle(best).withColumn("mode", F.when(F.col("validation_mae") >= F.col("persistence_mae"), "baseline_only").otherwise("delta"))
+    return settle(best).withColumn("mode", F.when(F.col("validation_mae") >= F.col("persistence_mae"), "baseline_only").otherwise("model"))
 
 
 def frozen_test(panel: DataFrame, target: str, cells: DataFrame, refit_end: DataFrame, lag_grid: list[int]) -> DataFrame:
@@ -110,13 +110,13 @@ def frozen_test(panel: DataFrame, target: str, cells: DataFrame, refit_end: Data
         own = cells.where(F.col("lag_window") == lags)
         part = panel.join(own.select("series_id"), "series_id", "left_semi")
         labels = settle(split_rows(part, target, lags, refit_end))
-        found = relations.ranked(training_relations(part, target, lags, refit_end)).join(own.where("mode = 'delta'").select("series_id", "threshold", "cap"), "series_id")
+        found = relations.ranked(training_relations(part, target, lags, refit_end)).join(own.where("mode = 'model'").select("series_id", "threshold", "cap"), "series_id")
         sources = settle(found.where("score > threshold and rank <= cap").select("series_id", F.lit("frozen").alias("model"), "source", "rank", F.col("weight").alias("scale")))
         rows = models.features(part, target, sources, lags)
         train, test = labels.where("is_train").select("series_id", "t"), labels.where("not is_train")
         fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(part, sources, lags, train), lags))
         predicted = models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null")
-        scored = predicted.groupBy("series_id").agg(stats.mae(F.col("y"), F.col("predicted")).alias("delta_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("delta_rmse"))
+        scored = predicted.groupBy("series_id").agg(stats.mae(F.col("y"), F.col("predicted")).alias("model_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("model_rmse"))
         base = evaluation.errors(test, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("test_rows"))
         rest = base.join(own.select("series_id", "mode", "lag_window", "threshold", "cap"), "series_id").join(scored, "series_id", "left")
         out = rest if out is None else out.unionByName(rest)

@@ -149,7 +149,7 @@ def load_selection(path: str) -> FrozenSelection:
     chosen = FrozenSelection(**{f.name: given[f.name] for f in fields(FrozenSelection) if f.name in given})
     if given.get("test_evaluated") is not False:
         raise CaseError("already_evaluated", "the selection's test was evaluated before", "test_evaluated")
-    if chosen.mode not in ("baseline_only", "delta"):
+    if chosen.mode not in ("baseline_only", "model"):
         raise CaseError("invalid_config", "unknown mode", "mode")
     return chosen
 

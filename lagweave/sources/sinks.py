@@ -39,7 +39,7 @@ def markdown(table: DataFrame, title: str, limit: int = 1000) -> str:
 
 def write_selection(path: str, cell: dict) -> None:
     """A frozen selection, for a test that is still to come; baseline_only where validation doesn't beat persistence."""
-    mode = "baseline_only" if cell["validation_mae"] >= cell["persistence_mae"] else "delta"
+    mode = "baseline_only" if cell["validation_mae"] >= cell["persistence_mae"] else "model"
     Path(path).write_text(json.dumps(cell | {"mode": mode, "test_evaluated": False}, indent=2, sort_keys=True) + "\n", encoding="utf-8")
 
 

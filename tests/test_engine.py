@@ -184,10 +184,10 @@ def test_sweep_does_not_see_the_future(spark):
     again = {r.budget: r for r in sweep.budget_sweep(changed, "target", 2, 2, ends, budgets).collect()}
     assert len(rows) == 5 and all((r.sources, r.fit_status) == (again[r.budget].sources, again[r.budget].fit_status) for r in rows)
     by = {r.budget: r for r in rows}
-    assert by[1.0].mae_loss_pct == 0 and by[1.0].delta_mae < by[1.0].persistence_mae
+    assert by[1.0].mae_loss_pct == 0 and by[1.0].model_mae < by[1.0].persistence_mae
     kept = [by[b].retained for b in selection.TIERS]
     assert kept == sorted(kept, reverse=True)
-    assert all((r.delta_mae is None) == (r.admitted == 0) for r in rows)
+    assert all((r.model_mae is None) == (r.admitted == 0) for r in rows)
 
 
 def case_files(folder, gap=False):
@@ -263,7 +263,7 @@ def test_search_and_frozen_test(spark, tmp_path):
     assert len(cells) == 8 and all(near(c.validation_mae, c.persistence_mae) for c in cells if c.n_sources == 0)
     best = sweep.select_cell(grid)
     r = sweep.frozen_test(frame, "y", best, end("train_end", "2013-06"), [1, 2]).first()
-    assert r.test_rows == 18 and (r.mode == "delta") == (r.delta_mae is not None)
+    assert r.test_rows == 18 and (r.mode == "model") == (r.model_mae is not None)
     sinks.write_selection(str(tmp_path / "s.json"), best.first().asDict() | {"max_selected_signals": 1})
     assert cases.load_selection(str(tmp_path / "s.json")).mode == best.first().mode
 
