@@ -23,8 +23,8 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one_each(docs, radius=3)
+    """One document of each group of near copies (five-word shingles alike to 0.8 or more) stays."""
+    return simhash.keep_one_each(docs, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
