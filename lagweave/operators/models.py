@@ -85,7 +85,27 @@ def fit(rows: DataFrame, pairs: DataFrame | None = None, lags: int = 1, with_tar
     they fit the whole feature vector. With no source left the status is
     baseline_only_no_stable_signal, and the coefficients are NULL.
     """
-    table = gram(rows).select(*MODEL, "i", "j", "value")
+    return fit_sums(gram(rows), pairs, lags, with_target)
+
+
+def running_gram(rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """Cross-products of all ``features`` rows before each of the origins (series_id, t), as ``gram`` gives them.
+
+    Sums run along t once, so k origins cost no more passes than one. Models are called
+    ``model@t``; an origin needs features of its own.
+    """
+    own = origins.select("series_id", "t").distinct()
+    wide = rows.select(*MODEL, "t", "x", "y", F.posexplode("x").alias("i", "xi"))
+    cells = wide.select(*MODEL, "t", "i", F.posexplode(F.concat("x", F.array("y"))).alias("j", "xj"), "xi", F.size("x").alias("p"))
+    cells = cells.withColumn("j", F.when(F.col("j") == F.col("p"), -1).otherwise(F.col("j")))
+    before = Window.partitionBy(*MODEL, "i", "j").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.select(*MODEL, "t", "i", "j", F.sum(F.col("xi") * F.col("xj")).over(before).alias("value"), F.count(F.lit(1)).over(before).alias("n"))
+    return sums.where("n > 0").join(own, ["series_id", "t"], "left_semi").select("series_id", F.concat("model", F.lit("@"), "t").alias("model"), "i", "j", "value", "n")
+
+
+def fit_sums(sums: DataFrame, pairs: DataFrame | None = None, lags: int = 1, with_target: bool = True) -> DataFrame:
+    """``fit`` from the cross-products of ``gram`` or ``running_gram``."""
+    table = sums.select(*MODEL, "i", "j", "value")
     if pairs is not None:  # as entries below -1
         table = table.unionByName(pairs.select(*MODEL, F.col("low").cast("int").alias("i"), (-1 - F.col("high")).cast("int").alias("j"), F.lit(0.0).alias("value")))
     shift = 1 if with_target else 0

@@ -6,12 +6,13 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions import stats
 from lagweave.operators import evaluation, lifecycle, models, relations, selection, transforms
-from lagweave.plans import predictors, report, sweep
+from lagweave.plans import power, predictors, report, sweep, views
 from lagweave.sources import cases, fixtures, panel, sinks
 from lagweave.streaming import panels as streams
 
@@ -239,6 +240,63 @@ def test_reports(spark, tmp_path):
     assert report.analyze_payload(spark, {k: v for k, v in upload.items() if k != "target"})[0] == 422
 
 
+def test_views(spark, tmp_path):
+    path, _ = case_files(tmp_path)
+    request = {"case_path": path, "transform_declarations": {"y": "diff", "a": "diff", "b": "none"}}
+    status, found = report.analyze_payload(spark, request)
+    assert views.view_of(status, found) == "report" and views.view_of(200, found | {"outcome": "baseline_only"}) == "baseline"
+    assert views.view_of(200, found | {"schema_version": "other"}) == views.view_of(200, "text") == views.view_of(422, found) == "malformed"
+    assert views.view_of(None, None, "timeout") == "timeout" and views.view_of(500, {}) == "failure"
+    assert views.report_context(found)["target"] == "y" and views.decision(found)["sources"] == ["a"] and views.confidence(found)["confidence"] is None
+    assert [r["source"] for r in views.relation_rows(found) if r["selected"]] == ["a"] and not views.has_evaluation(found)
+    assert views.evaluation_interval({"evaluation": {"low": -0.1, "median": 0.2, "high": 0.4, "level": 0.9}})["high"] == 0.4
+    assert {r["signal"] for r in views.signal_rows(found)} == {"y", "a", "b"} and views.axis_summary(found)["continuous"] and views.may_analyze(found)
+    assert views.badge("dead")["label"] == "Gone" and views.badge("else")["tone"] == "neutral" and [s["state"] for s in views.state_steps("stable") if s["active"]] == ["stable"]
+    status, bad = report.analyze_payload(spark, request | {"transform_declarations": dict.fromkeys("yab", "none")})
+    assert views.view_of(status, bad) == "rejected" and views.error_fields(bad)["code"] == "persistent_level" and views.rejected_signals(bad) and not views.may_analyze(bad)
+    snapshot = report.snapshot_payload(spark, request)[1]
+    again = views.upload_of_snapshot(snapshot, {"target": "y", "candidate_signals": ["a", "b"], "transform_declarations": request["transform_declarations"], "train_end": "2013-12", "lag_window": 2})
+    assert report.snapshot_payload(spark, again)[1]["hash"] == snapshot["hash"] == views.snapshot_fields(snapshot)["hash"]
+
+
+def test_power_controls_are_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=60)
+    y = 10 + np.concatenate([[0, 0], 2 * x[:-2]]) + 0.3 * rng.normal(size=60)
+    panel = spark.createDataFrame([("s", 1000 + t, k, float(v[t])) for k, v in (("x", x), ("y", y)) for t in range(60)], "series_id string, t long, signal string, value double").persist()
+    sources = spark.createDataFrame([("s", "ols", "x", 1, 1.0)], "series_id string, model string, source string, rank int, scale double")
+    origins = spark.createDataFrame([("s", 1000 + t) for t in range(30, 60)], "series_id string, t long")
+
+    def skills(values):
+        at = lambda t: [1.0, values[t - 1], values[t - 2]]
+        out = []
+        for o in range(30, 60):
+            beta = np.linalg.lstsq(np.array([at(t) for t in range(2, o)]), y[2:o], rcond=None)[0]
+            out.append(1 - abs(y[o] - np.dot(at(o), beta)) / abs(y[o] - y[o - 1]))
+        return out
+
+    order, state = list(range(60)), power.SCRAMBLE_SEED
+    for i in range(59, 0, -1):
+        state = (1103515245 * state + 12345) % 2**31
+        order[i], order[state % (i + 1)] = order[state % (i + 1)], order[i]
+    noise, state = [], power.NOISE_SEED
+    for o in range(30, 60):
+        state = (1103515245 * state + 12345) % 2**31
+        usual = np.abs(np.diff(y[2:o])).mean()
+        noise.append(1 - abs(y[o] - y[o - 1] - (state / 2**31 - 0.5) * 2 * usual) / abs(y[o] - y[o - 1]))
+    got = {}
+    for r in power.controls(panel, "y", sources, 2, origins).orderBy("fold").collect():
+        got.setdefault(r.control, []).append(r.skill)
+    assert got["model"] == pytest.approx(skills(x)) and got["scrambled"] == pytest.approx(skills(x[order])) and got["degraded"] == pytest.approx(noise)
+    assert set(got["identity"]) == {0.0}
+    forecasts = power.origin_forecasts(panel, "y", sources, 2, origins, 1, False)
+    assert [r.skill for r in power.origin_skills(forecasts, panel, "y").orderBy("fold").collect()] == pytest.approx(skills(x))
+    beta = np.linalg.lstsq(np.array([[1.0, x[t - 1], x[t - 2]] for t in range(2, 50)]), y[2:50], rcond=None)[0]
+    wrong = np.abs(y[50:] - np.array([[1.0, x[t - 1], x[t - 2]] for t in range(50, 60)]) @ beta).mean()
+    r = power.block_skill(panel, "y", sources, 2, 1050, 1059, False).first()
+    assert r.n == 10 and r.skill == pytest.approx(1 - wrong / np.abs(np.diff(y[49:])).mean())
+
+
 def test_cubes(spark):
     doc = {"id": ["geo", "unit", "time"], "size": [2, 1, 3], "dimension": {"geo": {"category": {"index": {"AA": 0, "BB": 1}}}, "unit": {"category": {"index": {"U": 0}}}, "time": {"category": {"index": {"2020-01": 0, "2020-02": 1, "2020-03": 2}}}}}
     dense, sparse = doc | {"value": [1, 2, 3, 4, 5, 6]}, doc | {"value": {"3": 4.5, "4": 5.5, "5": 6.5}}
