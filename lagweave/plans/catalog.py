@@ -11,7 +11,7 @@ from ..functions import stats
 from ..functions.stats import out
 from ..operators import evaluation, lifecycle, models, relations, selection, transforms
 from ..sources import panel as panels
-from . import oracle, sweep
+from . import oracle, power, sweep
 
 TARGET = panels.TARGET
 #: Lags, rolling window, and the transforms declared for the signals of the base panels.
@@ -301,12 +301,31 @@ def frozen_test(spark: SparkSession, d: str) -> DataFrame:
     return found.select("series_id", "mode", "lag_window", "threshold", "cap", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse")])
 
 
+def origin_skill(spark: SparkSession, d: str) -> DataFrame:
+    """A predictor from a series' own last value, refitted at every origin; counts keep its cross-products exact."""
+    frame = panels.panel(spark, d).where("signal in ('lines', 'orders', 'users')").withColumn("signal", F.lit("count")).persist()
+    none = frame.select("series_id").distinct().select("series_id", F.lit("own").alias("model"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("scale"))
+    origins = evaluation.target_rows(frame, "count").where("idx > 12").select("series_id", "t")
+    found = power.origin_skills(power.origin_forecasts(frame, "count", none, 1, origins), frame, "count")
+    return found.select("series_id", "fold", "t", out("skill", 8).alias("skill"))
+
+
+def protocol_controls(spark: SparkSession, d: str) -> DataFrame:
+    """The predictor of order counts from finished orders at every origin, with the controls of its protocol."""
+    frame = panels.orders_panel(spark, d).where("signal in ('orders', 'finished')").persist()
+    sources = frame.select("series_id").distinct().select("series_id", F.lit("ols").alias("model"), F.lit("finished").alias("source"), F.lit(1).alias("rank"), F.lit(1.0).alias("scale"))
+    origins = evaluation.target_rows(frame, "orders").where("idx >= 26").select("series_id", "t")
+    found = power.controls(frame, "orders", sources, 2, origins)
+    return found.select("series_id", "control", "fold", "t", out("skill", 6).alias("skill"))
+
+
 QUERIES: tuple[Query, ...] = (
     panel_axis_audit, brand_complete_panel, brand_relations, missing_steps, series_digest, lagged_correlations, best_lag_ranking, diff_relations, log_diff_relations,
     acf_diagnostics, naive_forecasts, baseline_errors, baseline_summary, mase, directional_accuracy, worst_decile, change_space, budget_tiers, resource_profile,
     trust_gates, gated_mixture, fixed_threshold, precision_recall, noise_floor, bh_cutoff, lag_features, gram_matrix, ar1_ols, rolling_relations,
     rolling_diff_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
     fold_skill, bootstrap_skill, sign_flip_null, spearman, calibration_bins, input_support, prediction_confidence, budget_sweep, validation_search, frozen_test,
+    origin_skill, protocol_controls,
 )
 
 

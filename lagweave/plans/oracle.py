@@ -161,6 +161,9 @@ g AS (SELECT t, i, x[i + 1] AS xi, j, CASE WHEN j = -1 THEN y ELSE x[j + 1] END
 SELECT 'orders' AS series_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(sum(xi * xj) AS DOUBLE), 2) AS value, count(*) AS n FROM g GROUP BY ALL""",
     "ar1_ols": f"""WITH {PANEL}, v AS (SELECT series_id, value / max(value) OVER (PARTITION BY series_id) AS y, t FROM panel WHERE signal = 'volume'), p AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS x FROM v)
 SELECT series_id, 'fit' AS fit_status, {_out('regr_intercept(y, x)', 6, 'intercept')}, {_out('regr_slope(y, x)', 6, 'slope')} FROM p WHERE x IS NOT NULL GROUP BY 1""",
+    "origin_skill": f"""WITH {PANEL}, v AS (SELECT series_id, t, value AS y, lag(value) OVER w AS x, row_number() OVER w - 1 AS idx FROM panel WHERE signal IN ('lines', 'orders', 'users') WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+m AS (SELECT *, regr_intercept(y, x) OVER b + regr_slope(y, x) OVER b * x AS f FROM v WHERE x IS NOT NULL WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS INT) AS fold, t, {_out('1 - abs(y - f) / abs(y - x)', 8, 'skill')} FROM m WHERE idx > 12 AND isfinite(f) AND y <> x""",
     "rolling_relations": f"WITH {ROLLING} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "rolling_diff_relations": f"WITH {ROLLING_DIFF} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "expanding_relations": f"""WITH {PANEL}, {_pairs('panel', TO_TARGET)}, ends AS (SELECT series_id, min(t) AS first_t FROM panel GROUP BY 1),
