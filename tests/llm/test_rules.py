@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -43,6 +44,32 @@ def test_compression_bands_reject_repetition_and_noise():
     assert rows["kept"] == [True, False, False, False]
 
 
+def lines_with_noise(rng, size, share, block):
+    """Lines of invented words and of base64, dealt in blocks of lines, and in about that share of base64."""
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    out, n, blocks = [], 0, 0
+    while n < size:
+        blocks += 1
+        noisy = int(blocks * share + 1e-9) > int((blocks - 1) * share + 1e-9)
+        for _ in range(block):
+            out.append(base64.b64encode(rng.randbytes(57)).decode() if noisy else " ".join(rng.choices(vocabulary, k=12)))
+            n += len(out[-1]) + 1
+    return "\n".join(out)[:size]
+
+
+def test_compression_bands_reject_texts_mostly_of_base64():
+    rng = random.Random(6)
+    mixed = [lines_with_noise(rng, 100_000, share, block) for share in (0.5, 0.6, 0.7, 1) for block in (1, 80)]
+    short = [lines_with_noise(rng, size, 1, 1) for size in (1100, 2047, 2500, 4095, 4096)]
+    # the rest of a prose text is base64: the share counts bytes
+    rest = [lines_with_noise(rng, 4096, 0, 1) + lines_with_noise(rng, size, 1, 1) for size in (1000, 1900, 3000)]
+    clean = [lines_with_noise(rng, size, share, 1) for size, share in ((300, 0), (700, 0), (1500, 0), (5000, 0), (100_000, 0), (100_000, 0.1))]
+    rows = [*mixed, *short, *rest, *clean]
+    out = compression.measure(pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows}), compression.Bands()).to_pydict()
+    assert out["kept"] == [False] * (len(mixed) + len(short)) + [True, False, False] + [True] * len(clean)
+    assert out["bad_chunk_share"][-len(clean) - 3 : -len(clean)] == pytest.approx([1000 / 5096, 1900 / 5996, 3000 / 7096])
+
+
 def base_spans(text):
     text = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
