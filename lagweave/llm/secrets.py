@@ -10,7 +10,7 @@ method joins the three. Over the whole corpus, and apart for each length class,
 Benjamini-Hochberg procedure decides which runs are *not* random; short runs, on which the
 tests have little power, get a stricter rate. The runs left are reported as ``random``.
 
-The corpus enters through counts of p-values by class and bin only: a few hundred rows.
+The corpus enters through counts of p-values by class and cell only: some thousand rows at most.
 """
 
 from __future__ import annotations
@@ -36,7 +36,10 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 #: (least length, rate at which runs may be wrongly called structured), by length class.
 RATES = ((20, 0.25), (32, 0.10), (64, 0.05))
-BINS = 100
+#: Of random runs the share that may be called structured, however many structured ones there are: as p-values are uniform, a bound on the limit.
+MOST_LOST = 0.10
+#: Cells of p-values for each power of ten.
+CELLS = 32
 
 _BLOCK = 256
 
@@ -127,20 +130,31 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def random_limits(scanned: DataFrame) -> list[float]:
     """For each length class the p-value up to which runs count as structured (Benjamini-Hochberg over the corpus).
 
-    p-values are counted by bin; the largest bin edge p with p * n <= rate * (runs at or
-    below p) is the limit, and 0 where there is none.
+    The limit is exactly the largest p with p * n <= rate * (runs at or below p), and -1
+    where there is none, or ``MOST_LOST`` if that is less. p-values are counted in cells, on
+    a logarithmic scale; a cell that the limit may lie in is counted again in finer ones.
     """
-    runs = scanned.select(F.explode("_tested").alias("x")).select("x.class", F.least(F.ceil(F.col("x.p") * BINS), F.lit(BINS)).alias("bin"))
-    counts = runs.groupBy("class", "bin").count().collect()  # at most classes x bins rows
+    runs = scanned.select(F.explode("_tested").alias("x")).select("x.class", "x.p")
+    ends = [F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.lit(1)).alias("n")]
+    cell = F.floor(F.log10(F.greatest("p", F.lit(1e-300))) * CELLS)
+    counts = runs.groupBy("class", cell.alias("cell")).agg(*ends).collect()  # at most classes x 300 x CELLS rows
     limits = []
     for i, (_, rate) in enumerate(RATES):
-        own = sorted((r["bin"], r["count"]) for r in counts if r["class"] == i)
-        n, below, limit = sum(c for _, c in own), 0, 0.0
-        for edge, c in own:
-            below += c
-            if edge / BINS * n <= rate * below:
-                limit = edge / BINS
-        limits.append(limit)
+        cells = sorted((r["low"], r["high"], r["n"]) for r in counts if r["class"] == i)
+        n = below = sum(c for _, _, c in cells)
+        limit = -1.0
+        while cells:
+            low, high, c = cells.pop()
+            if high * n <= rate * below:
+                limit = high
+                break
+            if low < high and low * n <= rate * below:
+                finer = runs.where((F.col("class") == i) & F.col("p").between(low, high))
+                part = F.floor((F.col("p") - low) / (high - low) * 1000)
+                cells += sorted((r["low"], r["high"], r["n"]) for r in finer.groupBy(part.alias("cell")).agg(*ends).collect())
+            else:
+                below -= c
+        limits.append(min(limit, MOST_LOST))
     return limits
 
 

@@ -115,6 +115,26 @@ def test_random_runs_are_told_from_structured_ones(spark):
     assert f"random:{blob.index('kJ8')}:{blob.index(' and')}" in got[5].split(",")
 
 
+def limit_of(p, rate):
+    """Benjamini-Hochberg on the sorted values themselves."""
+    p = sorted(p)
+    return max([x for k, x in enumerate(p, 1) if x * len(p) <= rate * k], default=-1.0)
+
+
+def test_limits_are_those_of_the_exact_procedure(spark):
+    rng = random.Random(12)
+    mixes = [[10 ** -rng.uniform(3, 60) for _ in range(int(n * share))] + [rng.random() for _ in range(n - int(n * share))] for n, share in ((600, 0.05), (600, 0.1), (600, 0.0))]
+    mixes[2] += [0.0] * 3
+    want = [min(limit_of(p, rate), secrets.MOST_LOST) for p, (_, rate) in zip(mixes, secrets.RATES)]
+    rows = [([(i, x) for x in p[j::7]],) for i, p in enumerate(mixes) for j in range(7)]
+    frame = spark.createDataFrame(rows, "_tested array<struct<class: int, p: double>>")
+    assert secrets.random_limits(frame) == want
+    assert want[0] > 1e-3 and want[1] > 1e-3 and secrets.random_limits(frame.limit(0)) == [-1.0] * 3
+    # nearly all runs are structured: random ones beyond MOST_LOST stay reported
+    assert secrets.random_limits(spark.createDataFrame([([(0, 1e-9)] * 99 + [(0, 0.2)],)], frame.schema)) == [secrets.MOST_LOST, -1.0, -1.0]
+    assert secrets.random_limits(spark.createDataFrame([([(0, x / 1000) for x in range(150)],)], frame.schema))[0] == secrets.MOST_LOST
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS + [None, "", "clean text"])
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
