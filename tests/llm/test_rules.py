@@ -135,6 +135,20 @@ def test_limits_are_those_of_the_exact_procedure(spark):
     assert secrets.random_limits(spark.createDataFrame([([(0, x / 1000) for x in range(150)],)], frame.schema))[0] == secrets.MOST_LOST
 
 
+def test_random_keys_of_every_alphabet_are_reported(spark):
+    rng = random.Random(13)
+    lower, upper = secrets.LETTERS[26:], secrets.LETTERS[:26]
+    keys = [("".join(rng.choice(alphabet) for _ in range(n))) for alphabet in (lower + "0123456789", upper + "0123456789", lower, upper, lower + upper, "0123456789", secrets.BASE32.lower()) for n in (24, 32, 40, 70) for _ in range(10)]
+    keys.append("3ax6xnjp29jd6fds4gc373sgvjxteol0")
+    words = ["internationalization", "counterrevolutionaries", "electroencephalographically", "Donaudampfschifffahrtsgesellschaft", "getElementByIdentifierNumber", "usr/local/lib/python/dist-packages/numpy", "00000000000000000000000042", "ABABABABABABABABABABABAB"]
+    rows = [*[f"see {k} there" for k in keys], *[f"see {w} there" for w in words]]
+    got = [r.spans for r in secrets.secret_spans(documents(spark, rows)).where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
+    found = [s in (f"random:4:{4 + len(k)}", f"hex:4:{4 + len(k)}") for k, s in zip(keys, got)]  # digits alone are hex from 32 on
+    # a p-value up to the limit, 0.1 at most, is structured
+    assert found[-1] and all(sum(found[i : i + 40]) >= 30 for i in range(0, 280, 40))
+    assert [w for w, s in zip(words, got[len(keys) :]) if s] == []
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS + [None, "", "clean text"])
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
