@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -73,9 +73,9 @@ def lifecycle(trajectory: DataFrame, rules: LifecycleRules = LifecycleRules(), k
     return s.select(*keys, "latest.*", "points", "stability", "uncertainty", "recent_mean", "prior_mean", "slope", state.alias("state"))
 
 
-def detection_lags(trajectory: DataFrame, death_step: int, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
+def detection_lags(trajectory: DataFrame, death_step: int | Column, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
     """Steps from a relation's end until its state first is decaying, on prefixes of the trajectory; NULL if it never is."""
-    ends = trajectory.where(F.col("step") >= death_step).select(*keys, F.col("step").alias("prefix_end"))
+    ends = trajectory.where(F.col("step") >= death_step).select(*keys, F.col("step").alias("prefix_end"), (F.col("step") - death_step).alias("since"))
     prefixes = trajectory.join(ends, keys).where("step <= prefix_end")
-    states = lifecycle(prefixes, rules, [*keys, "prefix_end"])
-    return states.groupBy(*keys).agg((F.min(F.when(F.col("state") == "decaying", F.col("prefix_end"))) - death_step).alias("detection_lag"))
+    states = lifecycle(prefixes, rules, [*keys, "prefix_end", "since"])
+    return states.groupBy(*keys).agg(F.min(F.when(F.col("state") == "decaying", F.col("since"))).alias("detection_lag"))

@@ -12,6 +12,7 @@ from ..functions.stats import out
 from ..operators import evaluation, lifecycle, models, relations, selection, transforms
 from ..sources import panel as panels
 from . import oracle, power, sweep
+from .settle import settle
 
 TARGET = panels.TARGET
 #: Lags, rolling window, and the transforms declared for the signals of the base panels.
@@ -212,10 +213,10 @@ def relation_lifecycle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_detection(spark: SparkSession, d: str) -> DataFrame:
-    """For every edge the steps from step 23985 on (month or day index) until it is seen to decay; daily series lie before it."""
-    found = relations.rolling_relations(panels.panel(spark, d), LAGS, WINDOW, TARGET)
-    middle = 23985
-    return lifecycle.detection_lags(found.where("series_id = 'lineitem'"), middle)
+    """For every edge of every series the steps from the middle of the series' trajectory on until it is seen to decay."""
+    found = settle(relations.rolling_relations(panels.panel(spark, d), LAGS, WINDOW, TARGET))  # read three times
+    middle = found.groupBy("series_id").agg(F.floor((F.min("step") + F.max("step")) / 2).alias("middle"))
+    return lifecycle.detection_lags(found.join(middle, "series_id"), F.col("middle"))
 
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions import stats
 from lagweave.operators import evaluation, lifecycle, models, relations, selection, transforms
-from lagweave.plans import power, predictors, report, sweep, views
+from lagweave.plans import catalog, power, predictors, report, sweep, views
 from lagweave.sources import cases, fixtures, panel, sinks
 from lagweave.streaming import panels as streams
 
@@ -100,6 +100,25 @@ def test_published_gate_and_lifecycle(spark):
     assert {int(r.series_id): r.detection_lag for r in lifecycle.detection_lags(timed, 120).collect()} == dict(enumerate((11, 15, 8, 14, 7, 9, 9, 25)))
 
 
+def test_detection_covers_every_series(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for name, first, n in (("early", 100, 46), ("late", 24000, 60)):
+        x = [rng.gauss(0, 1) for _ in range(n)]
+        y = [rng.gauss(0, 1) if t < 1 or t > n // 2 else x[t - 1] for t in range(n)]
+        rows += [(name, first + t, k, v) for k, vs in (("x", x), ("volume", y)) for t, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "series_id string, t long, signal string, value double")
+    monkeypatch.setattr(catalog.panels, "panel", lambda spark, d: frame)
+    steps = relations.rolling_relations(frame, catalog.LAGS, catalog.WINDOW, "volume").persist()
+    want = {}
+    for r in steps.groupBy("series_id").agg(F.min("step"), F.max("step")).collect():
+        middle = (r[1] + r[2]) // 2
+        decays = lambda end: lifecycle.lifecycle(steps.where((F.col("series_id") == r[0]) & (F.col("step") <= end))).first().state == "decaying"  # noqa: B023, E731
+        want[r[0]] = next((end - middle for end in range(middle, r[2] + 1) if decays(end)), None)
+    assert {r.series_id: r.detection_lag for r in catalog.relation_detection(spark, "").collect()} == want
+    assert set(want) == {"early", "late"} and None not in want.values()
+
+
 def test_noise_floor_and_gate(spark):
     for n, k, want in ((191, 1, 0.1420), (191, 6, 0.1896), (24, 1, 0.4034)):
         assert round(math.tanh(stats.critical_z(0.05, k) / math.sqrt(n - 3)), 4) == want
