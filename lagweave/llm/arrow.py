@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,70 @@ def map_texts(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def fold_texts(docs: DataFrame, start: Callable[[], object], add: Callable[[object, pa.Array], None], finish: Callable[[object], pa.RecordBatch | None], schema: str, text_column: str = "text") -> DataFrame:
+    """One state a partition: made by ``start``, changed by ``add`` for each slice of texts, given out once by ``finish``.
+
+    One pass without a shuffle, for sums of bounded size over texts of any number.
+    """
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for batch in batches:
+            for part in ragged.slices(batch, 0):
+                add(state, part.column(0))
+        out = finish(state)
+        if out is not None:
+            yield out
+
+    return docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(run, schema)
+
+
+def plain(frame: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The frame with its columns called c0, c1, ... by position, and the new name of an old one.
+
+    Steps that add columns of their own do so beside these, so that no name can clash or hold a dot.
+    """
+    names = {name: f"c{i}" for i, name in enumerate(frame.columns)}
+    return frame.toDF(*names.values()), names.__getitem__
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, bytes_of: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``keys``, cut only between runs of equal keys, in batches that reach about ``limit`` rows (or bytes of a column) where runs do.
+
+    Keys are integers without nulls.
+    """
+    pending: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pending.append(batch)
+        size += int(pc.sum(pc.binary_length(batch.column(bytes_of))).as_py() or 0) if bytes_of else batch.num_rows
+        if size < limit:
+            continue
+        whole = pa.Table.from_batches(pending).combine_chunks().to_batches()[0] if len(pending) > 1 else batch
+        change = changes(whole, keys)
+        cut = int(change[-1])
+        if cut:
+            yield whole.slice(0, cut)
+            whole = whole.slice(cut)
+        pending = [whole]
+        size = int(pc.sum(pc.binary_length(whole.column(bytes_of))).as_py() or 0) if bytes_of else whole.num_rows
+    if pending:
+        yield pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+
+
+def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The first row of each run of equal keys."""
+    first = np.zeros(batch.num_rows, bool)
+    first[:1] = True
+    for key in keys:
+        value = batch.column(key).to_numpy(zero_copy_only=False)
+        first[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(first)
+
+
 def filter_texts(docs: DataFrame, keeps: Callable[[pa.Array], np.ndarray], text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose texts ``keeps`` is true for. One pass without a shuffle."""
     bound_batches(docs.sparkSession)

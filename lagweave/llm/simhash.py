@@ -89,7 +89,7 @@ def _xxh64(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: np.uint
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # sums of counts stay exact
 
 
-def _shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words joined by spaces, starts and ends of all shingles there, each one's text, and their number a text."""
     buf = buf + np.where((buf >= 65) & (buf <= 90), 32, 0).astype(np.uint8)
     starts, ends, first = ragged.words(buf, offsets)
@@ -107,7 +107,7 @@ def _shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return joined, edge[word], edge[last] - 1, doc, counts
 
 
-def _majorities(hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majorities(hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The 64-bit number of each text whose bits are set in over half of its hashes."""
     out = np.zeros(len(counts), U64)
     for k in range(8):
@@ -120,8 +120,8 @@ def _majorities(hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.n
 
 def fingerprint_texts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The fingerprint of each text, as an unsigned 64-bit integer."""
-    joined, starts, ends, doc, counts = _shingles(buf, offsets, SHINGLE)
-    return _majorities(xxh64(joined, starts, ends), doc, counts)
+    joined, starts, ends, doc, counts = shingles(buf, offsets, SHINGLE)
+    return majorities(xxh64(joined, starts, ends), doc, counts)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -276,263 +276,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_column: str = "doc_id",
     prints = storage.settle(fingerprints(docs, id_column, text_column))
     groups = group_fingerprints(prints, lambda distinct: fingerprint_links(distinct, radius))
     return prints.join(groups.drop("group"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: 64-bit words of a wide fingerprint, and words in its shingles.
-WIDE, WIDE_SHINGLE = 4, 5
-
-#: Differing bits of all 256 within which texts are candidates for an exact check. Sets of shingles alike to 0.8 have a
-#: cosine of 8/9, so 39 differing bits on average with a deviation of 6: the radius is four deviations away.
-WIDE_RADIUS = 63
-
-#: Of two near copies' bits the share that agrees (above 0.84 on average at a similarity of 0.8), and the share of such pairs that may meet in no bucket.
-AGREEING, MISSED = 0.83, 0.01
-
-#: Bytes of shingle hashes that aim at one tile of a group of candidates.
-SET_BYTES = 16 << 20
-
-
-def wide_fingerprint_texts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(texts, WIDE) unsigned words, majorities over the distinct shingles of each whole text, and the sorted 64-bit hashes of those shingles.
-
-    Without words a text has zeros and no shingle; with fewer than five, all its words are one.
-    """
-    joined, starts, ends, doc, counts = _shingles(buf, offsets, WIDE_SHINGLE)
-    hashes = ragged.span_hashes(joined, starts, ends)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    hashes, doc = hashes[first], doc[first]
-    counts = np.bincount(doc, minlength=len(counts))
-    with np.errstate(over="ignore"):
-        prints = np.stack([_majorities(ragged.mix(hashes + U64((k + 1) * PRIMES[0] & (1 << 64) - 1)), doc, counts) for k in range(WIDE)], axis=1)
-    edge = ragged.bounds(counts)
-    return prints, [hashes[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-
-
-def _wide_binary(prints: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in prints.astype("<u8")], pa.binary())
-
-
-def _wide_words(prints: pd.Series | list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(prints), "<u8").reshape(-1, WIDE)
-
-
-def wide_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, fp binary), with ``sets`` also (shingles binary), of every row's whole text. One pass without a shuffle."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, shingles = wide_fingerprint_texts(*ragged.text_bytes(batch.column(1)))
-        more = [pa.array(shingles, pa.binary())] if sets else []
-        return pa.RecordBatch.from_arrays([batch.column(0), _wide_binary(prints), *more], ["doc_id", "fp", "shingles"][: 2 + sets])
-
-    return arrow.map_texts(docs, run, "doc_id long, fp binary" + ", shingles binary" * sets, [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
-
-
-def _full_add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    half = a ^ b
-    return half ^ c, (a & b) | (half & c)
-
-
-def wide_pairs(left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) within WIDE_RADIUS, for some of ``left`` after others: j > i within ``left``, or j in ``right`` if given.
-
-    A tree of carry-save adders counts the differing bits of 64 lanes at once, up to 63;
-    words whose lanes are all beyond that are abandoned.
-    """
-    other = left if right is None else right
-    planes = np.concatenate([planes_of(np.ascontiguousarray(other[:, k])) for k in range(WIDE)])
-    spare = np.zeros(planes.shape[1], U64)
-    if len(other) % 64:
-        spare[-1] = ~U64(0) << U64(len(other) % 64)
-    start = 0
-    while start < len(left) and len(other):
-        skip = start // 64 if right is None else 0
-        words = planes.shape[1] - skip
-        own = left[start : start + max(1, (1 << 14) // words)]
-        mask = U64(0) - ((own[:, :, None] >> np.arange(64, dtype=U64)) & U64(1)).reshape(len(own), -1)
-        row, word = np.repeat(np.arange(len(own)), words), np.tile(np.arange(skip, skip + words), len(own))
-        sums = list(np.zeros((6, len(row)), U64))  # planes of weight 1 to 32
-        over = spare[word]
-        whole = True
-
-        def differing(bit: int) -> np.ndarray:
-            if whole:  # nothing is abandoned yet: no gathering
-                return (mask[:, bit, None] ^ planes[bit, skip:]).ravel()
-            return mask[row, bit] ^ planes[bit, word]
-
-        def count(bit: int, n: int, level: int) -> np.ndarray:
-            """Adds n bits from ``bit`` on to the planes below ``level`` and returns the carry out of them."""
-            if n == 1:
-                return differing(bit)
-            a, b = count(bit, n // 2, level - 1), count(bit + n // 2, n // 2, level - 1)
-            sums[level - 1], carry = _full_add(sums[level - 1], a, b)
-            return carry
-
-        for bit in range(0, 64 * WIDE, 32):
-            carry = count(bit, 32, 5)
-            over |= sums[5] & carry
-            sums[5] ^= carry
-            if bit >= 96:
-                live = np.flatnonzero(over != ~U64(0))
-                if len(live) < len(row):
-                    whole = False
-                    row, word, over, sums = row[live], word[live], over[live], [x[live] for x in sums]
-                if not len(live):
-                    break
-        near = ~over
-        for at in range(0, len(row), 1 << 12):  # a word has 64 lanes: bounded pairs at once
-            lanes = np.unpackbits(near[at : at + (1 << 12)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            hit, lane = np.nonzero(lanes)
-            i, j = start + row[at + hit], word[at + hit] * 64 + lane
-            if right is None:
-                i, j = i[j > i], j[j > i]
-            if len(i):
-                yield i, j
-        start += len(own)
-
-
-def wide_tables(n: int, bucket: int = BUCKET) -> tuple[int, int]:
-    """Bits of a key and tables of keys for n fingerprints: all meet in one bucket, or a near pair misses all with a chance of MISSED."""
-    bits = (n // bucket).bit_length()
-    return bits, 1 if not bits else int(np.ceil(np.log(MISSED) / np.log1p(-(AGREEING**bits))))
-
-
-def candidate_links(distinct: DataFrame, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between a settled table of distinct wide fingerprints: spanning forests of their buckets.
-
-    Each table deals all fingerprints by the bits at some drawn positions. Keys get a bit
-    more as the rows double, so buckets stay about as large while tables grow about as the
-    fourth root of the rows. Up to ``bucket`` rows there is one table of one bucket.
-    """
-    bits, tables = wide_tables(distinct.count(), bucket)
-    rng = np.random.default_rng(SEED)
-    at = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = _wide_words(batch.column(0).to_pylist())
-            set_bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for block in range(tables):
-                key = set_bits[:, at[block]] @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(key), block, np.int32)), pa.array(key)], ["fp", "block", "key"])
-
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, _, low, high = key
-        mine = (group["tile"] == low).to_numpy()
-        left = _wide_words(group["fp"][mine].sort_values())
-        right = None if low == high else _wide_words(group["fp"][~mine].sort_values())
-        nodes = left if right is None else np.concatenate([left, right])
-        shift = 0 if right is None else len(left)
-        a, b = spanning(((i, j + shift) for i, j in wide_pairs(left, right)), len(nodes))
-        return pd.DataFrame({"a": [x.tobytes() for x in nodes[a]], "b": [x.tobytes() for x in nodes[b]]})
-
-    arrow.bound_batches(distinct.sparkSession)
-    dealt = _tiles(distinct.select("fp").mapInArrow(deal, "fp binary, block int, key long"), tile)
-    return dealt.groupBy("block", "key", "low", "high").applyInPandas(compare, "a binary, b binary").distinct()
-
-
-def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, least: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose sets (those of left, then of right) have a Jaccard similarity of ``least`` or more.
-
-    Candidates are fingerprints within WIDE_RADIUS; every candidate that no link found so far
-    connects is compared exactly. Fingerprints nearest to the majority come first, as the
-    text that others were copied from links most of them.
-    """
-    nodes = left if right is None else np.concatenate([left, right])
-    shift = 0 if right is None else len(left)
-    size = np.array([len(x) for x in sets])
-    label = np.arange(len(nodes))
-    for i, j in wide_pairs(left, right):
-        j = j + shift
-        cut = np.flatnonzero(np.diff(i)) + 1
-        for own, near in zip(i[np.concatenate([[0], cut])], np.split(j, cut)):
-            near = near[(label[near] != label[own]) & (np.minimum(size[near], size[own]) >= least * np.maximum(size[near], size[own]))]
-            if not len(near) or not size[own]:
-                continue
-            flat = np.concatenate([sets[x] for x in near])
-            at = np.minimum(np.searchsorted(sets[own], flat), size[own] - 1)
-            common = ragged.sums(sets[own][at] == flat, ragged.bounds(size[near]))
-            for x in near[common >= least * (size[near] + size[own] - common) - 1e-9]:
-                if label[x] != label[own]:
-                    label[label == label[x]] = label[own]
-                    yield int(own), int(x)
-
-
-def _by_majority(prints: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-    return np.argsort((bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1), kind="stable")
-
-
-def alike_links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET, tile_bytes: int = SET_BYTES) -> DataFrame:
-    """Links (a, b) between wide fingerprints of texts whose shingles have a Jaccard similarity of ``least`` or more.
-
-    Fingerprints give groups of candidates; only those move their sets of shingles, one for
-    each fingerprint. Groups beyond ``tile_bytes`` are cut into tiles and each pair of tiles
-    is compared on its own, so a task holds two tiles or two texts at most.
-    """
-    groups = storage.settle(components.components(candidate_links(distinct, bucket)))
-    firsts = prints.join(groups, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id"))
-    mine = F.col(f"`{id_column}`").cast("long")
-    some = docs.join(firsts.select("_id").distinct(), mine.eqNullSafe(F.col("_id")), "left_semi")
-    sets = wide_fingerprints(some, id_column, text_column, sets=True)
-    sets = sets.join(groups, F.col("fp") == F.col("node")).groupBy("root", "fp").agg(F.first("shingles").alias("shingles"))
-    sets = storage.settle(sets)
-    tiles = sets.groupBy("root").agg(F.ceil(F.sum(F.length("shingles")) / tile_bytes).cast("int").alias("tiles"))
-    sets = sets.join(tiles.where("tiles > 1"), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    sets = sets.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sets = sets.select("root", "fp", "shingles", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
-
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
-        mine = (group["tile"] == low).to_numpy()
-        parts = [group[mine]] if low == high else [group[mine], group[~mine]]
-        parts = [p.iloc[_by_majority(_wide_words(p["fp"]))] if len(p) else p for p in parts]
-        words = [_wide_words(p["fp"]) for p in parts]
-        prints, own = [x for p in parts for x in p["fp"]], [np.frombuffer(x, U64) for p in parts for x in p["shingles"]]
-        found = list(alike(own, words[0], None if low == high else words[1], least))
-        return pd.DataFrame({"a": [prints[i] for i, _ in found], "b": [prints[j] for _, j in found]})
-
-    return sets.groupBy("root", "low", "high").applyInPandas(compare, "a binary, b binary")
-
-
-def keep_one_each(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
-
-    Links join texts whose distinct five-word shingles have a Jaccard similarity of ``least``
-    or more: found by wide fingerprints, then checked exactly. Texts without words are alike.
-
-    Of rows that share that id the one with the smallest fingerprint stays, and of equal
-    ones a single one. A null id counts as the largest. Texts move once, in the last join.
-    """
-    prints = storage.settle(wide_fingerprints(docs, id_column, text_column))
-    groups = group_fingerprints(prints, lambda distinct: alike_links(docs, prints, distinct, least, id_column, text_column))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    firsts = prints.join(groups.select("fp", "group"), "fp").groupBy("group").agg(F.min(rank).alias("x")).select("x.doc_id", "x.fp")
-    repeats = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
-    chosen = firsts.join(repeats, F.col("doc_id").eqNullSafe(F.col("again")), "left")
-    repeated = F.col("again").isNotNull() | F.col("doc_id").isNull()
-    chosen = storage.settle(chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), repeated.alias("_repeated")))
-    mine = F.col(f"`{id_column}`").cast("long")
-    once = docs.join(chosen.where("not _repeated").select("_id"), mine == F.col("_id"), "left_semi")
-    some = chosen.where("_repeated")
-    if some.isEmpty():
-        return once
-    # ids that occur on several rows: their rows are told apart by fingerprint, and equal ones are merged
-    several = docs.join(some.select("_id").distinct(), mine.eqNullSafe(F.col("_id")), "left_semi")
-    width = len(docs.columns)
-    names = [f"_c{i}" for i in range(width)]
-    at = docs.columns.index(text_column)
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)) + ", _fp binary"
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = _wide_binary(wide_fingerprint_texts(*ragged.text_bytes(batch.column(at)))[0])
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), prints], [*names, "_fp"])
-
-    marked = arrow.map_texts(several, run, schema, [*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(f"`{text_column}`").alias("text")])
-    key = names[docs.columns.index(id_column)]
-    marked = marked.join(some, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi")
-    merged = marked.groupBy(F.col(key).alias("_key"), "_fp").agg(*[F.first(n).alias(n) for n in names])
-    return once.unionByName(merged.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)]))

@@ -1,4 +1,3 @@
-import random
 import re
 
 import duckdb
@@ -102,91 +101,6 @@ def test_components_of_a_long_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
-def test_keep_one_of_each_group(spark):
-    rows = ["one two three four five"] * 3 + ["other words in another text", None, "", "x y z"]
-    docs = documents(spark, rows)
-    kept = simhash.keep_one_each(docs)
-    assert kept.columns == docs.columns
-    got = sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect())
-    assert got == [(0, rows[0]), (3, rows[3]), (4, None), (6, "x y z")] and kept.where("doc_id is null").count() == 1
-    assert simhash.keep_one_each(empty(spark)).count() == 0
-
-
-def shingled(text):
-    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def copies(seed=4):
-    """Texts of 3 to 400 words, each with copies that keep more or less of it, and one that many copies were made from."""
-    rng = random.Random(seed)
-    out = []
-    for k in range(40):
-        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(3, 400))]
-        out.append(" ".join(words))
-        for share in (0.005, 0.02, 0.04, 0.08) * (8 if k == 0 else 1):
-            out.append(" ".join("other" + str(rng.random()) if rng.random() < share else w for w in words))
-        out.append(" ".join(words + ["tail"]).upper())
-    return [*out, None, "", "a b c d", "A b  c\td", "same same " * 9, "same same " * 20]
-
-
-def alike(sets, least=0.8):
-    return {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
-
-
-def classes(n, pairs):
-    parent = [*range(n)]
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        parent[max(root(i), root(j))] = min(root(i), root(j))
-    return [root(i) for i in range(n)]
-
-
-def test_near_copies_are_brute_force(spark):
-    rows = copies()
-    want = classes(len(rows), alike([shingled(x) for x in rows]))
-    docs = documents(spark, rows).where("doc_id is not null")
-    kept = [r.doc_id for r in simhash.keep_one_each(docs).collect()]
-    assert sorted(kept) == sorted({*want})
-    assert 40 < len(kept) < len(rows) - 40
-
-
-def test_near_copies_in_tiles_and_tables(spark):
-    rows = copies(5)
-    sets = [shingled(x) for x in rows]
-    docs = documents(spark, rows).where("doc_id is not null")
-    prints = simhash.wide_fingerprints(docs).distinct()
-    at = {}
-    for r in prints.collect():
-        at.setdefault(bytes(r.fp), []).append(r.doc_id)
-    assert all(len(sets[i] & sets[ids[0]]) >= 0.8 * len(sets[i] | sets[ids[0]]) for ids in at.values() for i in ids)
-    assert simhash.wide_tables(200, 100) == (2, 4) and simhash.wide_tables(99, 100) == (0, 1)
-    links = simhash.alike_links(docs, prints, prints.select("fp").distinct(), bucket=100, tile_bytes=2000).collect()
-    found = [(at[bytes(r.a)][0], at[bytes(r.b)][0]) for r in links]
-    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in found)
-    equal = [(ids[0], i) for ids in at.values() for i in ids]
-    got, want = classes(len(rows), found + equal), classes(len(rows), alike(sets))
-    assert sum(a != b for a, b in zip(got, want)) <= 0.01 * len(rows)
-    none = docs.limit(0)
-    assert simhash.alike_links(none, simhash.wide_fingerprints(none), simhash.wide_fingerprints(none).select("fp")).count() == 0
-
-
-def test_wide_pairs_are_brute_force():
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**64, (70, simhash.WIDE), dtype=np.uint64)
-    flips = (rng.random((700, 64 * simhash.WIDE)) < rng.choice([0.02, 0.2, 0.25], (700, 1))).astype(np.uint8)
-    prints = np.concatenate([base, base[rng.integers(0, 70, 700)] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")])
-    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2, dtype=int)
-    want = {(i, j) for i, j in zip(*np.nonzero(far <= 63)) if i < j}
-    assert {(int(i), int(j)) for a, b in simhash.wide_pairs(prints) for i, j in zip(a, b)} == want and len(want) > 700
-    assert {(int(i), int(j) + 300) for a, b in simhash.wide_pairs(prints[:300], prints[300:]) for i, j in zip(a, b)} == {(i, j) for i, j in want if i < 300 <= j}
-
-
 def talk(*conversations):
     return [(c, t, "user" if t % 2 == 0 else "assistant", x, "extra") for c, turns in conversations for t, x in enumerate(turns)]
 
