@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import arrow, langid, packing, quality, secrets, simhash, storage
+from lagweave.llm import arrow, langid, nearcopies, packing, quality, secrets, storage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles alike to 0.8 or more) stays."""
-    return simhash.keep_one_each(docs, least=0.8)
+    return nearcopies.keep_one_each(docs, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
