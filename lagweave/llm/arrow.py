@@ -62,15 +62,6 @@ def fold_texts(docs: DataFrame, start: Callable[[], object], add: Callable[[obje
     return docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(run, schema)
 
 
-def plain(frame: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
-    """The frame with its columns called c0, c1, ... by position, and the new name of an old one.
-
-    Steps that add columns of their own do so beside these, so that no name can clash or hold a dot.
-    """
-    names = {name: f"c{i}" for i, name in enumerate(frame.columns)}
-    return frame.toDF(*names.values()), names.__getitem__
-
-
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, bytes_of: str | None = None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``keys``, cut only between runs of equal keys, in batches that reach about ``limit`` rows (or bytes of a column) where runs do.
 

@@ -424,7 +424,7 @@ def classes(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id", text
     groups = storage.settle(components.components(candidate_links(sets, least, tile)).withColumnRenamed("root", "group"))
     some = sets.join(groups, F.col("sid") == F.col("node")).select("sid", F.col("key").alias("k"), "least_id", "group")
     some = storage.settle(some)
-    plain, at = arrow.plain(docs)
+    plain, at = storage.plain(docs)
     own = plain.join(some.select("least_id").distinct(), F.col(at(id_column)).cast("long").eqNullSafe(F.col("least_id")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -450,7 +450,7 @@ def keep_one_each(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id"
     named = sets.join(roots, F.col("sid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "sid"))
     rank = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key")
     chosen = named.groupBy("group").agg(F.min(rank).alias("x")).select("x.least_id", "x.key")
-    plain, at = arrow.plain(docs)
+    plain, at = storage.plain(docs)
     mine = F.col(at(id_column)).cast("long")
     repeats = plain.groupBy(mine.alias("again")).agg(F.count(F.lit(1)).alias("k")).where("k > 1 or again is null")
     chosen = chosen.join(repeats, F.col("least_id").eqNullSafe(F.col("again")), "left")

@@ -128,24 +128,22 @@ def _class(size: str) -> str:
 
 
 def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a column ``_found``: base spans, and tested runs with p-values; not yet decided."""
+    """The rows of ``docs`` with columns ``_base``, base spans, and ``_tested``, all long runs with p-values; not yet decided."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     assign = F.filter(_matches(text, ASSIGN, 0, (0, 2)), lambda m: F.length(m["value"]) >= 8)
     plain = [F.transform(a, lambda m: F.struct(m["start"], m["kind"], m["end"])) for a in (assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2))]
     rows = docs.withColumn("_base", F.array_sort(F.concat(*plain))).withColumn("_runs", _matches(text, RANDOM, 3))
-    tested = f"""filter(transform(_runs, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'class', {_class("length(x.value)")}, 'p', {_p_value("x.value")})),
-        x -> not exists(_base, b -> b.start <= x.start and x.end <= b.end))"""
+    tested = f"""transform(_runs, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'class', {_class("length(x.value)")}, 'p', {_p_value("x.value")}))"""
     return rows.withColumn("_tested", F.expr(tested)).drop("_runs")
 
 
-def random_limits(scanned: DataFrame) -> list[float]:
-    """For each length class the p-value up to which runs count as structured (Benjamini-Hochberg over the corpus).
+def random_limits(runs: DataFrame) -> list[float]:
+    """For each length class the p-value up to which (class, p) of runs count as structured (Benjamini-Hochberg over the corpus).
 
     The limit is exactly the largest p with p * n <= rate * (runs at or below p), and -1
     where there is none, or ``MOST_LOST`` if that is less. p-values are counted in cells, on
     a logarithmic scale; a cell that the limit may lie in is counted again in finer ones.
     """
-    runs = scanned.select(F.explode("_tested").alias("x")).select("x.class", "x.p")
     ends = [F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.lit(1)).alias("n")]
     cell = F.floor(F.log10(F.greatest("p", F.lit(1e-300))) * CELLS)
     counts = runs.groupBy("class", cell.alias("cell")).agg(*ends).collect()  # at most classes x 300 x CELLS rows
@@ -169,18 +167,15 @@ def random_limits(scanned: DataFrame) -> list[float]:
     return limits
 
 
-def find(docs: DataFrame, columns: list[str], text_column: str = "text") -> DataFrame:
-    """Each row's ``columns`` and its ``_spans``: base spans, and random ones outside them, by start, then kind.
+def _tested_runs(scanned: DataFrame) -> DataFrame:
+    return scanned.select(F.explode("_tested").alias("x")).select("x.class", "x.p")
 
-    Null texts count as empty and have no spans. Repeated rows each give a row. Rows are
-    scanned once and settled without other columns.
-    """
-    wanted = [F.col(c).alias(f"_kept_{i}") for i, c in enumerate(columns)]
-    scanned = storage.settle(scan(docs.select(*wanted, F.col(text_column).alias("_text")), "_text").drop("_text"))
-    limits = random_limits(scanned)
+
+def _decided(limits: list[float]) -> Column:
+    """All spans of a scanned row: base ones and random runs, by start, then kind. A run inside a base span is a span of its own."""
     limit = "case x.class " + " ".join(f"when {i} then {x}D" for i, x in enumerate(limits)) + " end"
     random = f"transform(filter(_tested, x -> x.p > {limit}), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    return scanned.select(*[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(columns)], "_base", F.array_sort(F.concat("_base", F.expr(random))).alias("_spans"))
+    return F.array_sort(F.concat("_base", F.expr(random)))
 
 
 def _written(spans: str) -> str:
@@ -189,31 +184,59 @@ def _written(spans: str) -> str:
 
 
 def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: counts of base spans, the digest of their list, and all spans (see ``find``)."""
+    """Per row: counts of base spans, the digest of their list, and all spans with those of random runs.
+
+    n_tested counts the runs that the battery tested, n_random those it reports, and p_values
+    lists all tested ones as start:end:p. Null texts count as empty and have no spans;
+    repeated rows each give a row; other columns are not read, so their names don't matter.
+    Texts are scanned once; what was found is settled without them.
+    """
     count = lambda i: f"cast(size(filter(_base, x -> x.kind = {i})) as bigint)"
-    return find(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), ["doc_id"]).select(
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("_text"))
+    scanned = storage.settle(scan(rows, "_text").drop("_text"))
+    return scanned.withColumn("_spans", _decided(random_limits(_tested_runs(scanned)))).select(
         "doc_id",
         F.expr(count(0)).alias("n_assign"),
         F.expr(count(1)).alias("n_access"),
         F.expr(count(2)).alias("n_hex"),
         F.sha2(F.expr(_written("_base")), 256).alias("base_sha256"),
         F.expr(_written("_spans")).alias("spans"),
+        F.expr("cast(size(_tested) as bigint)").alias("n_tested"),
         F.expr("cast(size(_spans) - size(_base) as bigint)").alias("n_random"),
+        F.expr("array_join(transform(_tested, x -> concat(x.start, ':', x.end, ':', format_number(x.p, 9))), ',')").alias("p_values"),
     )
 
 
+#: Code points in a piece of a text that spans are cut from: no cut reads more of the text than two pieces.
+_PIECE = 1024
+
+
+def _cut(low: str, high: str) -> str:
+    """SQL for the code points from low to high of the text in ``_pieces``."""
+    a, b = f"int(({low}) div {_PIECE})", f"int(({high}) div {_PIECE})"
+    head, tail = f"coalesce(get(_pieces, {a}), '')", f"coalesce(get(_pieces, {b}), '')"
+    within = f"substring({head}, int(({low}) % {_PIECE}) + 1, int({high} - ({low})))"
+    across = f"concat(substring({head}, int(({low}) % {_PIECE}) + 1), array_join(slice(_pieces, {a} + 2, greatest({b} - {a} - 1, 0)), ''), substring({tail}, 1, int(({high}) % {_PIECE})))"
+    return f"if({a} = {b}, {within}, {across})"
+
+
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every span of ``find`` replaced by ``mark``; touching or overlapping spans become one.
+    """The rows of ``docs`` with every span of ``secret_spans`` replaced by ``mark``; touching or overlapping spans become one.
 
-    A null text stays null; texts without spans stay as they are.
+    A null text stays null; texts without spans stay as they are. Repeated rows each give a
+    row. All columns are kept, whatever their names. The limits need the p-values of all
+    texts, so texts are scanned twice rather than stored between; the work on a text is
+    linear in its length and spans.
     """
-    others = docs.columns
-    found = find(docs, others, text_column)
-    name = f"`{text_column}`"
-    # spans in order; each adds the text since the furthest end so far and a mark, unless it touches what came before
-    body = f"""transform(array(aggregate(_spans, named_struct('at', 0L, 'parts', cast(array() as array<string>)),
-        (s, x) -> named_struct('at', greatest(s.at, x.end), 'parts',
-            if(x.start <= s.at and size(s.parts) > 0, s.parts, array_append(s.parts, concat(substring({name}, int(s.at + 1), int(x.start - s.at)), '{mark}')))))),
-        s -> concat(array_join(s.parts, ''), substring({name}, int(s.at + 1), 2147483647)))[0]"""
-    new = F.expr(f"if({name} is null or size(_spans) = 0, {name}, {body})")
-    return found.select(*[new.alias(c) if c == text_column else F.col(c) for c in others])
+    plain, at = storage.plain(docs)
+    text = at(text_column)
+    limits = random_limits(storage.settle(_tested_runs(scan(plain.select(text), text))))
+    found = scan(plain, text).withColumn("_spans", _decided(limits)).drop("_base", "_tested")
+    # the furthest end of whole blocks of spans, then of all spans before each one
+    found = found.withColumn("_ends", F.expr(f"transform(sequence(0, int(size(_spans) div {_BLOCK})), b -> array_max(transform(slice(_spans, b * {_BLOCK} + 1, {_BLOCK}), x -> x.end)))"))
+    before = f"greatest(0L, array_max(slice(_ends, 1, int(i div {_BLOCK}))), array_max(transform(slice(_spans, int(i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK}), y -> y.end)))"
+    found = found.withColumn("_pieces", F.expr(f"if(size(_spans) = 0, cast(array() as array<string>), regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0))"))
+    kept = _sql_let("at", before, f"if(i > 0 and x.start <= at, '', concat({_cut('at', 'x.start')}, '{mark}'))")
+    body = f"concat(array_join(transform(_spans, (x, i) -> {kept}), ''), {_sql_let('at', 'array_max(_ends)', _cut('at', f'bigint(size(_pieces)) * {_PIECE}'))})"
+    new = F.expr(f"if({text} is null or size(_spans) = 0, {text}, {body})")
+    return found.select(*[new.alias(c) if c == text else F.col(c) for c in plain.columns]).toDF(*docs.columns)

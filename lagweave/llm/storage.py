@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one made here."""
+    """The folder named in spark.checkpoint.dir, or else the context's; only a local master, as in tests, gets one made here."""
     context = spark.sparkContext
-    named = context.getConf().get(SETTING, None)
+    named = context.getConf().get(SETTING, None) or context.getCheckpointDir()
     if named is None:
-        named = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lagweave-")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lagweave-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -30,3 +33,12 @@ def settle(frame: DataFrame) -> DataFrame:
     """Compute a frame once and keep its rows in the shared folder, so that lost executors don't change them."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def plain(frame: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The frame with its columns called c0, c1, ... by position, and the new name of an old one.
+
+    Steps that add columns of their own do so beside these, so that no name can clash or hold a dot.
+    """
+    names = {name: f"c{i}" for i, name in enumerate(frame.columns)}
+    return frame.toDF(*names.values()), names.__getitem__

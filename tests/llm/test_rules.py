@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from lagweave.llm import compression, media, secrets, storage
 
@@ -44,6 +47,44 @@ def test_compression_bands_reject_repetition_and_noise():
     assert rows["kept"] == [True, False, False, False]
 
 
+def test_compression_verdict_is_brute_force(spark):
+    """Ratios, chunks, the corpus's quartiles by length and the verdict, by plain loops."""
+    rng, bands = random.Random(7), compression.Bands(least_texts=12)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = [" ".join(rng.choices(vocabulary, k=int(2 ** rng.uniform(5, 11)))) for _ in range(400)]
+    junk = [" ".join(rng.choices(vocabulary[:40], k=rng.randint(60, 900))) for _ in range(25)]  # repetitive, but without repeated windows
+    junk += [" ".join(base64.b64encode(rng.randbytes(12)).decode() for _ in range(rng.randint(60, 300))) for _ in range(25)]
+    rows = [*prose, *junk, *junk[:3] * 30, None, "", "a b", *texts(n=20)]
+    got = {r.doc_id: r for r in compression.compression_rules(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), bands).collect()}
+    squeeze = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+
+    def band(table, n):
+        own = [b for b in table if n >= b[0]]
+        return own[-1][1:] if own else (-1, math.inf)
+
+    raw = [(t or "").encode() for t in rows]
+    ratio = [squeeze(x) if x else 0.0 for x in raw]
+    base = [n < 10 or 100 * again > 20 * n for n, _, _, _, again in map(counts, rows)]
+    seen = {}
+    for x, r, failed in zip(raw, ratio, base):
+        if not failed and len(x) >= 256:
+            seen.setdefault(math.floor(2 * math.log2(len(x))), set()).add((len(x), r))
+    knots = {k: [sorted(r for _, r in v)[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75)] for k, v in sorted(seen.items()) if len(v) >= 12}
+    assert len(knots) > 6
+    for i, x in enumerate(raw):
+        chunks = [x[j : j + 4096] for j in range(0, len(x), 4096)]
+        bad = sum(len(c) for c in chunks if not (lambda b: b[0] <= squeeze(c) <= b[1])(band(bands.chunk, len(c))))
+        low, high = band(bands.whole, len(x))
+        kept = not base[i] and low <= ratio[i] <= high and bad <= 0.3 * len(x)
+        if len(x) >= 256:
+            lower, middle, upper = (float(np.interp(2 * math.log2(len(x)) - 0.5, [*knots], [k[j] for k in knots.values()])) for j in range(3))
+            spread = max(upper - lower, 0.02 * middle)
+            assert got[i].corpus_low == pytest.approx(middle - 3 * spread) and got[i].corpus_high == pytest.approx(middle + 6 * spread)
+            kept = kept and got[i].corpus_low <= ratio[i] <= got[i].corpus_high
+        assert (got[i].ratio, got[i].base_failed, got[i].kept, got[i].band_failed) == (ratio[i], base[i], kept, not base[i] and not kept)
+    assert all(got[i].kept for i in range(400)) and not any(got[i].kept for i in range(400, 450)) and sum(got[i].band_failed for i in range(400, 450)) > 20
+
+
 def lines_with_noise(rng, size, share, block):
     """Lines of invented words and of base64, dealt in blocks of lines, and in about that share of base64."""
     vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(500)]
@@ -100,6 +141,7 @@ def test_base_spans_are_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
         assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == [s for s in written.split(",") if s]
+        assert r.n_random == r.spans.count("random:") <= r.n_tested
     assert secrets.secret_spans(empty(spark)).count() == 0
 
 
@@ -126,13 +168,12 @@ def test_limits_are_those_of_the_exact_procedure(spark):
     mixes = [[10 ** -rng.uniform(3, 60) for _ in range(int(n * share))] + [rng.random() for _ in range(n - int(n * share))] for n, share in ((600, 0.05), (600, 0.1), (600, 0.0))]
     mixes[2] += [0.0] * 3
     want = [min(limit_of(p, rate), secrets.MOST_LOST) for p, (_, rate) in zip(mixes, secrets.RATES)]
-    rows = [([(i, x) for x in p[j::7]],) for i, p in enumerate(mixes) for j in range(7)]
-    frame = spark.createDataFrame(rows, "_tested array<struct<class: int, p: double>>")
+    frame = spark.createDataFrame([(i, x) for i, p in enumerate(mixes) for x in p], "class int, p double")
     assert secrets.random_limits(frame) == want
     assert want[0] > 1e-3 and want[1] > 1e-3 and secrets.random_limits(frame.limit(0)) == [-1.0] * 3
     # nearly all runs are structured: random ones beyond MOST_LOST stay reported
-    assert secrets.random_limits(spark.createDataFrame([([(0, 1e-9)] * 99 + [(0, 0.2)],)], frame.schema)) == [secrets.MOST_LOST, -1.0, -1.0]
-    assert secrets.random_limits(spark.createDataFrame([([(0, x / 1000) for x in range(150)],)], frame.schema))[0] == secrets.MOST_LOST
+    assert secrets.random_limits(spark.createDataFrame([(0, 1e-9)] * 99 + [(0, 0.2)], frame.schema)) == [secrets.MOST_LOST, -1.0, -1.0]
+    assert secrets.random_limits(spark.createDataFrame([(0, x / 1000) for x in range(150)], frame.schema))[0] == secrets.MOST_LOST
 
 
 def test_random_keys_of_every_alphabet_are_reported(spark):
@@ -143,12 +184,95 @@ def test_random_keys_of_every_alphabet_are_reported(spark):
     words = ["internationalization", "counterrevolutionaries", "electroencephalographically", "Donaudampfschifffahrtsgesellschaft", "getElementByIdentifierNumber", "usr/local/lib/python/dist-packages/numpy", "00000000000000000000000042", "ABABABABABABABABABABABAB"]
     rows = [*[f"see {k} there" for k in keys], *[f"see {w} there" for w in words]]
     got = [r.spans for r in secrets.secret_spans(documents(spark, rows)).where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
-    found = [s in (f"random:4:{4 + len(k)}", f"hex:4:{4 + len(k)}") for k, s in zip(keys, got)]  # digits alone are hex from 32 on
+    found = [bool({f"random:4:{4 + len(k)}", f"hex:4:{4 + len(k)}"} & {*s.split(",")}) for k, s in zip(keys, got)]  # digits alone are hex from 32 on
     # a p-value up to the limit, 0.1 at most, is structured
     assert found[-1] and all(sum(found[i : i + 40]) >= 30 for i in range(0, 280, 40))
     assert [w for w, s in zip(words, got[len(keys) :]) if s] == []
 
 
+def battery(run):
+    """(p-value, symbols) of one run by plain loops."""
+    run = run.rstrip("=")
+    lower, upper, digits = secrets.LETTERS[26:], secrets.LETTERS[:26], "0123456789"
+    fits = lambda alphabet: all(c in alphabet for c in run)
+    share = None
+    if fits(digits):
+        symbols, k = [int(c) for c in run], 10
+    elif fits(lower) or fits(upper):
+        symbols, k, share = [ord(c.lower()) - 97 for c in run], 26, 12 / 26
+    elif fits(lower + upper):
+        symbols, k, share = [(upper + lower).index(c) for c in run], 52, 24 / 52
+    elif fits(digits + "abcdef") or fits(digits + "ABCDEF"):
+        symbols, k = [int(c, 16) for c in run], 16
+    elif fits(lower + "234567") or fits(upper + "234567"):
+        symbols, k = [(upper + "234567").index(c.upper()) for c in run], 32
+    elif fits(lower + digits) or fits(upper + digits):
+        symbols, k, share = [(digits + lower).index(c.lower()) for c in run], 36, 12 / 36
+    else:
+        symbols, k = [(upper + lower + digits + "+/").index({"-": "+", "_": "/"}.get(c, c)) for c in run], 64
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+    n = len(symbols)
+    chi = sum((symbols.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    tests = [tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))]
+    above = [2 * s >= k for s in symbols]
+    high = sum(above)
+    mu = 2 * high * (n - high) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+    tests.append(min(1, 2 * tail(40 if mu <= 2 else abs(runs - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9)))))
+    mean = sum(symbols) / n
+    var = sum((s - mean) ** 2 for s in symbols)
+    cov = sum((a - mean) * (b - mean) for a, b in zip(symbols, symbols[1:]))
+    tests.append(min(1, 2 * tail(40 if var <= 0 else abs(cov / max(var, 1e-9) + 1 / n) * math.sqrt(n))))
+    if share is not None:
+        tests.append(tail((sum(c in "etaoinsrhldu" for c in run.lower()) - 0.5 - n * share) / math.sqrt(n * share * (1 - share))))
+    h = -sum(math.log(max(p, 1e-300)) for p in tests)  # Fisher: twice this is chi-squared with two degrees a test
+    return math.exp(-h) * sum(h**i / math.factorial(i) for i in range(len(tests)))
+
+
+def test_battery_and_decisions_are_brute_force(spark):
+    """Every p-value, every corpus limit and every reported run, by plain loops, for runs alone and inside base spans."""
+    rng = random.Random(21)
+    alphabets = ["0123456789", "0123456789abcdef", secrets.BASE36, secrets.BASE32, secrets.LETTERS, secrets.LETTERS[:26], secrets.BASE64, secrets.BASE64[:62] + "-_"]
+    runs = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 31, 32, 50, 64, 200) for _ in range(3)]
+    runs += ["ab" * 15, "0" * 40, "internationalizationof", "abcdefghijklmnopqrstuvwxyz" * 2, "Aa0" * 9, "deadbeef" * 5, "A" * 20 + "=="]
+    texts_ = [rng.choice(["key {} end", "token={} end", "é😀 secret: '{}' x"]).format(r) for r in runs]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)).collect()}
+    at = [t.index(r) for t, r in zip(texts_, runs)]
+    want = [battery(r) for r in runs]
+    least = [x for x, _ in secrets.RATES]
+    kind = [sum(len(r) >= x for x in least) - 1 for r in runs]
+    limits = [min(limit_of([p for p, c in zip(want, kind) if c == i], rate), secrets.MOST_LOST) for i, (_, rate) in enumerate(secrets.RATES)]
+    reported = 0
+    for i, (r, p) in enumerate(zip(runs, want)):
+        (start, end, found), row = got[i].p_values.split(":"), got[i]
+        assert (int(start), int(end), row.n_tested) == (at[i], at[i] + len(r), 1) and abs(float(found) - p) < 1e-6
+        assert abs(p - limits[kind[i]]) < 1e-7 or (f"random:{start}:{end}" in row.spans.split(",")) == (p > limits[kind[i]])
+        reported += row.n_random
+    assert len(runs) * 0.6 < reported < len(runs)
+
+
+def test_redaction_keeps_columns_and_long_texts(spark):
+    """Names that the steps use, a text of 5 MB with 50,000 spans, and spans that touch."""
+    long = "".join(f"é{'filler ' * 13} token=abcdefgh{i:05d} " for i in range(50_000))
+    rows = [long, "token=abcdefghij", "x password=aaaaaaaaa.token=bbbbbbbb y", "a" * 1023 + " secret=cccccccc", "a" * 1024 + "secret=dddddddd" + " e" * 2000, None, ""]
+    names = ["_spans", "_base", "_runs", "a.b", "c0", "_pieces", "x"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(rows)], ["doc_id", "text", *names])
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+
+    def plain(text):
+        parts, at = [], 0
+        for a, _, b in base_spans(text):
+            if a > at or not parts:
+                parts.append(text[at:a] + "[SECRET]")
+            at = max(at, b)
+        return "".join(parts) + text[at:]
+
+    assert len(long) > 5_000_000 and got[0].count("[SECRET]") == 50_000
+    assert all(got[i] == (None if t is None else plain(t)) for i, t in enumerate(rows))
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS + [None, "", "clean text"])
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
