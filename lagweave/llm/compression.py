@@ -4,7 +4,11 @@ Repetitive text compresses far better than prose, and noise hardly at all. Every
 zstandard ratio (compressed bytes over its own) is held against a band for its length, as
 short texts compress worse, and so is the ratio of each fixed-size chunk and of the last rest, so that a
 repetitive or incompressible stretch in a long text shows. Base counts of words, symbols,
-repeated lines and repeated word windows come from the same pass. No shuffle.
+repeated lines and repeated word windows come from the same pass.
+
+These bands are wide and hold for any corpus. Within them a second band follows the corpus:
+quartiles of the ratio by length, over all documents that pass the base rules, bound how far
+a text may lie from the others of its length. Only ratios and lengths are shuffled for it.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import arrow, ragged
+from . import arrow, ragged, storage
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -40,6 +44,14 @@ class Bands:
     chunk: tuple[tuple[int, float, float], ...] = ((64, 0.30, 1.45), (256, 0.25, 0.95), (512, 0.25, 0.79), (1024, 0.22, 0.74), (2048, 0.20, 0.70), (4096, 0.20, 0.68))
     bad_share: float = 0.3
     level: int = 3
+    #: The corpus's band: from least_bytes on, quartiles for each half of a doubling of the length that has least_texts
+    #: different ratios, interpolated between; below and above the median so many times the distance of the quartiles,
+    #: which counts as least_spread of the median at least.
+    least_bytes: int = 256
+    least_texts: int = 30
+    below: float = 3.0
+    above: float = 6.0
+    least_spread: float = 0.02
 
 
 def _windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -108,17 +120,50 @@ def measure(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
             bad_share[i] = length[(own < least) | (own > most)].sum() / len(text)
     base = (n_words < 10) | (100 * repeated > 20 * n_words)
     verdict = (ratio >= low) & (ratio <= high) & (bad_share <= bands.bad_share)
-    columns = [batch.column(0), n_words, chars, symbols, lines, repeated, base, ~base & verdict, ratio, bad_share]
+    columns = [batch.column(0), n_words, chars, symbols, lines, repeated, base, ~base & verdict, ratio, bad_share, sizes]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunk_share double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunk_share double, n_bytes long"
+
+
+def corpus_quartiles(measured: DataFrame, bands: Bands) -> list[tuple[int, float, float, float]]:
+    """(step, lower quartile, median, upper quartile) of the ratio for each half of a doubling of the length, over all rows that pass the base rules.
+
+    Texts of one length and ratio count once, so copies weigh nothing. At most some 100 rows.
+    """
+    step = F.floor(2 * F.log2("n_bytes")).cast("int").alias("step")
+    rows = measured.where(~F.col("base_failed") & (F.col("n_bytes") >= bands.least_bytes)).select("n_bytes", "ratio").distinct()
+    found = rows.groupBy(step).agg(F.percentile_approx("ratio", [0.25, 0.5, 0.75], 10000).alias("q"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= bands.least_texts)
+    return sorted((r["step"], *r["q"]) for r in found.collect())
+
+
+def _between(knots: list[tuple[float, float]], x: Column) -> Column:
+    """The line through (x, y) knots, level beyond both ends."""
+    out = F.lit(knots[-1][1])
+    for (a, low), (b, high) in reversed([*zip(knots, knots[1:])]):
+        out = F.when(x < b, F.lit(low) + (high - low) * (x - a) / (b - a)).otherwise(out)
+    return F.when(x < knots[0][0], F.lit(knots[0][1])).otherwise(out)
 
 
 def compression_rules(docs: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Counts, ratios and verdict of each row's whole text.
+    """Counts, ratios, corpus limits and verdict of each row's whole text.
 
     Null and empty texts have no words and so fail the base rules; their ratio is 0.
+    corpus_low and corpus_high are the corpus's band, null for texts below ``least_bytes`` and
+    where no length has enough texts; band_failed says that some band rejects the text.
     Repeated rows each give a row. Other columns are not read.
     """
-    return arrow.map_texts(docs, lambda batch: measure(batch, bands), SCHEMA, [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
+    columns = [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")]
+    measured = storage.settle(arrow.map_texts(docs, lambda batch: measure(batch, bands), SCHEMA, columns))
+    knots = corpus_quartiles(measured, bands)
+    low = high = F.lit(None).cast("double")
+    if knots:
+        x = 2 * F.log2("n_bytes") - 0.5
+        lower, middle, upper = (_between([(k[0], k[1 + i]) for k in knots], x) for i in range(3))
+        spread = F.greatest(upper - lower, middle * bands.least_spread)
+        own = F.col("n_bytes") >= bands.least_bytes
+        low, high = F.when(own, middle - bands.below * spread), F.when(own, middle + bands.above * spread)
+    inside = F.coalesce(F.col("ratio").between(low, high), F.lit(True))
+    out = measured.withColumns({"corpus_low": low, "corpus_high": high, "kept": F.col("kept") & inside})
+    return out.withColumn("band_failed", ~F.col("base_failed") & ~F.col("kept"))
