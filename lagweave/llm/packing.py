@@ -61,10 +61,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow.map_texts(docs, cut, PIECES + (", ids array<int>" if with_ids else ""), [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
+    return arrow.map_texts(docs, cut, PIECES + (", ids array<int>" if with_ids else ""), [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")])
 
 
-def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the offset there of each piece; lengths come longest first."""
     n = len(lengths)
     full = np.array([capacity, max_documents, max_cost], float)
@@ -104,27 +104,28 @@ def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_cost: i
     return where, offset
 
 
-def pack(pieces: DataFrame, capacity: int, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add sequence_id and offset to a table with a length column of 1 to ``capacity``.
 
     An empty table stays empty. The bounds on documents and cost default to the largest
     that the token capacity allows. Equal rows are packed as separate pieces. Other columns
-    are kept.
+    are kept, whatever their names.
     """
     max_documents = max_documents or capacity
     max_cost = max_cost or capacity * capacity
     settled = storage.settle(pieces)
     groups = max(1, -(-settled.count() // group_pieces))
-    numbered = settled.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in settled.schema) + ", sequence_id long, offset long"
+    plain, at = storage.plain(settled)
+    length = at("length")
+    numbered = plain.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", sequence_id long, offset long"
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
-        where, offset = best_fit(group["length"].to_numpy(), capacity, max_documents, max_cost, weights, rule)
-        group = group.drop(columns=["_row", "_group"])
-        return group.assign(sequence_id=where + (int(key[0]) << 24), offset=offset)
+        group = group.sort_values([length, "row"], ascending=[False, True], kind="stable")
+        where, offset = best_fit(group[length].to_numpy(), capacity, max_documents, max_cost, weights, rule)
+        return group.drop(columns=["row", "part"]).assign(sequence_id=where + (int(key[0]) << 24), offset=offset)
 
-    return numbered.groupBy("_group").applyInPandas(run, schema)
+    return numbered.groupBy("part").applyInPandas(run, schema).toDF(*settled.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, **options) -> DataFrame:
