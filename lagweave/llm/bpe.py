@@ -225,7 +225,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
 
-    return arrow.map_texts(docs, encode, "doc_id long, ids array<long>", [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
+    return arrow.map_texts(docs, encode, "doc_id long, ids array<long>", [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")])
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -259,4 +259,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_i
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return arrow.map_texts(docs, digest, schema, [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
+    return arrow.map_texts(docs, digest, schema, [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")])

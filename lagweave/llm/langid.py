@@ -287,7 +287,7 @@ def label_documents(docs: DataFrame, model: ChainModel, keep: list[str], text_co
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(languages, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
-    found = arrow.map_texts(docs, label, schema, [*columns, F.col(text_column).alias("text")])
+    found = arrow.map_texts(docs, label, schema, [*columns, F.col(f"`{text_column}`").alias("text")])
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 

@@ -144,7 +144,7 @@ def write_archives(docs: DataFrame, folder: str, id_column: str = "doc_id", text
             yield archive.close()
 
     arrow.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     rows.mapInArrow(write, "archive string, members long, bytes long").write.parquet(f"{folder}/written")
 
 

@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, model: AttentionModel, keep: list[str], thr
         return pa.RecordBatch.from_arrays([*columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*(f"_keep_{i}" for i in range(len(fields))), "score", "predicted"])
 
     columns = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    scored = arrow.map_texts(docs, score, schema, [*columns, F.col(text_column).alias("text")])
+    scored = arrow.map_texts(docs, score, schema, [*columns, F.col(f"`{text_column}`").alias("text")])
     return scored.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
 
 

@@ -7,8 +7,9 @@ much smaller than the limit, and the sums of cells are the sizes of all shallowe
 A bucket is in the directory if it fits and the bucket of one bit less doesn't. Only cells
 that are still too large are summed again, ``MORE_BITS`` deeper each time.
 
-Rows of one key can't be told apart by any bit; beyond the limit they are one shard marked
-oversized, with its bytes, for a writer to cut into several files.
+Rows are hashed by their id and text, so a frequent or null id spreads. Only rows equal in
+both can't be told apart by any bit; beyond the limit they are one shard marked oversized,
+with its bytes, for a writer to cut into several files.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ HASH_BITS = 60
 MORE_BITS = 6
 
 
-def key_hash(key: Column) -> Column:
-    """The leading 60 bits of the md5 of a key's text; a null key counts as an empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def key_hash(key: Column, text: Column) -> Column:
+    """The leading 60 bits of the md5 of a key and its text's md5; nulls count as empty texts."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _sums(n_rows: Column) -> list[Column]:
@@ -48,11 +50,12 @@ def shards(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column:
     """(doc_id, bytes, shard, depth, shard_bytes, shard_rows, oversized) of every row.
 
     shard holds the leading bits of its documents' hashes as 0s and 1s; it is empty if one
-    shard holds all. bytes are those of the text in UTF-8, 0 for a null text; a null id is
-    placed like an empty one, and rows of one id stay together. Empty tables stay empty.
+    shard holds all. bytes are those of the text in UTF-8, 0 for a null text; null ids and
+    texts are placed like empty ones, and only rows equal in id and text must stay together.
+    Empty tables stay empty. Other columns are not read.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("bytes")).withColumn("h", key_hash(F.col("doc_id")))
-    rows = storage.settle(rows)
+    key, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    rows = storage.settle(docs.select(key.alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(key, text).alias("h")))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     # cells of a 64th of the limit on average
     depth = first_bits if first_bits is not None else min(HASH_BITS, (total // max(limit, 1)).bit_length() + 6)
@@ -86,7 +89,8 @@ def oracle_sql(limit: int) -> str:
     return f"""
 WITH rows AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h,
+    row_number() OVER () AS i
   FROM documents
 ), buckets AS (
   SELECT depth, h >> ({HASH_BITS} - depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows, min(h) = max(h) AS single
@@ -94,7 +98,7 @@ WITH rows AS (
 ), placed AS (
   SELECT r.doc_id, r.bytes, min(struct_pack(d := b.depth, prefix := b.prefix, b := b.shard_bytes, n := b.shard_rows)) AS x
   FROM rows r JOIN buckets b ON b.prefix = r.h >> ({HASH_BITS} - b.depth)
-  WHERE b.shard_bytes <= {limit} OR b.single GROUP BY r.doc_id, r.bytes, r.h
+  WHERE b.shard_bytes <= {limit} OR b.single GROUP BY r.doc_id, r.bytes, r.i
 )
 SELECT doc_id, bytes, CASE WHEN x.d = 0 THEN '' ELSE right(lpad(bin(x.prefix), {HASH_BITS}, '0'), CAST(x.d AS INT)) END AS shard,
   CAST(x.d AS INT) AS depth, CAST(x.b AS BIGINT) AS shard_bytes, CAST(x.n AS BIGINT) AS shard_rows, x.b > {limit} AS oversized

@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         prints = fingerprint_texts(*ragged.text_bytes(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return arrow.map_texts(docs, run, "doc_id long, fp long", [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")])
+    return arrow.map_texts(docs, run, "doc_id long, fp long", [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")])
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
