@@ -7,8 +7,10 @@ with the largest expected number of words, and the score that label's share.
 
 Documents carry one label, though parts may be in another language. Fitting therefore goes
 from a model without transitions on the documents' labels to word labels smoothed along the
-text, and then fits emissions and transitions together on these. It uses a bounded sample:
-``SAMPLE`` documents a language by hash order, ``WINDOWS`` evenly spaced windows of each.
+text, and then fits emissions and transitions together on these. It uses the whole texts of a
+bounded sample, ``sample`` documents a language by hash order. Their words become blocks of
+feature slots, settled as a table; each round sums the gradient of all blocks on the
+executors, and only ``BLOCKS`` sums of the table's size reach the driver.
 
 Prediction is one pass without a shuffle. Long texts are cut into segments whose transfer
 matrices are multiplied, so that the result is exact and the number of steps bounded.
@@ -16,6 +18,7 @@ matrices are multiplied, so that the result is exact and the number of steps bou
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import arrow, pretokens, ragged
+from . import arrow, pretokens, ragged, storage
 
-SAMPLE, WINDOWS, WINDOW_WORDS = 300, 4, 64
+#: Documents a language to fit on, languages at most, and partitions of the blocks that are fitted on.
+SAMPLE, MOST_LANGUAGES, BLOCKS = 300, 64, 8
+#: Rounds without and with transitions.
+ROUNDS = (20, 15)
 TABLE_BITS = 16
 SEGMENT = 256
 UNDETERMINED = "und"
@@ -192,85 +198,156 @@ class _Adam:
         return value + self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, languages: list[str], rounds: tuple[int, int] = (30, 30), rate: float = 0.1, decay: float = 1e-5) -> ChainModel:
-    """Fit on texts (windows of documents) that each carry one label."""
+@dataclass
+class Block:
+    """Words of some whole texts: entries (word kind, slot), each word's kind, each text's first word and label, and word labels if known."""
+
+    kind: np.ndarray
+    slot: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    label: np.ndarray
+    gold: np.ndarray
+
+    SCHEMA = "kind binary, slot binary, words binary, first binary, label binary, gold binary"
+
+    @classmethod
+    def of_texts(cls, buf: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Block:
+        buf = _fold(buf)
+        starts, ends, first = ragged.words(buf, offsets)
+        starts, ends = cores(buf, starts, ends)
+        index, words = ragged.unique_spans(buf, starts, ends) if len(starts) else (starts, starts)
+        return cls(*word_entries(buf, starts[index], ends[index]), words, first, label, np.zeros(0, np.int64))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Iterator[Block]:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            yield cls(*(np.frombuffer(x, np.int64) for x in row))
+
+    def row(self) -> pa.RecordBatch:
+        parts = (self.kind, self.slot, self.words, self.first, self.label, self.gold)
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in parts], [c.split()[0] for c in self.SCHEMA.split(", ")])
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        n = int(self.words.max(initial=-1)) + 1
+        return emissions(weights, (self.kind, self.slot), n)[self.words]
+
+    def gradient(self, residual: np.ndarray) -> np.ndarray:
+        """The sum over words of the gradient of the weights, from the gradient of their scores."""
+        n = int(self.words.max(initial=-1)) + 1
+        count = np.maximum(np.bincount(self.kind, minlength=n), 1)
+        out = []
+        for j in range(residual.shape[1]):
+            by_kind = np.bincount(self.words, residual[:, j], n) / np.sqrt(count)
+            out.append(np.bincount(self.slot, by_kind[self.kind], 1 << TABLE_BITS))
+        return np.stack(out, 1)
+
+    def pairs(self, k: int) -> np.ndarray:
+        """Numbers of neighbouring word labels within texts."""
+        inner = np.ones(len(self.gold), bool)
+        inner[self.first[:-1][np.diff(self.first) > 0]] = False
+        at = np.flatnonzero(inner)
+        return np.bincount(self.gold[at - 1] * k + self.gold[at], minlength=k * k).reshape(k, k)
+
+
+def _summed(blocks: DataFrame, k: int, part: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sums of ``part`` (gradients of weights and transitions) and of words over all blocks; a partition gives one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, moves, n = np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)), 0
+        for batch in batches:
+            for block in Block.read(batch):
+                if len(block.words):
+                    w, m = part(block)
+                    weights, moves, n = weights + w, moves + m, n + len(block.words)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([moves.tobytes()]), pa.array([n])], ["weights", "moves", "n"])
+
+    rows = blocks.mapInArrow(run, "weights binary, moves binary, n long").toArrow().to_pylist()  # at most BLOCKS rows
+    weights = sum((np.frombuffer(r["weights"], np.float32).reshape(-1, k).astype(float) for r in rows), np.zeros((1 << TABLE_BITS, k)))
+    return weights, sum((np.frombuffer(r["moves"]).reshape(k, k) for r in rows), np.zeros((k, k))), sum(r["n"] for r in rows)
+
+
+def fit(rows: DataFrame, languages: list[str], rounds: tuple[int, int] = ROUNDS, rate: float = 0.1, decay: float = 1e-5) -> ChainModel:
+    """Fit on the whole texts of (doc_id, lang, text), each of one of the languages."""
     k = len(languages)
-    weights, transitions = np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k))
-    buf, offsets = ragged.pack_bytes(texts)
-    buf = _fold(buf)
-    starts, ends, first = ragged.words(buf, offsets)
-    starts, ends = cores(buf, starts, ends)
-    if k < 2 or not len(starts):
+    weights, transitions = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
+    if k < 2:
         return ChainModel(languages, weights, transitions)
-    index, inverse = ragged.unique_spans(buf, starts, ends)
-    entries = word_entries(buf, starts[index], ends[index])
-    count = np.maximum(np.bincount(entries[0], minlength=len(index)), 1)
-    gold = np.zeros((len(starts), k))
-    gold[np.arange(len(starts)), np.repeat(labels, np.diff(first))] = 1
 
-    def climb(adam: _Adam, residual: np.ndarray) -> np.ndarray:
-        by_word = np.stack([np.bincount(inverse, residual[:, j], len(index)) for j in range(k)], 1) / np.sqrt(count)[:, None]
-        gradient = np.stack([np.bincount(entries[1], by_word[entries[0], j], 1 << TABLE_BITS) for j in range(k)], 1)
-        return adam("weights", weights, gradient / len(starts) - decay * weights)
+    def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        label = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
+        return Block.of_texts(*ragged.text_bytes(batch.column(2)), label).row()
+
+    dealt = rows.repartition(BLOCKS, "doc_id").sortWithinPartitions("doc_id", "lang")
+    blocks = storage.settle(arrow.map_texts(dealt, prepare, Block.SCHEMA, ["doc_id", "lang", "text"]))
+
+    def by_document(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        s = block.scores(weights)
+        p = np.exp(s - s.max(1, keepdims=True))
+        p /= -p.sum(1, keepdims=True)
+        p[np.arange(len(p)), np.repeat(block.label, np.diff(block.first))] += 1
+        return block.gradient(p), np.zeros((k, k))
 
     adam = _Adam(rate)
     for _ in range(rounds[0]):
         adam.step += 1
-        s = emissions(weights, entries, len(index))[inverse]
-        p = np.exp(s - s.max(1, keepdims=True))
-        weights = climb(adam, gold - p / p.sum(1, keepdims=True))
+        gradient, _, n = _summed(blocks, k, by_document)
+        if not n:
+            return ChainModel(languages, weights, transitions)
+        weights = adam("weights", weights, gradient / n - decay * weights).astype(np.float32)
     sticky = np.full((k, k), np.log(0.02 / max(k - 1, 1)))
     np.fill_diagonal(sticky, np.log(0.98))
-    smooth, _ = posteriors(emissions(weights, entries, len(index))[inverse], first, sticky)
-    gold = np.zeros_like(gold)
-    gold[np.arange(len(starts)), smooth.argmax(1)] = 1
-    label = gold.argmax(1)
-    inner = np.ones(len(label), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    follow = np.flatnonzero(inner)
-    observed = np.bincount(label[follow - 1] * k + label[follow], minlength=k * k).reshape(k, k)
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in Block.read(batch):
+                block.gold = posteriors(block.scores(weights), block.first, sticky)[0].argmax(1)
+                yield block.row()
+
+    blocks = storage.settle(blocks.mapInArrow(smooth, Block.SCHEMA))
     transitions, adam = sticky.copy(), _Adam(rate)
+
+    def by_word(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        p, expected = posteriors(block.scores(weights), block.first, transitions)
+        p = -p
+        p[np.arange(len(p)), block.gold] += 1
+        return block.gradient(p), block.pairs(k) - expected
+
     for _ in range(rounds[1]):
         adam.step += 1
-        p, expected = posteriors(emissions(weights, entries, len(index))[inverse], first, transitions)
-        weights = climb(adam, gold - p)
-        transitions = np.clip(adam("transitions", transitions, (observed - expected) / len(starts) - 1e-4 * transitions), -12, 12)
-    return ChainModel(languages, weights.astype(np.float32), transitions)
+        gradient, moves, n = _summed(blocks, k, by_word)
+        weights = adam("weights", weights, gradient / n - decay * weights).astype(np.float32)
+        transitions = np.clip(adam("transitions", transitions, moves / n - 1e-4 * transitions), -12, 12)
+    return ChainModel(languages, weights, transitions)
 
 
-def training_windows(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """Windows, their labels and the languages, of a bounded sample of (doc_id, text, lang).
+def training_rows(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> tuple[DataFrame, list[str]]:
+    """A bounded sample of (doc_id, lang, text), whole texts, and the languages: ``sample`` documents of each by hash order.
 
     Rows with a null in any of the three are left out; of a repeated id the smallest text
-    counts once for a language.
+    counts once for a language. Candidates are the ids in so small a range of hashes that
+    about four times the sample lie there, so no task ranks more. More than
+    ``most_languages`` languages are an error, as the model has a weight table for each.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offsets = ragged.text_bytes(batch.column(2))
-        raw = buf.tobytes()
-        starts, ends, first = ragged.words(buf, offsets)
-        out = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            begin = np.unique(np.linspace(a, max(a, b - WINDOW_WORDS), WINDOWS).astype(int)) if b > a + WINDOW_WORDS else [a] * (b > a)
-            out.append([raw[starts[i] : ends[min(i + WINDOW_WORDS, b) - 1]] for i in begin])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "windows"])
-
-    found = arrow.map_texts(rows, cut, "doc_id long, lang string, windows array<binary>", ["doc_id", "lang", "text"])
-    found = found.toPandas().sort_values(["lang", "doc_id"])  # at most ``sample`` rows a language
-    languages = sorted(found["lang"].unique())
-    texts = [bytes(w) for ws in found["windows"] for w in ws]
-    labels = np.array([languages.index(x) for x, ws in zip(found["lang"], found["windows"]) for _ in ws], np.int64)
-    return texts, labels, languages
-
-
-def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> ChainModel:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    h = F.xxhash64("doc_id")
+    inside = F.lit(False)
+    for lang, n in counts.items():
+        limit = -(2**63) + int(min(1.0, 4 * sample / n) * (2**64 - 1))
+        inside = F.when(F.col("lang") == lang, h <= min(limit, 2**63 - 1)).otherwise(inside)
+    order = Window.partitionBy("lang").orderBy(h, "doc_id")
+    ids = known.where(inside).select("doc_id", "lang").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
+    # at most sample x most_languages ids
+    return known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), sorted(counts)
+
+
+def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> ChainModel:
     """A model from rows with a language outside the held-out fold (crc32 of the id in decimal, modulo ``folds``)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.pmod(arrow.crc32_of_id("doc_id"), F.lit(folds)) != held_out)
-    return fit(*training_windows(rows))
+    return fit(*training_rows(rows, sample, most_languages))
 
 
 def label_documents(docs: DataFrame, model: ChainModel, keep: list[str], text_column: str = "text") -> DataFrame:

@@ -5,9 +5,9 @@ layer over shape statistics (letters, case, digits, symbols, repetition, lines),
 attention weighs the encoded passages, and the weighted sum is scored. Only documents have
 labels; the attention learns which passages decide.
 
-The model is fitted on the driver from a bounded sample (``SAMPLE`` labelled documents by
-hash order, at most ``SAMPLE_PASSAGES`` evenly spaced passages of each) whose features come
-from the executors; scoring is one pass over whole texts without a shuffle.
+The model is fitted on the driver from all passages of a bounded number of labelled
+documents (``sample``, by hash order), of which only the features come from the executors;
+scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import arrow, ragged
 
 PASSAGE = 64
+#: Labelled documents to fit on.
 SAMPLE = 3000
-SAMPLE_PASSAGES = 48
 
 _CLASS = np.full(256, 4, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 symbol, 4 other mark, 5 white space, 6 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -161,10 +161,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, edges = passage_features(*ragged.text_bytes(batch.column(2)))
-        bags = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            pick = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(np.int64))
-            bags.append(x[pick].ravel())
+        bags = [x[a:b].ravel() for a, b in zip(edges[:-1], edges[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
     found = arrow.map_texts(rows, encode, "doc_id long, label int, x array<float>", ["doc_id", F.col("label").cast("int").alias("label"), "text"])
@@ -192,14 +189,14 @@ def score_documents(docs: DataFrame, model: AttentionModel, keep: list[str], thr
     return scored.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0) -> AttentionModel:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> AttentionModel:
     """A model from labelled rows outside the held-out fold (crc32 of the id in decimal, modulo ``folds``)."""
     rows = labels.where(F.pmod(arrow.crc32_of_id("doc_id"), F.lit(folds)) != held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
-    return fit(*sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows))
+    return fit(*sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, sample))
 
 
 def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts score the threshold or more."""
+    """The rows of ``docs`` whose texts score the threshold or more, with all columns. Null and empty texts are scored like any; repeated rows are each kept or not."""
     return arrow.filter_texts(docs, lambda texts: model.score(*passage_features(*ragged.text_bytes(texts))) >= threshold, text_column)
 
 

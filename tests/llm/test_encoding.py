@@ -78,3 +78,39 @@ def test_packing_is_tight():
 
 def test_helper_texts_cover_the_cases():
     assert None in texts() and "" in texts()
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), (1.0, 0.2, 3.0), (0.0, 1.0, 1.0)])
+def test_choice_of_sequence_is_brute_force(rule, weights):
+    """Each piece's sequence by plain loops over all sequences ever opened, with documents and cost that bind."""
+    rng = random.Random(3)
+    lengths = sorted((rng.choice([rng.randint(1, 200), rng.randint(1, 20)]) for _ in range(600)), reverse=True)
+    full = (200, 7, 200 * 200)
+    where, offset = packing.best_fit(np.array(lengths), *full, weights, rule)
+    sequences, bound = [], Counter()
+    for length, got, at in zip(lengths, where.tolist(), offset.tolist()):
+        item = (length, 1, length * length)
+        values = {}
+        for k, (left, _) in enumerate(sequences):
+            if all(a >= b for a, b in zip(left, item)):
+                rest = [(a - b) / f for a, b, f in zip(left, item, full)]
+                values[k] = sum(w * r * r for w, r in zip(weights, rest)) if rule == "norm" else -sum(w * a * b / f / f for w, a, b, f in zip(weights, left, item, full))
+            elif left[0] >= length:
+                bound[left[1] < 1] += 1  # tokens would have fitted
+        if not values:
+            assert got == len(sequences)
+            sequences.append((full, 0))
+        else:
+            assert values[got] <= min(values.values()) + 1e-12
+        left, used = sequences[got]
+        assert at == used
+        sequences[got] = (tuple(a - b for a, b in zip(left, item)), used + length)
+    assert bound[True] > 100
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(i % 3, 5, "x", None) for i in range(40)], "_row long, length long, `a.b` string, part string")
+    out = packing.pack(pieces, 12, max_documents=2)
+    assert out.columns == ["_row", "length", "a.b", "part", "sequence_id", "offset"] and out.count() == 40
+    assert {r.n for r in out.groupBy("sequence_id").count().withColumnRenamed("count", "n").collect()} == {2}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lagweave.llm import langid, queries, quality
+from lagweave.llm import langid, queries, quality, ragged
 
 from .helpers import SCHEMA, documents, empty, texts
 
@@ -63,6 +63,79 @@ def test_quality_gradient():
     assert np.abs(model.score(x, edges) - y).max() < 0.2
 
 
+def test_attention_is_brute_force():
+    """Scores by plain loops over passages, and the fitted model's gradient by differences."""
+    rng = np.random.default_rng(1)
+    x, edges, y = rng.normal(size=(9, 3)), np.array([0, 2, 3, 9]), np.array([1.0, 0, 1])
+    model = quality.fit(x, edges, y, hidden=4, steps=3)
+
+    def scores(p):
+        out = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            h = [np.tanh(np.clip((v - model.mean) / model.scale, -5, 5) @ p["W"] + p["b"]) for v in x[a:b]]
+            raw = [sum(np.tanh(u @ p["V"])[k] / (1 + np.exp(-(u @ p["U"])[k])) * p["w"][k] for k in range(4)) for u in h]
+            weight = np.exp(raw) / np.exp(raw).sum()
+            out.append(1 / (1 + np.exp(-(sum(w * u for w, u in zip(weight, h)) @ p["c"] + p["d"]))))
+        return np.array(out)
+
+    assert np.allclose(model.score(x, edges), scores(model.parts))
+    loss = lambda p: -np.mean(y * np.log(scores(p)) + (1 - y) * np.log(1 - scores(p)))
+    # the first step of Adam moves each part by the rate against its gradient's sign
+    before, after = quality.fit(x, edges, y, hidden=4, steps=0, decay=0.0).parts, quality.fit(x, edges, y, hidden=4, steps=1, decay=0.0, rate=1e-3).parts
+    for name, value in before.items():
+        for at in np.ndindex(value.shape):
+            moved = {k: v.copy() for k, v in before.items()}
+            moved[name][at] += 1e-5
+            slope = (loss(moved) - loss(before)) / 1e-5
+            assert abs(slope) < 1e-4 or np.sign(after[name][at] - value[at]) == -np.sign(slope)
+
+
+def test_bounds_on_samples(spark):
+    docs, labels, _ = labelled(spark, 120)
+    rows, languages = langid.training_rows(docs, sample=7)
+    assert languages == sorted(SYLLABLES) and {r["count"] for r in rows.groupBy("lang").count().collect()} == {7}
+    assert {r.text for r in rows.collect()} <= {r.text for r in docs.collect()}
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.training_rows(docs, most_languages=2)
+    x, edges, y = quality.sample_features(docs, labels.withColumnRenamed("quality", "label"), sample=11)
+    assert len(y) == 11 and len(x) == edges[-1]
+
+
+def test_language_gradient_is_brute_force(spark):
+    """The gradient summed over blocks is that of the log-likelihood, by differences."""
+    docs, _, _ = labelled(spark, 30)
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+    rng, k = np.random.default_rng(2), 3
+    weights, moves = rng.normal(0, 0.3, (1 << langid.TABLE_BITS, k)), rng.normal(0, 0.5, (k, k))
+    buf, offsets = ragged.pack_bytes([r[2].encode() for r in rows])
+    block = langid.Block.of_texts(buf, offsets, np.array([sorted(SYLLABLES).index(r[1]) for r in rows]))
+    block.gold = rng.integers(0, k, len(block.words))
+    (same,) = langid.Block.read(block.row())
+    assert all(np.array_equal(a, b) for a, b in zip(vars(same).values(), vars(block).values()))
+
+    def likelihood(w, m):
+        s, total = block.scores(w), 0.0
+        for a, b in zip(block.first[:-1], block.first[1:]):
+            path = block.gold[a:b]
+            alpha = s[a] + np.log(np.exp(m).sum(0))  # the label before the first word is free
+            score = s[a, path[0]] + np.log(np.exp(m).sum(0))[path[0]]
+            for i in range(a + 1, b):
+                alpha = np.log(np.exp(alpha[:, None] + m).sum(0)) + s[i]
+                score += m[path[i - a - 1], path[i - a]] + s[i, path[i - a]]
+            total += score - np.log(np.exp(alpha).sum())
+        return total
+
+    p, expected = langid.posteriors(block.scores(weights), block.first, moves)
+    one_hot = np.eye(k)[block.gold]
+    gradient = block.gradient(one_hot - p)
+    base = likelihood(weights, moves)
+    for slot in rng.choice(block.slot, 8):
+        for j in range(k):
+            moved = weights.copy()
+            moved[slot, j] += 1e-4
+            assert abs((likelihood(moved, moves) - base) / 1e-4 - gradient[slot, j]) < 0.02
+
+
 def test_forward_backward_is_brute_force(monkeypatch):
     monkeypatch.setattr(langid, "SEGMENT", 3)
     rng, k = np.random.default_rng(0), 3
