@@ -50,12 +50,9 @@ def _summary(trajectory: DataFrame, rules: LifecycleRules, keys: list[str]) -> D
     )
 
 
-def lifecycle(trajectory: DataFrame, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
-    """The latest relation of each edge with its stability, uncertainty and state.
-
-    Below ``min_points`` points stability and uncertainty are NULL and the state is birth.
-    """
-    s = _summary(trajectory, rules, keys).withColumn("prior_mean", F.coalesce("prior_mean", "recent_mean"))
+def _rated(s: DataFrame, rules: LifecycleRules) -> DataFrame:
+    """Stability, uncertainty and state from a trajectory's summary."""
+    s = s.withColumn("prior_mean", F.coalesce("prior_mean", "recent_mean"))
     enough = F.col("points") >= rules.min_points
     stability = F.when(enough, stats.clamp01(F.col("recent_mean") * F.col("sign_consistency") * F.col("lag_consistency")))
     s = s.withColumns({"stability": stability, "uncertainty": F.when(enough, F.col("spread"))})
@@ -70,12 +67,43 @@ def lifecycle(trajectory: DataFrame, rules: LifecycleRules = LifecycleRules(), k
         .when(endorsed, "stable")
         .otherwise("birth")
     )
-    return s.select(*keys, "latest.*", "points", "stability", "uncertainty", "recent_mean", "prior_mean", "slope", state.alias("state"))
+    return s.withColumn("state", state)
+
+
+def lifecycle(trajectory: DataFrame, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
+    """The latest relation of each edge with its stability, uncertainty and state.
+
+    Below ``min_points`` points stability and uncertainty are NULL and the state is birth.
+    """
+    return _rated(_summary(trajectory, rules, keys), rules).select(*keys, "latest.*", "points", "stability", "uncertainty", "recent_mean", "prior_mean", "slope", "state")
+
+
+def running_lifecycle(trajectory: DataFrame, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
+    """``lifecycle`` of every prefix of each trajectory, as its last step's row: frames over one sort, linear in the steps."""
+    order = Window.partitionBy(*keys).orderBy("step")
+    last = lambda n: order.rowsBetween(1 - n, 0)
+    recent, prior, tail = last(rules.recent_points), order.rowsBetween(Window.unboundedPreceding, -rules.recent_points), last(max(2 * rules.recent_points, 3))
+    rows = trajectory.withColumn("_i", F.row_number().over(order).cast("double"))
+    rows = rows.withColumns({
+        "points": F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "recent_mean": F.avg("score").over(recent),
+        "prior_mean": F.avg("score").over(prior),
+        "_near": F.collect_list(F.struct("weight", "lag")).over(recent),
+        "spread": F.stddev_pop("weight").over(recent),
+        "slope": F.coalesce(F.regr_slope("score", "_i").over(tail), F.lit(0.0)),
+        "all_low": F.max("score").over(last(rules.dead_points)) < rules.score_floor,
+    })
+    share = lambda ok: F.size(F.filter("_near", ok)) / F.size("_near")
+    same_sign = share(lambda p: (F.signum(p["weight"]) == F.signum(F.col("weight"))) & (F.signum(F.col("weight")) != 0))
+    rows = rows.withColumns({"sign_consistency": same_sign, "lag_consistency": share(lambda p: p["lag"] == F.col("lag"))}).drop("_near", "_i")
+    return _rated(rows, rules)
 
 
 def detection_lags(trajectory: DataFrame, death_step: int | Column, rules: LifecycleRules = LifecycleRules(), keys: list[str] = EDGE) -> DataFrame:
-    """Steps from a relation's end until its state first is decaying, on prefixes of the trajectory; NULL if it never is."""
-    ends = trajectory.where(F.col("step") >= death_step).select(*keys, F.col("step").alias("prefix_end"), (F.col("step") - death_step).alias("since"))
-    prefixes = trajectory.join(ends, keys).where("step <= prefix_end")
-    states = lifecycle(prefixes, rules, [*keys, "prefix_end", "since"])
-    return states.groupBy(*keys).agg(F.min(F.when(F.col("state") == "decaying", F.col("since"))).alias("detection_lag"))
+    """Steps from a relation's end until its state first is decaying, on prefixes of the trajectory; NULL if it never is.
+
+    Edges without a step from ``death_step`` on have no row.
+    """
+    death = F.lit(death_step) if isinstance(death_step, int) else death_step
+    states = running_lifecycle(trajectory.withColumn("_since", F.col("step") - death), rules, keys).where("_since >= 0")
+    return states.groupBy(*keys).agg(F.min(F.when(F.col("state") == "decaying", F.col("_since"))).alias("detection_lag"))

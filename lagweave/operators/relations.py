@@ -7,6 +7,9 @@ partial moments, so a long series or a wide panel is shared by many tasks.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,28 +60,33 @@ def ranked(relations: DataFrame, keys: tuple[str, ...] = ("series_id", "target")
     return relations.withColumn("rank", F.row_number().over(order))
 
 
-def rolling_correlations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool = False) -> DataFrame:
+def rolling_correlations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False) -> DataFrame:
     """Correlations over the ``window`` steps before each step; both ends of a pair lie inside.
 
     A step that is one past the end of a series is included. Steps whose window isn't full
-    are left out. differenced: values are differences, whose first in a window is unknown.
+    are left out. differenced: whether all values are differences, or which signals are; a
+    difference's first value in a window is unknown, so pairs of such a source begin a step later.
     """
     if window <= max_lag:
         raise ValueError("the window must be longer than the lag")
     pairs = lag_pairs(panel, max_lag, target)
     ends = pairs.groupBy(*EDGE, "lag").agg((F.max("t") + 1).alias("t"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    rows = pairs.unionByName(ends)
+    shift = F.lit(int(differenced)) if isinstance(differenced, bool) else F.col("source").isin(*differenced).cast("int")
+    # a frame is a range of t, so that gaps can't widen it. Its length depends on the lag and the source: steps are stretched
+    # to a common multiple of all lengths, on which every frame is as long
+    most = [window - lag - d for lag in range(1, max_lag + 1) for d in (0, 1) if window - lag - d > 0]
+    whole = math.lcm(*most)
+    if whole >= 1 << 40:
+        raise ValueError("the window and its lags have too large a common multiple")
+    length = window - F.col("lag") - shift
+    rows = pairs.unionByName(ends).withColumn("_place", F.col("t") * (F.lit(whole) / F.nullif(length, F.lit(0))).cast("long"))
     first = panel.where("value is not null").groupBy("series_id").agg(F.min("t").alias("first_t"))
-    # a frame is a range of t, so that gaps can't widen it; it starts later by the lag, and once more for a difference
-    parts = None
-    for lag in range(1, max_lag + 1):
-        frame = Window.partitionBy(*EDGE).orderBy("t").rangeBetween(-(window - lag - differenced), -1)
-        part = rows.where(F.col("lag") == lag).select(*EDGE, "lag", "t", stats.pearson_over("x", "y", frame).alias("weight"), F.count("x").over(frame).alias("sample_count"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.join(first, "series_id").where(F.col("t") - F.col("first_t") >= window).drop("first_t").withColumnRenamed("t", "step")
+    frame = Window.partitionBy(*EDGE, "lag").orderBy("_place").rangeBetween(-whole, -1)
+    found = rows.where(length > 0).select(*EDGE, "lag", "t", stats.pearson_over("x", "y", frame).alias("weight"), F.count("x").over(frame).alias("sample_count"))
+    return found.join(first, "series_id").where(F.col("t") - F.col("first_t") >= window).drop("first_t").withColumnRenamed("t", "step")
 
 
-def rolling_relations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool = False) -> DataFrame:
+def rolling_relations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False) -> DataFrame:
     """The best relation of every edge in the window before each step, with the window's bounds."""
     best = best_lags(rolling_correlations(panel, max_lag, window, target, differenced), [*EDGE, "step"])
     return best.withColumn("window_start", F.col("step") - window).withColumn("window_end", F.col("step"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,41 @@ VALUE_BYTES = 8
 TRUST_LOW, TRUST_HIGH = 0.15, 0.50
 
 
-def budget_threshold(budget: Column) -> Column:
-    return BUDGET_FLOOR + (1 - budget) * (BUDGET_CEILING - BUDGET_FLOOR)
+@dataclass(frozen=True)
+class BudgetRule:
+    """Score limits of the whole and of the empty budget, and bytes of a value."""
+
+    floor: float = BUDGET_FLOOR
+    ceiling: float = BUDGET_CEILING
+    value_bytes: int = VALUE_BYTES
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.floor < self.ceiling <= 1:
+            raise ValueError("limits must rise inside [0, 1]")
+        if self.value_bytes <= 0:
+            raise ValueError("value_bytes must be positive")
+
+
+@dataclass(frozen=True)
+class TrustRule:
+    """Trust below which nothing and above which everything is admitted."""
+
+    low: float = TRUST_LOW
+    high: float = TRUST_HIGH
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.low < self.high <= 1:
+            raise ValueError("limits must rise inside [0, 1]")
 
 
-def tiers(spark: SparkSession, budgets: tuple[float, ...] = TIERS) -> DataFrame:
-    return spark.createDataFrame([(b,) for b in budgets], "budget double").withColumn("threshold", budget_threshold(F.col("budget")))
+def budget_threshold(budget: Column, rule: BudgetRule = BudgetRule()) -> Column:
+    return rule.floor + (1 - budget) * (rule.ceiling - rule.floor)
+
+
+def tiers(spark: SparkSession, budgets: tuple[float, ...] = TIERS, rule: BudgetRule = BudgetRule()) -> DataFrame:
+    if not all(0 <= b <= 1 for b in budgets):
+        raise ValueError("budgets must be inside [0, 1]")
+    return spark.createDataFrame([(b,) for b in budgets], "budget double").withColumn("threshold", budget_threshold(F.col("budget"), rule))
 
 
 def retain(relations: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -45,16 +76,29 @@ def resource_profile(relations: DataFrame, budgets: DataFrame, lags: int, rows:
     return table.select("series_id", "target", "budget", "threshold", "retained", "rows", work.alias("compute"), work.alias("memory"), (work * VALUE_BYTES).alias("bytes"))
 
 
-def admission(trust: Column) -> Column:
+def admission(trust: Column, rule: TrustRule = TrustRule()) -> Column:
     """0 below the low limit, 1 above the high one, linear between; trust outside 0 to 1 is an error."""
     inside = (trust >= 0) & (trust <= 1)
-    between = (trust - TRUST_LOW) / (TRUST_HIGH - TRUST_LOW)
-    return F.when(trust.isNull(), None).when(~inside, F.raise_error(F.lit("trust must be inside [0, 1]")).cast("double")).when(trust <= TRUST_LOW, 0.0).when(trust >= TRUST_HIGH, 1.0).otherwise(between)
+    between = (trust - rule.low) / (rule.high - rule.low)
+    return F.when(trust.isNull(), None).when(~inside, F.raise_error(F.lit("trust must be inside [0, 1]")).cast("double")).when(trust <= rule.low, 0.0).when(trust >= rule.high, 1.0).otherwise(between)
 
 
-def trust_gates(relations: DataFrame) -> DataFrame:
+def trust_gates(relations: DataFrame, rule: TrustRule = TrustRule()) -> DataFrame:
     """Direction and admission of every ranked source."""
-    return ranked(relations).withColumns({"direction": F.when(F.col("weight") < 0, -1).otherwise(1), "trust": F.col("score"), "admission": admission(F.col("score"))})
+    return ranked(relations).withColumns({"direction": F.when(F.col("weight") < 0, -1).otherwise(1), "trust": F.col("score"), "admission": admission(F.col("score"), rule)})
+
+
+def with_full_trust(relations: DataFrame, source: str) -> DataFrame:
+    """The relations as if one source were trusted fully: score 1, and a weight of 1 with its sign (1 for 0)."""
+    own = F.col("source") == source
+    weight = F.when(own, F.when(F.col("weight") < 0, -1.0).otherwise(1.0)).otherwise(F.col("weight"))
+    return relations.withColumns({"weight": weight, "score": F.when(own, 1.0).otherwise(F.col("score"))})
+
+
+def mark_selected(relations: DataFrame, selected: DataFrame, keys: tuple[str, ...] = ("series_id", "source")) -> DataFrame:
+    """Add whether each relation is among the selected ones, by keys."""
+    chosen = selected.select(*keys).distinct().withColumn("_chosen", F.lit(True))
+    return relations.join(chosen, [*keys], "left").withColumn("selected", F.coalesce("_chosen", F.lit(False))).drop("_chosen")
 
 
 def gated_mixture(panel: DataFrame, gates: DataFrame) -> DataFrame:
@@ -76,19 +120,21 @@ def noise_floor(samples: Column, comparisons: int, alpha: float = 0.05) -> Colum
     return stats.fisher_threshold(samples, stats.critical_z(alpha, comparisons))
 
 
-def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_stability: float = 0.45, max_uncertainty: float = 0.20, min_support: float = 0.50, keys: tuple[str, ...] = ("series_id", "target")) -> DataFrame:
+def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_stability: float = 0.45, max_uncertainty: float = 0.20, min_support: float = 0.50, keys: tuple[str, ...] = ("series_id",), reference_samples: int | None = None) -> DataFrame:
     """Decide on relations by significance, stability, uncertainty and support, with the first failing check as reason.
 
-    A NULL stability or uncertainty fails. keys name a family of candidates.
+    A NULL stability or uncertainty fails. keys name a family of candidates that share the
+    false-discovery rate, one of a series by default. Support is a share of
+    ``reference_samples``, or else of the family's largest sample.
     """
+    if reference_samples is not None and reference_samples <= 0:
+        raise ValueError("reference_samples must be positive")
     tested = benjamini_hochberg(relations.withColumn("p_value", stats.correlation_p(F.col("score"), F.col("sample_count"))), alpha, keys)
     family = Window.partitionBy(*keys)
-    tested = tested.withColumns({"support": F.least(F.lit(1.0), F.col("sample_count") / F.max("sample_count").over(family)), "_pairs": F.size(F.collect_set(F.struct("source", "target")).over(family))})
-    # the floor's critical value depends on the number of pairs alone: a table of a few rows
-    spark = relations.sparkSession
-    sizes = [r[0] for r in tested.select("_pairs").distinct().collect()]
-    levels = spark.createDataFrame([(n, stats.critical_z(alpha, max_lag * n)) for n in sizes], "_pairs int, _z double")
-    tested = tested.join(F.broadcast(levels), "_pairs").withColumn("noise_floor", stats.fisher_threshold(F.col("sample_count"), F.col("_z")))
+    most = F.lit(reference_samples) if reference_samples is not None else F.max("sample_count").over(family)
+    pairs = F.size(F.collect_set(F.struct("source", "target")).over(family))
+    level = stats.critical(stats.sidak_alpha(alpha, pairs * max_lag))
+    tested = tested.withColumns({"support": F.least(F.lit(1.0), F.col("sample_count") / most), "_z": level}).withColumn("noise_floor", stats.fisher_threshold(F.col("sample_count"), F.col("_z")))
     reason = (
         F.when(F.col("p_value") > F.col("fdr_cutoff"), "below_fdr_corrected_effect")
         .when(F.coalesce(F.col("stability") < min_stability, F.lit(True)), "insufficient_stability")
@@ -97,7 +143,7 @@ def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_s
         .otherwise("selected")
     )
     effect = F.coalesce(F.try_divide(F.col("score"), F.col("noise_floor")), F.lit(0.0))
-    return tested.withColumn("reason", reason).withColumns({"selected": F.col("reason") == "selected", "effect_size": effect}).drop("_pairs", "_z")
+    return tested.withColumn("reason", reason).withColumns({"selected": F.col("reason") == "selected", "effect_size": effect}).drop("_z")
 
 
 def fixed_threshold(relations: DataFrame, threshold: float = BUDGET_FLOOR) -> DataFrame:

@@ -54,6 +54,30 @@ def undeclared_persistence(panel: DataFrame, transforms: dict[str, str]) -> Data
     return diagnostics(panel).where(F.col("highly_persistent") & F.col("signal").isin(plain))
 
 
+def persistent_windows(panel: DataFrame, transforms: dict[str, str], window: int) -> DataFrame:
+    """(series_id, signal, step): full windows before a step in which levels declared ``none`` are beyond the limit."""
+    plain = [s for s, kind in transforms.items() if kind == "none"]
+    rows = panel.where(F.col("signal").isin(plain)).select("series_id", "signal", "t", F.lag("value").over(by_signal()).alias("x"), F.col("value").alias("y"))
+    ends = rows.groupBy("series_id", "signal").agg((F.max("t") + 1).alias("t"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    # a pair's earlier value lies in the window as well
+    frame = by_signal().rangeBetween(1 - window, -1)
+    first = F.min("t").over(Window.partitionBy("series_id", "signal"))
+    found = rows.unionByName(ends).withColumns({"acf": stats.pearson_over("x", "y", frame), "first": first})
+    return found.where((F.col("t") - F.col("first") >= window) & (F.abs("acf") > PERSISTENCE_LIMIT)).select("series_id", "signal", F.col("t").alias("step"))
+
+
+class PersistentLevels(ValueError):
+    """Levels that need a transform but are declared ``none``."""
+
+
+def guarded(panel: DataFrame, transforms: dict[str, str]) -> DataFrame:
+    """The transformed panel; raises where a level is beyond the limit though it is declared ``none``."""
+    bad = undeclared_persistence(panel, transforms).select("series_id", "signal").limit(20).collect()
+    if bad:
+        raise PersistentLevels("levels persist, a transform must be declared: " + ", ".join(sorted(f"{r[0]}/{r[1]}" for r in bad)))
+    return transform(panel, transforms)
+
+
 def label(transforms: dict[str, str]) -> str:
     """One transform's name, or the sorted names of several."""
     kinds = sorted({*transforms.values()})

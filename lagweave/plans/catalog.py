@@ -18,6 +18,7 @@ TARGET = panels.TARGET
 #: Lags, rolling window, and the transforms declared for the signals of the base panels.
 LAGS, WINDOW, SEASON = 3, 20, 12
 DECLARED = {s: "diff" for s in ("volume", "quantity", "discount", "tax", "lines", "orders", "finished", "mean_value", "max_value", "users")}
+MIXED = DECLARED | {s: "none" for s in ("quantity", "tax", "orders", "mean_value", "users")}
 LOGS = DECLARED | {s: "log_diff" for s in ("volume", "quantity", "lines", "orders", "users")}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,14 +46,12 @@ def brand_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_steps(spark: SparkSession, d: str) -> DataFrame:
-    sparse = panels.panel(spark, d).where("not (series_id = 'orders' and t % 7 = 3)")
-    gaps = panels.missing_steps(sparse)
+    gaps = panels.missing_steps(panels.panel(spark, d).unionByName(panels.brand_rows(spark, d)))
     return gaps.select("series_id", "t", panels.month_label(F.col("t")).alias("period"))
 
 
 def series_digest(spark: SparkSession, d: str) -> DataFrame:
-    counts = panels.panel(spark, d).where("signal in ('volume', 'lines', 'orders', 'finished', 'users')")
-    return panels.series_digest(counts)
+    return panels.series_digest(panels.panel(spark, d))
 
 
 def lagged_correlations(spark: SparkSession, d: str) -> DataFrame:
@@ -158,9 +157,9 @@ def noise_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bh_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """The step-up cutoff on a smooth stand-in for p-values, (1 - score)^8, which SQL can compute as well."""
-    rows = _budget_relations(spark, d).withColumn("p_value", F.round(F.pow(1 - F.col("score"), F.lit(8)), 12))
-    return selection.benjamini_hochberg(rows, 0.25).select("series_id", "source", "target", out("p_value").alias("p_value"), out("fdr_cutoff").alias("fdr_cutoff"), (F.col("p_value") <= F.col("fdr_cutoff")).alias("rejected"))
+    found = _budget_relations(spark, d)
+    rows = found.withColumn("p_value", F.round(stats.correlation_p(F.col("score"), F.col("sample_count")), 9))
+    return selection.benjamini_hochberg(rows).select("series_id", "source", "target", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), (F.col("p_value") <= F.col("fdr_cutoff")).alias("rejected"))
 
 
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
@@ -170,18 +169,23 @@ def lag_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("series_id", "t", out("y", 4).alias("y"), *[out(F.element_at("x", i + 1), 4).alias(f"x{i}") for i in range(7)])
 
 
+def _unit(frame: DataFrame) -> DataFrame:
+    """Every signal over its own largest value."""
+    return frame.withColumn("value", F.col("value") / F.max("value").over(Window.partitionBy("series_id", "signal")))
+
+
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-products of counts, which are whole numbers: exact in any order."""
-    frame = panels.panel(spark, d).where("series_id = 'orders' and signal in ('orders', 'finished')")
-    sources = spark.createDataFrame([("orders", "m", "finished", 1, 1.0)], "series_id string, model string, source string, rank int, scale double")
-    return models.gram(models.features(frame, "orders", sources, 2)).select("series_id", "i", "j", out("value", 2).alias("value"), "n")
+    """Cross-products of the target with every other signal of its series, all on the scale of 1."""
+    frame = _held(spark, d)
+    others = frame.where(F.col("signal") != TARGET).select("series_id", F.lit("m").alias("model"), F.col("signal").alias("source")).distinct()
+    sources = others.withColumns({"rank": F.row_number().over(Window.partitionBy("series_id").orderBy("source")), "scale": F.lit(1.0)})
+    return models.gram(models.features(_unit(frame), TARGET, sources, 2)).select("series_id", "i", "j", out("value", 6).alias("value"), "n")
 
 
 def ar1_ols(spark: SparkSession, d: str) -> DataFrame:
     frame = _held(spark, d)
-    scaled = frame.withColumn("value", F.when(F.col("signal") == TARGET, F.col("value") / F.max("value").over(Window.partitionBy("series_id", "signal"))).otherwise(F.col("value")))
     none = frame.select("series_id").distinct().select("series_id", F.lit("ar1").alias("model"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("scale"))
-    fitted = models.fit(models.features(scaled, TARGET, none, 1), None, 1)
+    fitted = models.fit(models.features(_unit(frame), TARGET, none, 1), None, 1)
     return fitted.select("series_id", "fit_status", out(F.element_at("coefficients", 1), 6).alias("intercept"), out(F.element_at("coefficients", 2), 6).alias("slope"))
 
 
@@ -195,6 +199,13 @@ def rolling_diff_relations(spark: SparkSession, d: str) -> DataFrame:
     return _relations(relations.rolling_relations(changed, LAGS, WINDOW, TARGET, differenced=True), "step", "window_start", "window_end")
 
 
+def rolling_mixed_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling relations between levels of some signals and changes of others."""
+    changed = transforms.transform(panels.panel(spark, d), MIXED)
+    differenced = [s for s, kind in MIXED.items() if kind != "none"]
+    return _relations(relations.rolling_relations(changed, LAGS, WINDOW, TARGET, differenced), "step", "window_start", "window_end")
+
+
 def expanding_relations(spark: SparkSession, d: str) -> DataFrame:
     return _relations(relations.expanding_relations(panels.panel(spark, d), LAGS, TARGET, WINDOW), "step")
 
@@ -221,7 +232,7 @@ def relation_detection(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
     found = selection.evidence_gate(_lifecycle(spark, d), LAGS)
-    return found.select("series_id", "source", "target", "lag", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), out("noise_floor", 8).alias("noise_floor"), out("effect_size", 8).alias("effect_size"), out("support").alias("support"), "selected", "reason")
+    return found.select("series_id", "source", "target", "lag", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), out("noise_floor", 8).alias("noise_floor"), out("effect_size", 6).alias("effect_size"), out("support").alias("support"), "selected", "reason")
 
 
 def rolling_origin_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -248,12 +259,12 @@ def fold_skill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_skill(spark: SparkSession, d: str) -> DataFrame:
-    found = evaluation.skill_intervals(_fold_skills(spark, d), resamples=200)
+    found = evaluation.skill_intervals(_fold_skills(spark, d))
     return found.select("series_id", "folds", *[out(c, 8).alias(c) for c in ("median", "low", "high")])
 
 
 def sign_flip_null(spark: SparkSession, d: str) -> DataFrame:
-    found = evaluation.sign_flip_intervals(_fold_skills(spark, d), resamples=200)
+    found = evaluation.sign_flip_intervals(_fold_skills(spark, d))
     return found.select("series_id", "folds", *[out(c, 8).alias(c) for c in ("low", "high")])
 
 
@@ -303,20 +314,21 @@ def frozen_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 def origin_skill(spark: SparkSession, d: str) -> DataFrame:
-    """A predictor from a series' own last value, refitted at every origin; counts keep its cross-products exact."""
-    frame = panels.panel(spark, d).where("signal in ('lines', 'orders', 'users')").withColumn("signal", F.lit("count")).persist()
+    """A predictor from a series' own last value, refitted at every origin."""
+    frame = _unit(panels.panel(spark, d).where(F.col("signal") == TARGET)).persist()
     none = frame.select("series_id").distinct().select("series_id", F.lit("own").alias("model"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("scale"))
-    origins = evaluation.target_rows(frame, "count").where("idx > 12").select("series_id", "t")
-    found = power.origin_skills(power.origin_forecasts(frame, "count", none, 1, origins), frame, "count")
-    return found.select("series_id", "fold", "t", out("skill", 8).alias("skill"))
+    origins = evaluation.target_rows(frame, TARGET).where("idx > 12").select("series_id", "t")
+    found = power.origin_skills(power.origin_forecasts(frame, TARGET, none, 1, origins), frame, TARGET)
+    return found.select("series_id", "fold", "t", out("skill", 6).alias("skill"))
 
 
 def protocol_controls(spark: SparkSession, d: str) -> DataFrame:
-    """The predictor of order counts from finished orders at every origin, with the controls of its protocol."""
-    frame = panels.orders_panel(spark, d).where("signal in ('orders', 'finished')").persist()
-    sources = frame.select("series_id").distinct().select("series_id", F.lit("ols").alias("model"), F.lit("finished").alias("source"), F.lit(1).alias("rank"), F.lit(1.0).alias("scale"))
-    origins = evaluation.target_rows(frame, "orders").where("idx >= 26").select("series_id", "t")
-    found = power.controls(frame, "orders", sources, 2, origins)
+    """The predictor of every series' target from its first other signal at every origin after a year, with the controls of its protocol."""
+    frame = _unit(panels.panel(spark, d)).persist()
+    other = frame.where(F.col("signal") != TARGET).groupBy("series_id").agg(F.min("signal").alias("source"))
+    sources = other.select("series_id", F.lit("ols").alias("model"), "source", F.lit(1).alias("rank"), F.lit(1.0).alias("scale"))
+    origins = evaluation.target_rows(frame, TARGET).where("idx > 12").select("series_id", "t")
+    found = power.controls(frame, TARGET, sources, 2, origins)
     return found.select("series_id", "control", "fold", "t", out("skill", 6).alias("skill"))
 
 
@@ -324,7 +336,7 @@ QUERIES: tuple[Query, ...] = (
     panel_axis_audit, brand_complete_panel, brand_relations, missing_steps, series_digest, lagged_correlations, best_lag_ranking, diff_relations, log_diff_relations,
     acf_diagnostics, naive_forecasts, baseline_errors, baseline_summary, mase, directional_accuracy, worst_decile, change_space, budget_tiers, resource_profile,
     trust_gates, gated_mixture, fixed_threshold, precision_recall, noise_floor, bh_cutoff, lag_features, gram_matrix, ar1_ols, rolling_relations,
-    rolling_diff_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
+    rolling_diff_relations, rolling_mixed_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
     fold_skill, bootstrap_skill, sign_flip_null, spearman, calibration_bins, input_support, prediction_confidence, budget_sweep, validation_search, frozen_test,
     origin_skill, protocol_controls,
 )

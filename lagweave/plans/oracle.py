@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 LAGS, WINDOW, SEASON = 3, 20, 12
 
 PANEL = """
@@ -15,9 +17,10 @@ panel AS (SELECT series_id, t, signal, value FROM (UNPIVOT li ON volume, quantit
   UNION ALL SELECT series_id, t, signal, value FROM (UNPIVOT od ON volume, orders, finished INTO NAME signal VALUE value)
   UNION ALL SELECT series_id, t, signal, value FROM (UNPIVOT ev ON volume, mean_value, max_value, users INTO NAME signal VALUE value))"""
 
-BRANDS = """
+ALL_BRANDS = """
 br AS (SELECT p_brand AS series_id, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS t, round(sum(l_extendedprice), 2) AS volume,
-  round(avg(l_quantity), 8) AS quantity, round(avg(l_discount), 8) AS discount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+  round(avg(l_quantity), 8) AS quantity, round(avg(l_discount), 8) AS discount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+BRANDS = f"""{ALL_BRANDS},
 panel AS (SELECT series_id, t, signal, value FROM (UNPIVOT br ON volume, quantity, discount INTO NAME signal VALUE value)
   WHERE series_id IN (SELECT series_id FROM br GROUP BY 1 HAVING count(*) = max(t) - min(t) + 1))"""
 
@@ -74,6 +77,11 @@ corrs AS (SELECT s.series_id, s.source, s.target, s.lag, s.step, {CORR} AS weigh
   FROM steps s JOIN ends e USING (series_id) JOIN pairs p ON p.series_id = s.series_id AND p.source = s.source AND p.target = s.target AND p.lag = s.lag AND p.t < s.step AND p.t >= s.step - {WINDOW} + s.lag + {{1}}
   WHERE s.step - e.first_t >= {WINDOW} GROUP BY ALL)"""
 ROLLING = f"{PANEL}, {_pairs('panel', TO_TARGET)}, {_STEPS.format('panel', 0)}, {_best('corrs', EDGE + ', step')}"
+CHANGED_MIXED = """
+changed AS (SELECT series_id, t, signal, CASE WHEN signal IN ('quantity', 'tax', 'orders', 'mean_value', 'users') THEN value ELSE value - lag(value) OVER (PARTITION BY series_id, signal ORDER BY t) END AS value FROM panel)"""
+#: A difference's first value in a window is unknown.
+_LATER = "CASE WHEN s.source IN ('quantity', 'tax', 'orders', 'mean_value', 'users') THEN 0 ELSE 1 END"
+ROLLING_MIXED = f"{PANEL}, {CHANGED_MIXED}, {_pairs('changed', TO_TARGET)}, {_STEPS.format('changed', _LATER)}, {_best('corrs', EDGE + ', step')}"
 ROLLING_DIFF = f"{PANEL}, {CHANGED}, {_pairs('changed', TO_TARGET)}, {_STEPS.format('changed', 1)}, {_best('corrs', EDGE + ', step')}"
 
 
@@ -93,6 +101,15 @@ life AS (SELECT *, CASE WHEN points < 6 THEN 'birth' WHEN all_low THEN 'dead'
   WHEN stability >= 0.45 AND recent_mean >= 0.2 THEN 'stable' ELSE 'birth' END AS state FROM rated)"""
 
 
+#: A normal value's two-sided tail beyond z, by Simpson's rule over the density from z on.
+_TAIL = "list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + k * 0.006, 2) / 2))) * 0.006 / 3 * 2 / sqrt(2 * pi())"
+_FISHER = "atanh(least(score, 0.999999)) * sqrt(greatest(sample_count - 3, 0))"
+#: Critical values after Sidak's correction, by the number of pairs of a series.
+_CRITICAL = ", ".join(f"({n}, {NormalDist().inv_cdf(1 - (1 - 0.95 ** (1 / (LAGS * n))) / 2)!r})" for n in range(1, 13))
+_STEP_UP = "coalesce(max(CASE WHEN p <= 0.05 * k / m THEN p END) OVER (PARTITION BY series_id), 0.0)"
+#: Every signal over its own largest value.
+UNIT = "unit AS (SELECT series_id, t, signal, value / max(value) OVER (PARTITION BY series_id, signal) AS value FROM panel)"
+
 FOLDS = f"""{FORECASTS},
 folds AS (SELECT series_id, CAST((origin - 15) // 3 AS INT) AS fold, origin FROM (SELECT DISTINCT series_id, n FROM rows), LATERAL (SELECT unnest(range(15, n - 1, 3)) AS origin)),
 per AS (SELECT f.series_id, f.fold, avg(abs(actual - seasonal)) AS m, avg(abs(actual - persistence)) AS b FROM folds f JOIN rows r ON r.series_id = f.series_id AND r.idx >= f.origin AND r.idx < f.origin + 2 GROUP BY ALL),
@@ -100,8 +117,8 @@ skills AS (SELECT series_id, fold, round((b - m) / b, 8) AS skill FROM per WHERE
 sized AS (SELECT series_id, skill, row_number() OVER (PARTITION BY series_id ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS folds FROM skills),
 sizes AS (SELECT DISTINCT series_id, folds FROM sized),
 chain AS (WITH RECURSIVE c(draw, state) AS (SELECT CAST(0 AS BIGINT), (1103515245::BIGINT * 20260818 + 12345) % 2147483648
-  UNION ALL SELECT draw + 1, (1103515245::BIGINT * state + 12345) % 2147483648 FROM c WHERE draw + 1 < (SELECT max(folds) * 200 FROM sizes)) SELECT * FROM c)"""
-_LOW, _HIGH = "list_sort(list(v))[10]", "list_sort(list(v))[191]"
+  UNION ALL SELECT draw + 1, (1103515245::BIGINT * state + 12345) % 2147483648 FROM c WHERE draw + 1 < (SELECT max(folds) * 2000 FROM sizes)) SELECT * FROM c)"""
+_LOW, _HIGH = "list_sort(list(v))[100]", "list_sort(list(v))[1901]"
 
 SQL = {
     "panel_axis_audit": f"""WITH {PANEL}, steps AS (SELECT series_id, signal, t, count(*) AS n FROM panel GROUP BY ALL)
@@ -109,11 +126,11 @@ SELECT series_id, signal, min(t) AS first_t, max(t) AS last_t, count(*) AS prese
   count(*) FILTER (n > 1) AS repeated, count(*) = max(t) - min(t) + 1 AND count(*) FILTER (n > 1) = 0 AS is_complete FROM steps GROUP BY ALL""",
     "brand_complete_panel": f"WITH {BRANDS} SELECT series_id, t, signal, {_out('value', 4, 'value')} FROM panel",
     "brand_relations": f"WITH {BRANDS}, {_pairs('panel', TO_TARGET)}, {CORRS}, {_best('corrs', EDGE)} SELECT {EDGE}, {SHOW} FROM best",
-    "missing_steps": f"""WITH {PANEL}, kept AS (SELECT DISTINCT series_id, t FROM panel WHERE NOT (series_id = 'orders' AND t % 7 = 3)),
+    "missing_steps": f"""WITH {PANEL}, {ALL_BRANDS}, kept AS (SELECT DISTINCT series_id, t FROM panel UNION SELECT DISTINCT series_id, t FROM br),
 axis AS (SELECT series_id, unnest(range(min(t), max(t) + 1)) AS t FROM kept GROUP BY series_id)
 SELECT series_id, t, printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS period FROM axis ANTI JOIN kept USING (series_id, t)""",
     "series_digest": f"""WITH {PANEL} SELECT series_id, signal, count(*) AS n, sha256(string_agg(printf('%.10f', value), chr(10) ORDER BY t) || chr(10)) AS digest
-FROM panel WHERE signal IN ('volume', 'lines', 'orders', 'finished', 'users') GROUP BY ALL""",
+FROM panel GROUP BY ALL""",
     "lagged_correlations": f"WITH {PANEL}, {_pairs()}, {CORRS} SELECT {EDGE}, lag, {_out('weight', 10, 'weight')}, sample_count FROM corrs",
     "best_lag_ranking": f"WITH {RELATIONS} SELECT {EDGE}, {RANK}, {SHOW} FROM best",
     "diff_relations": f"WITH {PANEL}, {CHANGED}, {_pairs('changed')}, {CORRS}, {_best('corrs', EDGE)} SELECT {EDGE}, {SHOW} FROM best",
@@ -146,26 +163,29 @@ n AS (SELECT series_id, count(*) FILTER (a) AS a, count(*) FILTER (b) AS b, coun
 SELECT series_id, round(CASE WHEN a = 0 THEN 0.0 ELSE hit / a END, 10) AS precision, round(CASE WHEN b = 0 THEN 1.0 ELSE hit / b END, 10) AS recall FROM n""",
     "noise_floor": f"""WITH {RELATIONS}, z AS (SELECT *, 2.3877378870708172 / sqrt(sample_count - 3) AS z FROM best), f AS (SELECT *, (exp(2 * z) - 1) / (exp(2 * z) + 1) AS fl FROM z)
 SELECT {EDGE}, sample_count, {_out('fl', 8, 'floor')}, score > fl AS clears FROM f""",
-    "bh_cutoff": f"""WITH {RELATIONS}, p AS (SELECT {EDGE}, round(pow(1 - score, 8), 12) AS p FROM best),
+    "bh_cutoff": f"""WITH {RELATIONS}, zs AS (SELECT *, {_FISHER} AS z FROM best), p AS (SELECT {EDGE}, CASE WHEN sample_count <= 3 THEN 1.0 ELSE round({_TAIL}, 9) END AS p FROM zs),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, count(*) OVER (PARTITION BY series_id) AS m FROM p),
-c AS (SELECT *, coalesce(max(CASE WHEN p <= 0.25 * k / m THEN p END) OVER (PARTITION BY series_id), 0.0) AS cut FROM r)
-SELECT {EDGE}, {_out('p', 10, 'p_value')}, {_out('cut', 10, 'fdr_cutoff')}, p <= cut AS rejected FROM c""",
+c AS (SELECT *, {_STEP_UP} AS cut FROM r)
+SELECT {EDGE}, {_out('p', 8, 'p_value')}, {_out('cut', 8, 'fdr_cutoff')}, p <= cut AS rejected FROM c""",
     "lag_features": f"""WITH {RELATIONS}, top AS (SELECT series_id, source, {RANK} FROM best WHERE target = 'volume'), two AS (SELECT a.series_id, a.source AS s1, b.source AS s2 FROM top a JOIN top b USING (series_id) WHERE a.rank = 1 AND b.rank = 2),
 v AS (SELECT series_id, t, value FROM panel WHERE signal = 'volume')
 SELECT v.series_id, v.t, round(v.value, 4) AS y, 1.0::DOUBLE AS x0, round(v1.value, 4) AS x1, round(a1.value, 4) AS x2, round(b1.value, 4) AS x3, round(v2.value, 4) AS x4, round(a2.value, 4) AS x5, round(b2.value, 4) AS x6
 FROM v JOIN two ON two.series_id = v.series_id JOIN v v1 ON v1.series_id = v.series_id AND v1.t = v.t - 1 JOIN v v2 ON v2.series_id = v.series_id AND v2.t = v.t - 2
 JOIN panel a1 ON a1.series_id = v.series_id AND a1.t = v.t - 1 AND a1.signal = s1 JOIN panel b1 ON b1.series_id = v.series_id AND b1.t = v.t - 1 AND b1.signal = s2
 JOIN panel a2 ON a2.series_id = v.series_id AND a2.t = v.t - 2 AND a2.signal = s1 JOIN panel b2 ON b2.series_id = v.series_id AND b2.t = v.t - 2 AND b2.signal = s2""",
-    "gram_matrix": f"""WITH {PANEL}, f AS (SELECT t, orders AS y, [1.0, lag(orders) OVER w, lag(finished) OVER w, lag(orders, 2) OVER w, lag(finished, 2) OVER w] AS x FROM od WINDOW w AS (ORDER BY t)),
-g AS (SELECT t, i, x[i + 1] AS xi, j, CASE WHEN j = -1 THEN y ELSE x[j + 1] END AS xj FROM f CROSS JOIN (SELECT unnest(range(0, 5)) AS i) CROSS JOIN (SELECT unnest(range(-1, 5)) AS j) WHERE x[5] IS NOT NULL)
-SELECT 'orders' AS series_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(sum(xi * xj) AS DOUBLE), 2) AS value, count(*) AS n FROM g GROUP BY ALL""",
+    "gram_matrix": f"""WITH {PANEL}, {UNIT}, places AS (SELECT series_id, signal, CASE WHEN signal = 'volume' THEN 0 ELSE row_number() OVER (PARTITION BY series_id ORDER BY signal = 'volume', signal) END AS place, count(*) OVER (PARTITION BY series_id) AS k FROM (SELECT DISTINCT series_id, signal FROM panel)),
+cells AS (SELECT u.series_id, u.t + l AS t, 1 + (l - 1) * k + place AS i, value AS v FROM unit u JOIN places USING (series_id, signal) CROSS JOIN (SELECT unnest([1, 2]) AS l)
+  UNION ALL SELECT series_id, t, 0, 1.0 FROM unit WHERE signal = 'volume' UNION ALL SELECT series_id, t, -1, value FROM unit WHERE signal = 'volume'),
+whole AS (SELECT c.series_id, c.t FROM cells c JOIN (SELECT DISTINCT series_id, k FROM places) USING (series_id) GROUP BY c.series_id, c.t, k HAVING count(*) = 2 * k + 2)
+SELECT a.series_id, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, {_out('sum(a.v * b.v)', 6, 'value')}, count(*) AS n FROM cells a JOIN cells b USING (series_id, t) JOIN whole USING (series_id, t) WHERE a.i >= 0 GROUP BY ALL""",
     "ar1_ols": f"""WITH {PANEL}, v AS (SELECT series_id, value / max(value) OVER (PARTITION BY series_id) AS y, t FROM panel WHERE signal = 'volume'), p AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS x FROM v)
 SELECT series_id, 'fit' AS fit_status, {_out('regr_intercept(y, x)', 6, 'intercept')}, {_out('regr_slope(y, x)', 6, 'slope')} FROM p WHERE x IS NOT NULL GROUP BY 1""",
-    "origin_skill": f"""WITH {PANEL}, v AS (SELECT series_id, t, value AS y, lag(value) OVER w AS x, row_number() OVER w - 1 AS idx FROM panel WHERE signal IN ('lines', 'orders', 'users') WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+    "origin_skill": f"""WITH {PANEL}, {UNIT}, v AS (SELECT series_id, t, value AS y, lag(value) OVER w AS x, row_number() OVER w - 1 AS idx FROM unit WHERE signal = 'volume' WINDOW w AS (PARTITION BY series_id ORDER BY t)),
 m AS (SELECT *, regr_intercept(y, x) OVER b + regr_slope(y, x) OVER b * x AS f FROM v WHERE x IS NOT NULL WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS INT) AS fold, t, {_out('1 - abs(y - f) / abs(y - x)', 8, 'skill')} FROM m WHERE idx > 12 AND isfinite(f) AND y <> x""",
+SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS INT) AS fold, t, {_out('1 - abs(y - f) / abs(y - x)', 6, 'skill')} FROM m WHERE idx > 12 AND isfinite(f) AND y <> x""",
     "rolling_relations": f"WITH {ROLLING} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "rolling_diff_relations": f"WITH {ROLLING_DIFF} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
+    "rolling_mixed_relations": f"WITH {ROLLING_MIXED} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "expanding_relations": f"""WITH {PANEL}, {_pairs('panel', TO_TARGET)}, ends AS (SELECT series_id, min(t) AS first_t FROM panel GROUP BY 1),
 corrs AS (SELECT s.series_id, s.source, s.target, s.lag, s.t AS step, {CORR.replace('(y, x)', '(p.y, p.x)').replace('var_pop(x)', 'var_pop(p.x)').replace('var_pop(y)', 'var_pop(p.y)')} AS weight, count(*) AS sample_count
   FROM pairs s JOIN ends e USING (series_id) JOIN pairs p ON p.series_id = s.series_id AND p.source = s.source AND p.target = s.target AND p.lag = s.lag AND p.t < s.t WHERE s.t - e.first_t >= {WINDOW} GROUP BY ALL), {_best('corrs', EDGE + ', step')}
@@ -173,18 +193,26 @@ SELECT {EDGE}, step, {SHOW} FROM best""",
     "trajectory_ranks": f"""WITH {ROLLING}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id, target, step ORDER BY round(score, 12) DESC, source, lag) AS INT) AS rank FROM best)
 SELECT series_id, target, step, rank, source, lag, {_out('score', 10, 'score')} FROM r WHERE rank <= 2""",
     "relation_lifecycle": f"""WITH {ROLLING}, {_lifecycle('best', EDGE)} SELECT {EDGE}, step, lag, points, sample_count, {', '.join(_out(c, 8, c) for c in ('weight', 'stability', 'uncertainty', 'recent_mean', 'prior_mean', 'slope'))}, state FROM life""",
-    "relation_detection": f"""WITH {ROLLING}, prefixes AS (SELECT b.*, e.step AS prefix_end FROM best b JOIN best e USING (series_id, source, target) WHERE b.series_id = 'lineitem' AND e.step >= 23985 AND b.step <= e.step),
-{_lifecycle('prefixes', EDGE + ', prefix_end')} SELECT {EDGE}, min(prefix_end) FILTER (state = 'decaying') - 23985 AS detection_lag FROM life GROUP BY ALL""",
+    "relation_detection": f"""WITH {ROLLING}, middles AS (SELECT series_id, (min(step) + max(step)) // 2 AS middle FROM best GROUP BY 1),
+prefixes AS (SELECT b.*, e.step AS prefix_end, middle FROM best b JOIN best e USING (series_id, source, target) JOIN middles m ON m.series_id = e.series_id WHERE e.step >= middle AND b.step <= e.step),
+{_lifecycle('prefixes', EDGE + ', prefix_end, middle')} SELECT {EDGE}, CAST(min(prefix_end) FILTER (state = 'decaying') - any_value(middle) AS BIGINT) AS detection_lag FROM life GROUP BY ALL""",
+    "evidence_gate": f"""WITH {ROLLING}, {_lifecycle('best', EDGE)}, zs AS (SELECT *, {_FISHER} AS z, count(*) OVER (PARTITION BY series_id) AS pairs, max(sample_count) OVER (PARTITION BY series_id) AS most FROM life),
+ps AS (SELECT *, CASE WHEN sample_count <= 3 THEN 1.0 ELSE {_TAIL} END AS p FROM zs),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, count(*) OVER (PARTITION BY series_id) AS m FROM ps),
+c AS (SELECT r.*, {_STEP_UP} AS cut, tanh(crit / sqrt(sample_count - 3)) AS fl, sample_count / most AS support FROM r JOIN (VALUES {_CRITICAL}) v(pairs, crit) USING (pairs)),
+d AS (SELECT *, CASE WHEN p > cut THEN 'below_fdr_corrected_effect' WHEN stability IS NULL OR stability < 0.45 THEN 'insufficient_stability' WHEN uncertainty IS NULL OR uncertainty > 0.20 THEN 'excess_relationship_uncertainty'
+  WHEN support < 0.5 THEN 'insufficient_sample_support' ELSE 'selected' END AS reason FROM c)
+SELECT {EDGE}, lag, {_out('p', 8, 'p_value')}, {_out('cut', 8, 'fdr_cutoff')}, {_out('fl', 8, 'noise_floor')}, {_out('score / fl', 6, 'effect_size')}, {_out('support', 10, 'support')}, reason = 'selected' AS selected, reason FROM d""",
     "rolling_origin_folds": f"""WITH {PANEL}, n AS (SELECT series_id, count(*) AS n FROM panel WHERE signal = 'volume' GROUP BY 1), o AS (SELECT series_id, unnest(range(15, n - 1, 3)) AS o FROM n)
 SELECT series_id, CAST((o - 15) // 3 AS INT) AS fold, CAST(0 AS BIGINT) AS train_lo, o AS train_hi, o AS test_lo, o + 2 AS test_hi FROM o""",
     "sliding_folds": f"""WITH {PANEL}, n AS (SELECT series_id, count(*) AS n FROM panel WHERE signal = 'volume' GROUP BY 1), o AS (SELECT series_id, unnest(range(12, n, 2)) AS o FROM n)
 SELECT series_id, CAST((o - 12) // 2 AS INT) AS fold, o - 12 AS train_lo, o AS train_hi, o AS test_lo, o + 1 AS test_hi FROM o WHERE (o - 12) // 2 < 8""",
     "fold_skill": f"WITH RECURSIVE {FOLDS} SELECT series_id, fold, {_out('skill', 8, 'skill')} FROM skills",
-    "bootstrap_skill": f"""WITH RECURSIVE {FOLDS}, picks AS (SELECT s.series_id, draw // folds AS resample, state % folds AS i FROM sizes s JOIN chain ON draw < folds * 200),
+    "bootstrap_skill": f"""WITH RECURSIVE {FOLDS}, picks AS (SELECT s.series_id, draw // folds AS resample, state % folds AS i FROM sizes s JOIN chain ON draw < folds * 2000),
 m AS (SELECT p.series_id, resample, median(skill) AS v FROM picks p JOIN sized z ON z.series_id = p.series_id AND z.i = p.i GROUP BY ALL),
 b AS (SELECT series_id, {_LOW} AS low, {_HIGH} AS high FROM m GROUP BY 1), mid AS (SELECT series_id, any_value(folds) AS folds, median(skill) AS median FROM sized GROUP BY 1)
 SELECT series_id, folds, {_out('median', 8, 'median')}, {_out('low', 8, 'low')}, {_out('high', 8, 'high')} FROM mid JOIN b USING (series_id)""",
-    "sign_flip_null": f"""WITH RECURSIVE {FOLDS}, picks AS (SELECT s.series_id, draw // folds AS resample, draw % folds AS i, CASE WHEN state < 1073741824 THEN 1.0 ELSE -1.0 END AS sg FROM sizes s JOIN chain ON draw < folds * 200),
+    "sign_flip_null": f"""WITH RECURSIVE {FOLDS}, picks AS (SELECT s.series_id, draw // folds AS resample, draw % folds AS i, CASE WHEN state < 1073741824 THEN 1.0 ELSE -1.0 END AS sg FROM sizes s JOIN chain ON draw < folds * 2000),
 m AS (SELECT p.series_id, resample, avg(CAST(sg AS DOUBLE) * skill) AS v FROM picks p JOIN sized z ON z.series_id = p.series_id AND z.i = p.i GROUP BY ALL)
 SELECT series_id, folds, {_out(_LOW, 8, 'low')}, {_out(_HIGH, 8, 'high')} FROM m JOIN sizes USING (series_id) GROUP BY ALL""",
     "spearman": f"""WITH {PANEL}, r AS (SELECT rank() OVER (ORDER BY orders) + (count(*) OVER (PARTITION BY orders) - 1) / 2.0 AS x, rank() OVER (ORDER BY finished) + (count(*) OVER (PARTITION BY finished) - 1) / 2.0 AS y FROM od)

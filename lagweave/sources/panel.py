@@ -74,14 +74,19 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return melt(wide, ["volume", "mean_value", "max_value", "users"])
 
 
-def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series for each brand; brands with gaps are left out."""
+def brand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series for each brand, with the gaps it has."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     wide = items.join(parts, items["l_partkey"] == parts["p_partkey"]).groupBy(F.col("p_brand").alias("series_id"), month_index(F.col("l_shipdate")).cast("long").alias("t")).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("volume"), F.round(F.avg("l_quantity"), 8).alias("quantity"), F.round(F.avg("l_discount"), 8).alias("discount")
     )
-    return complete_series(melt(wide, ["volume", "quantity", "discount"]))
+    return melt(wide, ["volume", "quantity", "discount"])
+
+
+def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brands without gaps."""
+    return complete_series(brand_rows(spark, sf_dir))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
