@@ -56,10 +56,35 @@ def rolling_weights(panel: DataFrame, target: str, lags: int, window: int, sourc
     return timed.join(sources.select("series_id", "source").distinct(), ["series_id", "source"], "left_semi").select("series_id", F.lit("dynamic").alias("model"), "step", "source", F.col("weight").alias("scale"))
 
 
+def forecasts(rows: DataFrame, train: tuple[int, int], test: tuple[int, int], lags: int) -> DataFrame:
+    """(series_id, model, t, y, predicted) on the label steps of ``test`` of models fitted on those of ``train``."""
+    fitted = models.fit(rows.where(F.col("t").between(*train)), None, lags)
+    return models.predict(rows.where(F.col("t").between(*test)), fitted)
+
+
+def mixture_feature_names(target: str, lags: int, mixture: str | None = "mixture") -> list[str]:
+    """Names of ``mixture_features``; without a mixture those of the target alone."""
+    return models.feature_names(target, [mixture] if mixture else [], lags)
+
+
+#: Modes of a predictor with fixed weights, and what makes its weights.
+MODES = ("ols", "trust_gated")
+
+
+def fit_and_predict(panel: DataFrame, target: str, lags: int, mode: str, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:
+    """``forecasts`` of one mode: ``ols`` on all sources, or ``trust_gated`` on their admitted mixture."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    found = relations.relations(panel.where(F.col("t") <= train[1]), lags, target)
+    if mode == "trust_gated":
+        return forecasts(mixture_features(panel, target, trust_weights(found, target), lags), train, test, lags)
+    every = relations.ranked(found).select("series_id", F.lit(mode).alias("model"), "source", "rank", F.lit(1.0).alias("scale"))
+    return forecasts(models.features(panel, target, every, lags), train, test, lags)
+
+
 def evaluate(rows: DataFrame, train: tuple[int, int], test: tuple[int, int], lags: int, sources: int = 1) -> DataFrame:
     """Fit on label steps of ``train`` and score those of ``test`` (both ends included): (series_id, model, mae, rmse, n)."""
-    fitted = models.fit(rows.where(F.col("t").between(*train)), None, lags)
-    scored = models.predict(rows.where(F.col("t").between(*test)), fitted)
+    scored = forecasts(rows, train, test, lags)
     return scored.groupBy("series_id", "model").agg(stats.mae(F.col("y"), F.col("predicted")).alias("mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("rmse"), F.count("predicted").alias("n"))
 
 

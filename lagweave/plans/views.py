@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 from .report import SCHEMA_VERSION, STATES
@@ -81,9 +82,9 @@ def may_analyze(blocks: dict) -> bool:
 
 
 def evaluation_interval(report: dict) -> dict | None:
-    """Low, median and high skill with their level, only if the report has all of them: an interval is never made up."""
-    found = {k: _at(report, f"evaluation.{k}") for k in ("low", "median", "high", "level")}
-    return found if all(isinstance(x, (int, float)) for x in found.values()) else None
+    """Median, low, high, folds and whether it resolves, of the rolling-origin skill; only if the report has a median: an interval is never made up."""
+    found = {k: _at(report, f"evaluation.rolling_origin.{k}") for k in ("median", "low", "high", "folds")}
+    return found | {"resolves": bool(_at(report, "evaluation.rolling_origin.resolves"))} if found["median"] is not None else None
 
 
 def has_evaluation(report: dict) -> bool:
@@ -96,6 +97,26 @@ def has_trajectory(relation: dict) -> bool:
     return isinstance(steps, list) and len(steps) > 0
 
 
+def shown_number(value: float | None, digits: int = 3) -> str:
+    """A figure, or a dash where there is none; never 0 for nothing."""
+    return "\u2014" if value is None else f"{float(value):.{digits}f}"
+
+
+def shown_signed(value: float | None, digits: int = 3) -> str:
+    return "\u2014" if value is None else f"{float(value):+.{digits}f}"
+
+
+def shown_percent(value: float | None, digits: int = 1) -> str:
+    """A share in percent, with its sign."""
+    return "\u2014" if value is None else f"{float(value) * 100:+.{digits}f}%"
+
+
+def report_filename(report: dict) -> str:
+    """A file name from the case's name or else the target; other characters than letters, digits, - and _ become -."""
+    raw = str(_at(report, "case.name") or _at(report, "case.target") or "analysis")
+    return "report-" + (re.sub(r"[^\w-]", "-", raw).strip("-") or "analysis") + ".json"
+
+
 def badge(state: str | None) -> dict[str, str]:
     text, tone = BADGES.get(state, UNKNOWN_BADGE)
     return {"label": text, "tone": tone}

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import base64
 import csv
+import hashlib
 import io
 import json
-import math
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from pathlib import Path
-from urllib.parse import urlencode
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,14 @@ class CaseError(ValueError):
         self.code, self.message, self.where = code, message, where
 
 
+class AxisError(CaseError):
+    """A date axis with gaps or repeats; ``axis`` describes it as an audit does."""
+
+    def __init__(self, code: str, message: str, where: str | None, axis: dict):
+        super().__init__(code, message, where)
+        self.axis = axis
+
+
 @dataclass(frozen=True)
 class CaseConfig:
     case_name: str
@@ -52,15 +62,20 @@ class CaseConfig:
         """The target, then the candidates in order of name."""
         return [self.target, *sorted(self.candidate_signals)]
 
+    def windows(self, spark: SparkSession) -> DataFrame:
+        """(series_id, train_end, test_start) as the sweeps take it."""
+        return window_table(spark, self.case_name, train_end=self.train_end, test_start=self.test_start)
+
     def check(self) -> None:
         month(self.train_end), month(self.test_start)
         rules = (
+            (bool(self.case_name), "case_name", "a case needs a name"),
             (self.target not in self.candidate_signals, "target", "the target is a candidate"),
             (len({*self.candidate_signals}) == len(self.candidate_signals) > 0, "candidate_signals", "candidates must be unique and not empty"),
             (self.frequency == "monthly", "frequency", "only monthly cases are read"),
             (self.lag_window >= 1, "lag_window", "lag_window must be positive"),
             (1 <= self.max_selected_signals <= len(self.candidate_signals), "max_selected_signals", "the cap must be within the candidates"),
-            (self.seasonal_period >= 1, "seasonal_period", "seasonal_period must be positive"),
+            (self.seasonal_period >= 0, "seasonal_period", "seasonal_period cannot be negative; 0 means none"),
             (self.train_end < self.test_start, "train_end", "training must end before the test"),
         )
         for ok, where, message in rules:
@@ -91,15 +106,36 @@ class AdaptiveCase:
     notes: str
     transform_declarations: dict[str, str] | None = None
 
+    @property
+    def variables(self) -> list[str]:
+        return [self.target, *sorted(self.candidate_signals)]
+
+    def search_windows(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Training and validation windows, as ``sweep.validation_search`` takes them."""
+        return window_table(spark, self.case_name, train_start=self.train_start, train_end=self.train_end), window_table(spark, self.case_name, validation_start=self.validation_start, validation_end=self.validation_end)
+
+    def test_windows(self, spark: SparkSession) -> DataFrame:
+        """The refit's window, training and validation together, and the test's."""
+        return window_table(spark, self.case_name, train_start=self.train_start, train_end=self.validation_end, test_start=self.test_start, test_end=self.test_end)
+
     def check(self) -> None:
         ends = [self.train_start, self.train_end, self.validation_start, self.validation_end, self.test_start, self.test_end]
         [month(x) for x in ends]
-        ordered = ends[0] <= ends[1] < ends[2] <= ends[3] < ends[4] <= ends[5]
         k = len(self.candidate_signals)
-        if not ordered:
-            raise CaseError("invalid_config", "the windows must follow each other", "train_start")
-        if not all(0 <= x <= 1 for x in self.relation_thresholds) or not all(x >= 1 for x in self.lag_windows) or not all(1 <= x <= k for x in self.max_selected_signals):
-            raise CaseError("invalid_config", "a grid value is out of range", "relation_thresholds")
+        rules = (
+            (self.frequency == "monthly", "frequency", "only monthly cases are read"),
+            (self.target not in self.candidate_signals, "target", "the target is a candidate"),
+            (len({*self.candidate_signals}) == k > 0, "candidate_signals", "candidates must be unique and not empty"),
+            (ends[0] <= ends[1] < ends[2] <= ends[3] < ends[4] <= ends[5], "train_start", "the windows must follow each other"),
+            (bool(self.relation_thresholds) and all(0 <= x <= 1 for x in self.relation_thresholds), "relation_thresholds", "thresholds must be inside [0, 1]"),
+            (bool(self.lag_windows) and all(x >= 1 for x in self.lag_windows), "lag_windows", "lag windows must be positive"),
+            (bool(self.max_selected_signals) and all(1 <= x <= k for x in self.max_selected_signals), "max_selected_signals", "caps must be within the candidates"),
+        )
+        for ok, where, message in rules:
+            if not ok:
+                raise CaseError("invalid_config", message, where)
+        if self.transform_declarations is not None:
+            check_transforms(self.variables, self.transform_declarations)
 
 
 @dataclass(frozen=True)
@@ -110,6 +146,13 @@ class FrozenSelection:
     max_selected_signals: int
     selected_sources: list[str] = field(default_factory=list)
     test_evaluated: bool = False
+    case_name: str = ""
+
+    def cell(self, spark: SparkSession, case: AdaptiveCase) -> DataFrame:
+        """The chosen cell of the case's series, as ``sweep.frozen_test`` takes it; the selection must be the case's own."""
+        if self.case_name and self.case_name != case.case_name:
+            raise CaseError("invalid_config", "the selection belongs to another case", "case_name")
+        return spark.createDataFrame([(case.case_name, self.mode, self.lag_window, self.threshold, self.max_selected_signals)], "series_id string, mode string, lag_window int, threshold double, cap int")
 
 
 _TYPES = {"str": str, "int": int, "list[str]": list, "list[float]": list, "list[int]": list, "dict[str, str] | None": dict, "float": float, "bool": bool}
@@ -138,9 +181,15 @@ def load_case(path: str) -> CaseConfig:
 
 
 def load_adaptive_case(path: str) -> AdaptiveCase:
+    """As ``load_case`` for a case with validation windows and grids."""
     config = _strict(AdaptiveCase, json.loads(Path(path).read_text(encoding="utf-8")))
     config.check()
-    return config
+    return AdaptiveCase(**{f.name: getattr(config, f.name) for f in fields(config)} | {k: str((Path(path).parent / getattr(config, k)).resolve()) for k in ("csv", "output_dir")})
+
+
+def window_table(spark: SparkSession, series_id: str, **months: str) -> DataFrame:
+    """One row of month indexes: (series_id, train_end, ...)."""
+    return spark.createDataFrame([(series_id, *map(month, months.values()))], ", ".join(["series_id string", *(f"{k} long" for k in months)]))
 
 
 def load_selection(path: str) -> FrozenSelection:
@@ -161,6 +210,19 @@ def month(text: str) -> int:
     return int(text[:4]) * 12 + int(text[5:])
 
 
+def month_name(t: int) -> str:
+    """YYYY-MM of a month index."""
+    return f"{(t - 1) // 12:04d}-{(t - 1) % 12 + 1:02d}"
+
+
+def axis_blocks(months: list[int]) -> dict:
+    """The date axis of an audit: what is expected, present, missing and repeated."""
+    seen = {*months}
+    missing = [month_name(t) for t in range(min(seen), max(seen) + 1) if t not in seen] if seen else []
+    repeated = [month_name(t) for t, n in sorted(Counter(months).items()) if n > 1]
+    return {"continuous": not missing and not repeated, "expected_months": len(seen) + len(missing), "present": len(months), "missing_months": missing, "duplicate_months": repeated}
+
+
 def month_axis(start: str, end: str) -> list[str]:
     return [f"{(t - 1) // 12:04d}-{(t - 1) % 12 + 1:02d}" for t in range(month(start), month(end) + 1)]
 
@@ -176,20 +238,23 @@ def check_transforms(variables: list[str], declared: dict[str, str]) -> dict[str
 def checked_panel(rows: DataFrame, date_column: str, variables: list[str], series_id: str, least: int = 0) -> DataFrame:
     """The long panel of a table of strings with a row for each month, after one pass of checks."""
     value = {v: F.expr(f"try_cast(trim(`{v}`) as double)") for v in variables}
-    bad = [F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(v) for v, x in value.items()]
+    wrong = {v: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) for v, x in value.items()}
+    bad = [F.count_if(x).alias(v) for v, x in wrong.items()] + [F.min(F.when(x, F.trim(F.col(f"`{date_column}`")))).alias(f"_at_{v}") for v, x in wrong.items()]
     t = period_index(F.trim(F.col(f"`{date_column}`")))
     found = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_if(t.isNull()).alias("_bad"), F.count_distinct(t).alias("_d"), F.min(t).alias("_a"), F.max(t).alias("_b"), *bad).first()
     if found["_bad"]:
         raise CaseError("invalid_month", f"{found['_bad']} dates are not months", date_column)
     for v in variables:
         if found[v]:
-            raise CaseError("non_numeric", f"{found[v]} values of {v} are missing or not finite numbers", v)
+            raise CaseError("non_numeric", f"{found[v]} values of {v} are missing or not finite numbers, the first at {found['_at_' + v]}", v)
     if found["_n"] <= least:
         raise CaseError("too_short", f"{found['_n']} rows do not exceed the lags", date_column)
-    if found["_d"] < found["_n"]:
-        raise CaseError("duplicate_months", f"{found['_n'] - found['_d']} months are repeated", date_column)
-    if found["_b"] - found["_a"] + 1 != found["_d"]:
-        raise CaseError("missing_months", f"{found['_b'] - found['_a'] + 1 - found['_d']} months are missing", date_column)
+    if found["_d"] < found["_n"] or found["_b"] - found["_a"] + 1 != found["_d"]:
+        present = [r[0] for r in rows.select(t.cast("long").alias("t")).orderBy("t").collect()]  # one uploaded or configured series of months
+        axis = axis_blocks(present)
+        if axis["duplicate_months"]:
+            raise AxisError("duplicate_months", f"{found['_n'] - found['_d']} months are repeated, the first {axis['duplicate_months'][0]}", date_column, axis)
+        raise AxisError("missing_months", f"{len(axis['missing_months'])} months are missing, the first {axis['missing_months'][0]}", date_column, axis)
     wide = rows.select(F.lit(series_id).alias("series_id"), t.cast("long").alias("t"), *[x.alias(v) for v, x in value.items()])
     return wide.unpivot(["series_id", "t"], variables, "signal", "value")
 
@@ -203,6 +268,74 @@ def read_case(spark: SparkSession, config: CaseConfig) -> DataFrame:
     return checked_panel(rows, config.date_column, config.variables, config.case_name, config.lag_window)
 
 
+def read_adaptive_case(spark: SparkSession, case: AdaptiveCase, start: str | None = None, end: str | None = None) -> DataFrame:
+    """An adaptive case's panel, which must cover exactly its windows, or from ``start`` to ``end``."""
+    rows = spark.read.option("header", True).csv(case.csv)
+    want = {case.date_column, *case.variables}
+    if {*rows.columns} != want:
+        raise CaseError("columns", f"columns differ: {', '.join(sorted({*rows.columns} ^ want))}", "csv")
+    panel = checked_panel(rows, case.date_column, case.variables, case.case_name, max(case.lag_windows))
+    ends = panel.agg(F.min("t"), F.max("t")).first()
+    if (ends[0], ends[1]) != (month(start or case.train_start), month(end or case.test_end)):
+        raise CaseError("axis", f"the months must be {start or case.train_start} to {end or case.test_end}", case.date_column)
+    return panel
+
+
+def read_table(spark: SparkSession, csv_path: str, date_column: str = "date", variables: list[str] | None = None, start: str | None = None, end: str | None = None, series_id: str = "table") -> DataFrame:
+    """The panel of some columns of a CSV (all but the date by default) between two months; what can't be read as a number is NULL."""
+    rows = spark.read.option("header", True).csv(csv_path)
+    names = [c for c in rows.columns if c != date_column] if variables is None else variables
+    if missing := [c for c in (date_column, *names) if c not in rows.columns]:
+        raise CaseError("missing_columns", f"missing columns: {', '.join(missing)}", missing[0])
+    period = F.trim(F.col(f"`{date_column}`"))
+    kept = rows.where(period.between(start or "0000-01", end or "9999-12"))
+    wide = kept.select(F.lit(series_id).alias("series_id"), period_index(period).cast("long").alias("t"), *[F.expr(f"try_cast(trim(`{c}`) as double)").alias(c) for c in names])
+    return wide.unpivot(["series_id", "t"], names, "signal", "value")
+
+
+def read_frozen_forecast(spark: SparkSession, csv_path: str, budget: str = "1.00", rows: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(date, predicted) of one tier of a sweep's predictions, and the sources its model used, which must be the same on all rows."""
+    own = spark.read.option("header", True).csv(csv_path).where(F.col("budget") == budget)
+    found = own.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("used_sources").alias("lists"), F.min("used_sources").alias("sources")).first()
+    if found["n"] == 0 or found["lists"] > 1 or rows is not None and found["n"] != rows:
+        raise CaseError("forecast", f"{found['n']} rows with {found['lists']} lists of sources", "budget")
+    return own.select("date", F.expr("try_cast(predicted as double)").alias("predicted")), [x for x in (found["sources"] or "").split(";") if x]
+
+
+def scope(text: str) -> dict[str, str]:
+    """The settings of ``k=v&k=v`` (URL-encoded) or ``k=v; k=v``; parts without = are left out."""
+    if "&" in text:
+        return dict(parse_qsl(text))
+    parts = (x.split("=", 1) for x in text.split(";") if "=" in x)
+    return {k.strip(): v.strip() for k, v in parts}
+
+
+def manifest(case_path: str) -> dict | None:
+    """The source manifest beside a case file; None where there is none or it isn't a JSON object."""
+    path = Path(case_path).parent / "source_manifest.json"
+    try:
+        found = json.loads(path.read_text(encoding="utf-8"))
+    except (FileNotFoundError, json.JSONDecodeError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def signal_metadata(case_path: str) -> dict[str, dict]:
+    """Unit, seasonal adjustment and perhaps coverage of each series that the manifest names."""
+    found = manifest(case_path) or {}
+    covered = {"coverage": found["coverage"]} if isinstance(found.get("coverage"), dict) else {}
+    out = {}
+    for item in found.get("series", []):
+        if isinstance(item, dict) and "name" in item:
+            known = scope(str(item.get("filters") or item.get("actual_scope") or ""))
+            out[str(item["name"])] = {"unit": known.get("unit", "unknown"), "seasonal_adjustment": known.get("s_adj", "unknown"), **covered}
+    return out
+
+
+def file_sha256(path: str) -> str:
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+
+
 def read_upload(spark: SparkSession, csv_base64: str, date_column: str, variables: list[str], name: str = "upload") -> DataFrame:
     """The panel of a CSV text in base 64; columns that aren't asked for are ignored."""
     try:
@@ -232,6 +365,27 @@ class CubeSeries:
         return f"{root}/{self.dataset}?" + urlencode([("lang", "en"), *self.filters, ("sinceTimePeriod", start), ("untilTimePeriod", end)])
 
 
+def check_series(series: list[CubeSeries]) -> list[CubeSeries]:
+    """Series with names and datasets, each name once."""
+    for s in series:
+        if not s.name or not s.dataset:
+            raise CaseError("invalid_series", "a series needs a name and a dataset", "series")
+    if repeated := sorted(n for n, k in Counter(s.name for s in series).items() if k > 1):
+        raise CaseError("duplicate_series", f"series are repeated: {', '.join(repeated)}", repeated[0])
+    return series
+
+
+def fetch_cube(series: CubeSeries, root: str, start: str, end: str, opener: Callable[[str, float], bytes], timeout: float = 120.0) -> str:
+    """One series' document as text, by a driver-side ``opener`` of (address, seconds); what isn't a JSON object is an error."""
+    raw = opener(series.url(root, start, end), timeout)
+    try:
+        if isinstance(json.loads(raw), dict):
+            return raw.decode("utf-8")
+    except ValueError as e:
+        raise CaseError("invalid_cube", f"{series.name}: not JSON: {e}", series.name) from e
+    raise CaseError("invalid_cube", f"{series.name}: not a JSON object", series.name)
+
+
 def decode_cube(spark: SparkSession, cubes: DataFrame, series: list[CubeSeries]) -> DataFrame:
     """(name, period, value) of JSON-stat documents: (dataset, json).
 
@@ -262,7 +416,3 @@ def cube_panel(decoded: DataFrame, start: str, end: str, series_id: str = "snaps
         if (r["n"], r["a"], r["b"]) != (want, month(start), month(end)):
             raise CaseError("missing_months", f"{r['signal']} does not cover {start} to {end}", r["signal"])
     return rows
-
-
-def finite(x: float | None) -> bool:
-    return x is not None and math.isfinite(x)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seeds of the published panels.
 BASE_SEEDS, DRIFT_SEEDS, LADDER_SEEDS = (11, 23, 37, 41, 53), (101, 103, 107, 109, 113), (211, 223, 227, 229, 233)
@@ -39,6 +40,9 @@ def drift_coefficient(step: int) -> float:
     return high if step >= b else low + (high - low) * ((step - a) / (b - a))
 
 
+# Fixed values in the recurrences below: coefficients, spreads and drifts of the published panels, and the order of their draws.
+
+
 def _driven(seed: int, length: int, effect: Callable[[int], float]) -> Rows:
     draw = random.Random(seed).gauss
     a = b = b_before = y = 0.0
@@ -105,6 +109,14 @@ def synthetic_panel(spark: SparkSession, kind: str, seeds: tuple[int, ...]) -> D
     return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInPandas(one, "series_id string, t long, signal string, value double")
 
 
+def drift_truth(spark: SparkSession, length: int = 600) -> DataFrame:
+    """(t, coefficient) of the first driver in the drift panels."""
+    (a, b), (low, high) = DRIFT_STEPS, DRIFT_VALUES
+    t = F.col("id")
+    value = F.when(t < a, low).when(t >= b, high).otherwise(low + (high - low) * ((t - a) / (b - a)))
+    return spark.range(length).select(t.alias("t"), value.alias("coefficient"))
+
+
 def ladder_tier(source: str) -> str:
     if source not in LADDER:
         raise ValueError(f"unknown source {source!r}")
@@ -116,7 +128,7 @@ def mixed_relations(spark: SparkSession, seeds: tuple[int, ...]) -> DataFrame:
 
     def draw(seed: int) -> Iterator[tuple]:
         rng = random.Random(30_000 + seed)
-        # name, how many, samples, score from, spread of it, stability, uncertainty, and the weight's sign
+        # fixed values: name, how many, samples, score from, spread of it, stability, uncertainty, and the weight's sign
         groups = (
             ("true", lambda: 3, (96, 144), 0.50, (-0.08, 0.10), (0.50, -0.04, 0.12), (0.04, 0.0, 0.09), lambda i: 1),
             ("pseudo", lambda: rng.randint(4, 7), (90, 150), 0.10, (0.0, 0.26), (0.04, 0.0, 0.28), (0.13, 0.0, 0.14), lambda i: 1 - 2 * (i % 2)),

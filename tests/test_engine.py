@@ -4,7 +4,9 @@ import base64
 import json
 import math
 import random
+import shutil
 import statistics
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -227,6 +229,13 @@ def case_files(folder, gap=False):
     return str(folder / "case.json"), config
 
 
+def served(path):
+    """A folder of cases that serves the toy case by its name."""
+    folder = Path(path).parent / "served" / "toy"
+    shutil.copytree(Path(path).parent, folder)
+    return str(folder.parent)
+
+
 def test_cases_are_strict(spark, tmp_path):
     path, config = case_files(tmp_path)
     frame = cases.read_case(spark, cases.load_case(path))
@@ -242,38 +251,43 @@ def test_cases_are_strict(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     path, _ = case_files(tmp_path)
-    request = {"case_path": path, "transform_declarations": {"y": "diff", "a": "diff", "b": "none"}}
-    status, found = report.analyze_payload(spark, request)
+    root, request = served(path), {"case_name": "toy", "transform_declarations": {"y": "diff", "a": "diff", "b": "none"}}
+    status, found = report.analyze_payload(spark, request, root)
     assert status == 200 and found["outcome"] == "ok" and found["selection"]["selected_sources"] == ["a"]
-    assert {k: found[k] for k in ("transform_diagnostics", "data_audit")} == report.audit_payload(spark, request)[1]
-    assert report.snapshot_payload(spark, request)[1]["hash"] == found["snapshot"]["hash"]
+    assert {k: found[k] for k in ("transform_diagnostics", "data_audit")} == report.audit_payload(spark, request, root)[1]
+    assert report.snapshot_payload(spark, request, root)[1]["hash"] == found["snapshot"]["hash"]
     json.dumps(found)
-    status, found = report.analyze_payload(spark, request | {"transform_declarations": dict.fromkeys("yab", "none")})
+    status, found = report.analyze_payload(spark, request | {"transform_declarations": dict.fromkeys("yab", "none")}, root)
     assert status == 422 and found["error"]["code"] == "persistent_level" and found["data_audit"]
-    assert report.analyze_payload(spark, {"case_path": str(tmp_path / "none.json")})[0] == 404
+    for name in ("none", "../served/toy", ""):
+        assert report.analyze_payload(spark, {"case_name": name}, root)[0] == 404
+    assert report.analyze_payload(spark, request)[0] == 404
+    assert report.analyze_payload(spark, request | {"train_end": 7}, root)[0] == 500
     text = (tmp_path / "data.csv").read_text()
     upload = {"csv_base64": base64.b64encode(text.encode()).decode(), "target": "y", "candidate_signals": ["a"], "transform_declarations": {"y": "diff", "a": "diff"}, "train_end": "2013-12", "lag_window": 2}
     assert report.analyze_payload(spark, upload)[1]["outcome"] == "ok"
     bad = upload | {"csv_base64": base64.b64encode(text.replace("2010-03", "2010-02").encode()).decode()}
-    assert report.analyze_payload(spark, bad)[1]["error"]["code"] == "duplicate_months"
+    axis = report.analyze_payload(spark, bad)[1]
+    assert axis["error"]["code"] == "duplicate_months" and axis["data_audit"]["date_axis"]["duplicate_months"] == ["2010-02"] and axis["data_audit"]["date_axis"]["missing_months"] == ["2010-03"]
     assert report.analyze_payload(spark, {k: v for k, v in upload.items() if k != "target"})[0] == 422
 
 
 def test_views(spark, tmp_path):
     path, _ = case_files(tmp_path)
-    request = {"case_path": path, "transform_declarations": {"y": "diff", "a": "diff", "b": "none"}}
-    status, found = report.analyze_payload(spark, request)
+    root, request = served(path), {"case_name": "toy", "transform_declarations": {"y": "diff", "a": "diff", "b": "none"}}
+    status, found = report.analyze_payload(spark, request, root)
     assert views.view_of(status, found) == "report" and views.view_of(200, found | {"outcome": "baseline_only"}) == "baseline"
     assert views.view_of(200, found | {"schema_version": "other"}) == views.view_of(200, "text") == views.view_of(422, found) == "malformed"
     assert views.view_of(None, None, "timeout") == "timeout" and views.view_of(500, {}) == "failure"
     assert views.report_context(found)["target"] == "y" and views.decision(found)["sources"] == ["a"] and views.confidence(found)["confidence"] is None
     assert [r["source"] for r in views.relation_rows(found) if r["selected"]] == ["a"] and not views.has_evaluation(found)
-    assert views.evaluation_interval({"evaluation": {"low": -0.1, "median": 0.2, "high": 0.4, "level": 0.9}})["high"] == 0.4
+    assert views.evaluation_interval({"evaluation": {"rolling_origin": {"low": -0.1, "median": 0.2, "high": 0.4, "folds": 9, "resolves": False}}}) == {"low": -0.1, "median": 0.2, "high": 0.4, "folds": 9, "resolves": False}
+    assert views.report_filename({"case": {"name": "a b/c"}}) == "report-a-b-c.json" and views.shown_number(None) == "\u2014" and views.shown_percent(0.1234) == "+12.3%" and views.shown_signed(-1) == "-1.000"
     assert {r["signal"] for r in views.signal_rows(found)} == {"y", "a", "b"} and views.axis_summary(found)["continuous"] and views.may_analyze(found)
     assert views.badge("dead")["label"] == "Gone" and views.badge("else")["tone"] == "neutral" and [s["state"] for s in views.state_steps("stable") if s["active"]] == ["stable"]
-    status, bad = report.analyze_payload(spark, request | {"transform_declarations": dict.fromkeys("yab", "none")})
+    status, bad = report.analyze_payload(spark, request | {"transform_declarations": dict.fromkeys("yab", "none")}, root)
     assert views.view_of(status, bad) == "rejected" and views.error_fields(bad)["code"] == "persistent_level" and views.rejected_signals(bad) and not views.may_analyze(bad)
-    snapshot = report.snapshot_payload(spark, request)[1]
+    snapshot = report.snapshot_payload(spark, request, root)[1]
     again = views.upload_of_snapshot(snapshot, {"target": "y", "candidate_signals": ["a", "b"], "transform_declarations": request["transform_declarations"], "train_end": "2013-12", "lag_window": 2})
     assert report.snapshot_payload(spark, again)[1]["hash"] == snapshot["hash"] == views.snapshot_fields(snapshot)["hash"]
 
@@ -341,7 +355,7 @@ def test_search_and_frozen_test(spark, tmp_path):
     best = sweep.select_cell(grid)
     r = sweep.frozen_test(frame, "y", best, end("train_end", "2013-06"), [1, 2]).first()
     assert r.test_rows == 18 and (r.mode == "model") == (r.model_mae is not None)
-    sinks.write_selection(str(tmp_path / "s.json"), best.first().asDict() | {"max_selected_signals": 1})
+    sinks.write_selection(str(tmp_path / "s.json"), {k: v for k, v in best.first().asDict().items() if k in ("threshold", "lag_window", "validation_mae", "persistence_mae")} | {"max_selected_signals": 1})
     assert cases.load_selection(str(tmp_path / "s.json")).mode == best.first().mode
 
 
