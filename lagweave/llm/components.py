@@ -4,8 +4,8 @@ A large-star step links every larger neighbour of a node to the smallest of the
 its neighbours, a small-star step does so for the smaller neighbours and the node. Both
 keep connectivity and shorten paths; the links settle as stars around the smallest node of
 each component after about a logarithmic number of rounds. Each step is an aggregation
-with partial sums and an equi-join, whose hot keys Spark can split. Nothing but two
-numbers a round reaches the driver.
+with partial sums and an equi-join, whose hot keys Spark can split. The rounds end when one
+changes no link; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,19 +24,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a), F.col(b)
     stars = storage.settle(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    before = None
-    while (now := _state(stars)) != before and now[0]:
-        before = now
-        stars = storage.settle(_small_star(_large_star(stars)))
+    while True:
+        next_stars = storage.settle(_small_star(_large_star(stars)))
+        # both tables hold distinct links, so they are equal if none of the next ones is new and there are as many
+        done = next_stars.count() == stars.count() and next_stars.join(stars, ["u", "v"], "left_anti").isEmpty()
+        stars = next_stars
+        if done:
+            break
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _state(stars: DataFrame) -> tuple:
-    row = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-    return row[0], row[1]
-
-
 def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))

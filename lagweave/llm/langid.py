@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import arrow, pretokens, ragged, storage
 
 #: Documents a language to fit on, languages at most, and partitions of the blocks that are fitted on.
-SAMPLE, MOST_LANGUAGES, BLOCKS = 300, 64, 8
+SAMPLE, MOST_LANGUAGES, BLOCKS = 200, 64, 4
 #: Rounds without and with transitions.
 ROUNDS = (20, 15)
 TABLE_BITS = 16
@@ -232,15 +232,12 @@ class Block:
         n = int(self.words.max(initial=-1)) + 1
         return emissions(weights, (self.kind, self.slot), n)[self.words]
 
-    def gradient(self, residual: np.ndarray) -> np.ndarray:
-        """The sum over words of the gradient of the weights, from the gradient of their scores."""
+    def gradient(self, residual: np.ndarray, by_kind: bool = False) -> np.ndarray:
+        """The sum over words of the gradient of the weights, from the gradient of the scores of words, or of kinds of words."""
         n = int(self.words.max(initial=-1)) + 1
-        count = np.maximum(np.bincount(self.kind, minlength=n), 1)
-        out = []
-        for j in range(residual.shape[1]):
-            by_kind = np.bincount(self.words, residual[:, j], n) / np.sqrt(count)
-            out.append(np.bincount(self.slot, by_kind[self.kind], 1 << TABLE_BITS))
-        return np.stack(out, 1)
+        root = np.sqrt(np.maximum(np.bincount(self.kind, minlength=n), 1))
+        kinds = [x if by_kind else np.bincount(self.words, x, n) for x in residual.T]
+        return np.stack([np.bincount(self.slot, (x / root)[self.kind], 1 << TABLE_BITS) for x in kinds], 1)
 
     def pairs(self, k: int) -> np.ndarray:
         """Numbers of neighbouring word labels within texts."""
@@ -278,15 +275,16 @@ def fit(rows: DataFrame, languages: list[str], rounds: tuple[int, int] = ROUNDS,
         label = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
         return Block.of_texts(*ragged.text_bytes(batch.column(2)), label).row()
 
-    dealt = rows.repartition(BLOCKS, "doc_id").sortWithinPartitions("doc_id", "lang")
+    dealt = rows.repartition(BLOCKS).sortWithinPartitions("doc_id", "lang")
     blocks = storage.settle(arrow.map_texts(dealt, prepare, Block.SCHEMA, ["doc_id", "lang", "text"]))
 
     def by_document(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        s = block.scores(weights)
+        # without transitions a word counts by its kind and its document's label alone
+        n = int(block.words.max()) + 1
+        seen = np.bincount(block.words * k + np.repeat(block.label, np.diff(block.first)), minlength=n * k).reshape(n, k)
+        s = emissions(weights, (block.kind, block.slot), n)
         p = np.exp(s - s.max(1, keepdims=True))
-        p /= -p.sum(1, keepdims=True)
-        p[np.arange(len(p)), np.repeat(block.label, np.diff(block.first))] += 1
-        return block.gradient(p), np.zeros((k, k))
+        return block.gradient(seen - seen.sum(1, keepdims=True) * p / p.sum(1, keepdims=True), by_kind=True), np.zeros((k, k))
 
     adam = _Adam(rate)
     for _ in range(rounds[0]):

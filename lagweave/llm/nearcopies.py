@@ -46,7 +46,7 @@ _HEAD_START = 128 - RADIUS - 1
 COUNT_ROWS, CELL_BITS = 2, 17
 
 #: Sets of one shingle in a task at most, sets compared at once, and bytes of shingle hashes that aim at one part of a group.
-TILE, BLOCK_ROWS, PART_BYTES = 4096, 1 << 15, 16 << 20
+TILE, BLOCK_ROWS, PART_BYTES = 4096, 1 << 14, 8 << 20
 #: Sets that are dealt to every part of a large group.
 PIVOTS = 4
 
