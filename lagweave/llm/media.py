@@ -17,6 +17,7 @@ import binascii
 import hashlib
 import io
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -39,7 +41,9 @@ LEVEL = 4
 ARCHIVE_BYTES = 128 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
-ATTEMPTS = 3
+ATTEMPTS, WAIT = 3, 0.2
+#: Ranges that a read is planned in at most.
+MOST_RANGES = 20_000
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -90,11 +94,24 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};step={step:.4f};levels=" + ",".join(f"{v:.4f}" for v in levels)
 
 
+#: Spark's names of stores, and what Arrow calls them.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder as Spark names it, and the path there; abfss, gs, hdfs and file are called alike."""
+    for scheme, own in SCHEMES.items():
+        if uri.startswith(scheme):
+            uri = own + uri.removeprefix(scheme).lstrip("/")
+            break
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+
+
 class _Archive:
     """One archive being written: complete under its name once closed."""
 
     def __init__(self, folder: str):
-        self.system, root = fs.FileSystem.from_uri(folder)
+        self.system, root = file_system(folder)
         self.system.create_dir(root, recursive=True)
         self.path = f"{root}/{uuid.uuid4().hex}.zip"
         self.raw = self.system.open_output_stream(self.path)
@@ -158,48 +175,62 @@ class ArchiveReader(DataSourceReader):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
+        self.wait = float(options.get("wait", WAIT))
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
 
     def partitions(self) -> list[Range]:
         """Byte ranges of the reported archives; only their names and sizes are looked at."""
-        system, root = fs.FileSystem.from_uri(f"{self.folder}/written")
+        system, root = file_system(f"{self.folder}/written")
         written = ds.dataset(root, filesystem=system, format="parquet", schema=pa.schema([("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64())])).to_table()
-        return [Range(path, a, min(a + self.range_bytes, size)) for path, size in zip(written["archive"].to_pylist(), written["bytes"].to_pylist()) for a in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+        # ranges grow with the total, so that their number stays bounded
+        step = max(self.range_bytes, (pc.sum(written["bytes"]).as_py() or 0) // MOST_RANGES)
+        return [Range(path, a, min(a + step, size)) for path, size in zip(written["archive"].to_pylist(), written["bytes"].to_pylist()) for a in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        system, _ = fs.FileSystem.from_uri(self.folder)
+        system, _ = file_system(self.folder)
         rows, held = [], 0
         with system.open_input_file(partition.archive) as raw, zipfile.ZipFile(raw) as directory:
             members = [m for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
-        for member in members:
-            media, error = self._member(system, partition.archive, member)
-            rows.append((partition.archive, member.header_offset, member.filename, media, error))
-            held += len(media or b"")
-            if held >= BATCH_BYTES or len(rows) >= 1024:
+        try:
+            for member in members:
+                media, error = self._member(system, partition.archive, member)
+                rows.append((partition.archive, member.header_offset, member.filename, media, error))
+                held += len(media or b"")
+                if held >= BATCH_BYTES or len(rows) >= 1024:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
+        finally:
+            self._close()
 
     def _member(self, system: fs.FileSystem, archive: str, member: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """A member's bytes by its offset; a failure is retried on a fresh handle, for this member only."""
         error = ""
-        for _ in range(self.attempts):
+        for attempt in range(self.attempts):
+            if attempt:
+                time.sleep(self.wait * 2 ** (attempt - 1))
             try:
                 return self._at_offset(system, archive, member), None
             except (OSError, ValueError) as e:
                 error = str(e)
-                self.handle = None
+                self._close()
         if self.permissive:
             return None, error
         raise OSError(f"{archive} at {member.header_offset}: {error}")
 
     handle = None
 
+    def _close(self) -> None:
+        if self.handle is not None:
+            handle, self.handle = self.handle, None
+            handle[1].close()
+
     def _at_offset(self, system: fs.FileSystem, archive: str, member: zipfile.ZipInfo) -> bytes:
         if self.handle is None or self.handle[0] != archive:
+            self._close()
             self.handle = (archive, system.open_input_file(archive))
         raw = self.handle[1]
         head = raw.read_at(30, member.header_offset)
@@ -220,7 +251,7 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSource(DataSource):
     """Members of the archives under ``path``: (archive, offset, member, media, error).
 
-    Options: rangebytes, attempts, and mode (failfast, or permissive: a member that can't be
+    Options: rangebytes, attempts, wait (seconds before the second attempt, doubled each time), and mode (failfast, or permissive: a member that can't be
     read has null media and its error).
     """
 
@@ -264,6 +295,5 @@ def store_and_digest(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """Write every text into archives in the shared folder, read them back, and digest what was read."""
     spark = docs.sparkSession
     folder = storage.new_folder(spark, "media")
-    folder = folder if "://" in folder else f"file://{folder}"
     write_archives(docs, folder, id_column, text_column)
     return media_digests(read_archives(spark, folder))

@@ -311,5 +311,87 @@ def test_archives_are_read_by_ranges_and_members_fail_alone(spark, tmp_path):
         media.read_archives(spark, folder).collect()
 
 
+class Flaky:
+    """A file system whose read at one offset fails a few times; counts the tries and what is open."""
+
+    def __init__(self, system, bad, times):
+        self.system, self.bad, self.times, self.tries, self.open = system, bad, times, 0, 0
+
+    def open_input_file(self, path):
+        return FlakyFile(self, self.system.open_input_file(path))
+
+
+class FlakyFile:
+    def __init__(self, system, raw):
+        self.system, self.raw = system, raw
+        system.open += 1
+
+    def read_at(self, n, offset):
+        if offset == self.system.bad:
+            self.system.tries += 1
+            if self.system.tries <= self.system.times:
+                raise OSError("connection reset")
+        return self.raw.read_at(n, offset)
+
+    def close(self):
+        self.system.open -= 1
+        self.raw.close()
+
+    def __enter__(self):
+        return self.raw.__enter__()
+
+    def __exit__(self, *error):
+        self.close()
+
+    def __getattr__(self, name):
+        return getattr(self.raw, name)
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_a_member_is_retried_by_its_offset(spark, tmp_path, monkeypatch, times):
+    folder = f"file://{tmp_path}/m"
+    media.write_archives(documents(spark, ["one text", "another text", None]).coalesce(1), folder)
+    reader = media.ArchiveReader({"path": folder, "wait": "0.01", "mode": "permissive"})
+    (part,) = reader.partitions()
+    before = pa.Table.from_batches(list(reader.read(part)))
+    offsets = before["offset"].to_pylist()
+    system, _ = media.file_system(folder)
+    flaky = Flaky(system, offsets[1], times)
+    waits = []
+    monkeypatch.setattr(media, "file_system", lambda uri: (flaky, uri))
+    monkeypatch.setattr(media.time, "sleep", waits.append)
+    after = pa.Table.from_batches(list(reader.read(part)))
+    if times < media.ATTEMPTS:
+        assert after.equals(before) and flaky.tries == times + 1
+    else:
+        assert after["error"].to_pylist().count(None) == len(before) - 1 and after["media"].to_pylist()[2:] == before["media"].to_pylist()[2:]
+    assert waits == [0.01 * 2**i for i in range(min(times, media.ATTEMPTS - 1))] and reader.handle is None and flaky.open == 0
+
+
+def test_ranges_grow_with_the_total(monkeypatch, spark, tmp_path):
+    folder = f"file://{tmp_path}/m"
+    media.write_archives(documents(spark), folder, archive_bytes=4000)
+    reader = media.ArchiveReader({"path": folder, "rangebytes": "100"})
+    many = len(reader.partitions())
+    monkeypatch.setattr(media, "MOST_RANGES", 10)
+    archives = len({r.archive for r in reader.partitions()})
+    assert len(reader.partitions()) <= 10 + archives < many
+    assert media.file_system("dbfs:/x/y")[1] == "/dbfs/x/y" and media.file_system("/a/b")[1] == "/a/b" and media.file_system("file:/a/b")[1] == "/a/b"
+
+
+def test_media_features_are_brute_force():
+    for text in (b"", b"a", bytes(range(256)) * 3, "é漢 words".encode() * 40):
+        samples, n = media.decode_png(media.encode_png(text))
+        assert samples == text + bytes(-len(text) % 64 if text else 64) and n == len(text)
+        mean = sum(samples) / len(samples)
+        std = math.sqrt(sum((x - mean) ** 2 for x in samples) / len(samples))
+        share = [samples.count(v) / len(samples) for v in {*samples}]
+        step = sum(abs(a - b) for a, b in zip(samples, samples[1:])) / (len(samples) - 1)
+        levels = [sum(16 * k <= x < 16 * k + 16 for x in samples) / len(samples) for k in range(16)]
+        got = dict(x.split("=") for x in media.features(samples).split(";"))
+        want = {"mean": mean, "std": std, "entropy": -sum(p * math.log2(p) for p in share), "step": step}
+        assert all(abs(float(got[k]) - v) < 6e-5 for k, v in want.items()) and all(abs(float(a) - b) < 6e-5 for a, b in zip(got["levels"].split(","), levels))
+
+
 def test_shared_folder_is_set(spark):
     assert storage.shared_folder(spark)
