@@ -32,6 +32,8 @@ from . import arrow, pretokens, ragged, storage
 SAMPLE, MOST_LANGUAGES, BLOCKS = 200, 64, 4
 #: Rounds without and with transitions.
 ROUNDS = (20, 15)
+#: Texts of so many words set the least evidence of a learned language, of which a text needs this share.
+LONG, EVIDENCE = 20, 0.6
 TABLE_BITS = 16
 SEGMENT = 256
 UNDETERMINED = "und"
@@ -157,34 +159,45 @@ class ChainModel:
     languages: list[str]
     weights: np.ndarray  # (slots, languages)
     transitions: np.ndarray  # (languages, languages)
+    #: The evidence below which a text is in no learned language: ``EVIDENCE`` of the least of the texts fitted on.
+    floor: float = 0.0
 
-    def documents(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected shares of the labels among each text's words with letters, and how many such words there are."""
+    def documents(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected shares of the labels among each text's words with letters, how many such words there are, and their mean evidence.
+
+        A word's evidence is the score of its best label before any transition: words whose
+        features were never seen have none.
+        """
         k, n = len(self.languages), len(offsets) - 1
         buf = _fold(buf)
         starts, ends, first = ragged.words(buf, offsets)
         starts, ends = cores(buf, starts, ends)
         if not len(starts) or not k:
-            return np.zeros((n, k)), np.zeros(n)
+            return np.zeros((n, k)), np.zeros(n), np.zeros(n)
         index, inverse = ragged.unique_spans(buf, starts, ends)
         scores = emissions(self.weights, word_entries(buf, starts[index], ends[index]), len(index))[inverse]
         gamma, _ = posteriors(scores, first, self.transitions)
         real = (ends > starts).astype(float)
         counts = ragged.sums(real, first)
         totals = np.stack([ragged.sums(gamma[:, j] * real, first) for j in range(k)], 1)
-        return totals / np.maximum(counts, 1)[:, None], counts
+        evidence = ragged.sums(scores.max(1) * real, first) / np.maximum(counts, 1)
+        return totals / np.maximum(counts, 1)[:, None], counts, evidence
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Each text's language and its share of the words; ``und`` and 0 without a letter."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As ``predict``, and the mean evidence of each text's words."""
         buf, offsets = ragged.text_bytes(texts)
-        shares, counts = self.documents(buf, offsets)
+        shares, counts, evidence = self.documents(buf, offsets)
         at, code = pretokens.characters(buf)
         letters = ragged.bounds(pretokens.class_table()[code] == pretokens.LETTER)
         edge = np.searchsorted(at, offsets)
         known = (letters[edge[1:]] > letters[edge[:-1]]) & bool(self.languages)
         best = shares.argmax(1) if self.languages else np.zeros(len(counts), int)
         names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())]
-        return names, np.where(known, np.clip(shares.max(1, initial=0.0), 0, 1), 0.0)
+        return names, np.where(known, np.clip(shares.max(1, initial=0.0), 0, 1), 0.0), evidence
 
 
 class _Adam:
@@ -316,7 +329,18 @@ def fit(rows: DataFrame, languages: list[str], rounds: tuple[int, int] = ROUNDS,
         gradient, moves, n = _summed(blocks, k, by_word)
         weights = adam("weights", weights, gradient / n - decay * weights).astype(np.float32)
         transitions = np.clip(adam("transitions", transitions, moves / n - 1e-4 * transitions), -12, 12)
-    return ChainModel(languages, weights, transitions)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.inf]
+        for batch in batches:
+            for block in Block.read(batch):
+                long = np.diff(block.first) >= LONG
+                mean = ragged.sums(block.scores(weights).max(1), block.first) / np.maximum(np.diff(block.first), 1)
+                found += mean[long].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([min(found)])], ["least"])
+
+    floor = min(r["least"] for r in blocks.mapInArrow(least, "least double").collect())  # at most BLOCKS rows
+    return ChainModel(languages, weights, transitions, EVIDENCE * floor if np.isfinite(floor) else 0.0)
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> tuple[DataFrame, list[str]]:
@@ -367,11 +391,16 @@ def label_documents(docs: DataFrame, model: ChainModel, keep: list[str], text_co
 
 
 def keep_identified(docs: DataFrame, model: ChainModel, least: float = 0.35, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which some language holds at least that share of the words; undetermined ones go."""
+    """The rows of ``docs`` in which some language holds at least that share of the words, with all columns.
+
+    Undetermined texts go, null and empty ones too, and so do texts whose words have too little
+    evidence for any learned language: other scripts, unlike languages, letter noise.
+    Repeated rows are each kept or not.
+    """
 
     def keeps(texts: pa.Array) -> np.ndarray:
-        languages, score = model.predict(texts)
-        return (np.array(languages, object) != UNDETERMINED) & (score >= least)
+        languages, score, evidence = model.judge(texts)
+        return (np.array(languages, object) != UNDETERMINED) & (score >= least) & (evidence >= model.floor)
 
     return arrow.filter_texts(docs, keeps, text_column)
 

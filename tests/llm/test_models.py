@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,12 +170,22 @@ def test_words_of_switched_text(spark):
     docs, _, _ = labelled(spark)
     rng, model = random.Random(9), langid.learn(docs)
     text = invented("aa", rng, 30) + " " + invented("bb", rng, 90)
-    import pyarrow as pa
-
     (lang,), (share,) = model.predict(pa.array([text]))
     assert lang == "bb" and abs(share - 0.75) < 0.1
 
 
+def test_unlearned_languages_go(spark):
+    """Other scripts and noise go though some label always has the largest share; clean texts stay."""
+    docs, _, _ = labelled(spark, 240)
+    clean = docs.where("text not like '%$$$%' and text not like '%***%' and text not like '%&&&%'")
+    model, rng = langid.learn(docs), random.Random(4)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(20)] + ["\u044d\u0442\u043e \u043e\u0447\u0435\u043d\u044c \u0445\u043e\u0440\u043e\u0448\u0438\u0439 " * 9, "0Zq9 XkW7 QQx8 " * 30]
+    rows = documents(spark, noise).where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert langid.keep_identified(rows, model).count() == 0
+    assert min(model.predict(pa.array(noise))[1]) >= 1 / 3
+    assert langid.keep_identified(clean, model).count() == clean.count()
+
+
 def test_languages_of_awkward_rows(spark):
     docs, _, _ = labelled(spark, 60)
     model, odd = langid.learn(docs), documents(spark)
