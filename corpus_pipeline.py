@@ -12,28 +12,28 @@ from lagweave.llm import arrow, langid, nearcopies, packing, quality, secrets, s
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its threshold go."""
+    """Documents that the classifier scores below its threshold go; null and empty texts are scored like any."""
     model = quality.learn(docs, arrow.read(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model, threshold=0.3)
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language holds 0.35 of the words, go."""
+    """Documents without a letter (null and empty ones too), in which no language holds 0.35 of the words, or without evidence for any learned language, go."""
     return langid.keep_identified(docs, langid.learn(docs), least=0.35)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles alike to 0.8 or more) stays."""
+    """One document of each group of near copies (five-word shingles alike to 0.8 or more) stays, the one with the smallest id; texts without words are alike."""
     return nearcopies.keep_one_each(docs, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, and n_chars follows the text."""
+    """Secrets are replaced by a mark, and n_chars follows the text; a null text stays null, with a null n_chars."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences: one row a piece."""
+    """Pieces of token sequences: one row a piece; a null or empty text is its end token alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 

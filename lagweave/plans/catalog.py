@@ -25,8 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
-    """The base panels for queries that read them many times: small next to the tables they are summed from."""
-    return panels.panel(spark, d).persist()
+    """The base panels for queries that read them many times: small next to the tables they are summed from, so they are settled."""
+    return settle(panels.panel(spark, d))
 
 
 def _relations(frame: DataFrame, *more: str) -> DataFrame:
@@ -315,7 +315,7 @@ def frozen_test(spark: SparkSession, d: str) -> DataFrame:
 
 def origin_skill(spark: SparkSession, d: str) -> DataFrame:
     """A predictor from a series' own last value, refitted at every origin."""
-    frame = _unit(panels.panel(spark, d).where(F.col("signal") == TARGET)).persist()
+    frame = settle(_unit(panels.panel(spark, d).where(F.col("signal") == TARGET)))
     none = frame.select("series_id").distinct().select("series_id", F.lit("own").alias("model"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("scale"))
     origins = evaluation.target_rows(frame, TARGET).where("idx > 12").select("series_id", "t")
     found = power.origin_skills(power.origin_forecasts(frame, TARGET, none, 1, origins), frame, TARGET)
@@ -324,7 +324,7 @@ def origin_skill(spark: SparkSession, d: str) -> DataFrame:
 
 def protocol_controls(spark: SparkSession, d: str) -> DataFrame:
     """The predictor of every series' target from its first other signal at every origin after a year, with the controls of its protocol."""
-    frame = _unit(panels.panel(spark, d)).persist()
+    frame = settle(_unit(panels.panel(spark, d)))
     other = frame.where(F.col("signal") != TARGET).groupBy("series_id").agg(F.min("signal").alias("source"))
     sources = other.select("series_id", F.lit("ols").alias("model"), "source", F.lit(1).alias("rank"), F.lit(1.0).alias("scale"))
     origins = evaluation.target_rows(frame, TARGET).where("idx > 12").select("series_id", "t")

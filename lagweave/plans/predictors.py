@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import models, relations, selection
+from .settle import settle
 
 MIXTURE = "_mixture"
 
@@ -91,7 +92,7 @@ def evaluate(rows: DataFrame, train: tuple[int, int], test: tuple[int, int], lag
 def compare(panel: DataFrame, target: str, lags: int, train: tuple[int, int], test: tuple[int, int], budgets: DataFrame, top: int = 2) -> DataFrame:
     """All predictors with fixed weights on the same rows: every signal, the top sources, trust gates, and each budget."""
     past = panel.where(F.col("t") <= train[1])
-    found = relations.relations(past, lags, target).persist()
+    found = settle(relations.relations(past, lags, target))
     every = relations.ranked(found).select("series_id", F.lit("all_signals").alias("model"), "source", "rank", F.lit(1.0).alias("scale"))
     plain = [evaluate(models.features(panel, target, s, lags), train, test, lags) for s in (every, models.top_sources(found, target, top, "top_sources"))]
     mixed = trust_weights(found, target).unionByName(budget_weights(found, target, budgets))
@@ -101,7 +102,7 @@ def compare(panel: DataFrame, target: str, lags: int, train: tuple[int, int], te
 def compare_drift(panel: DataFrame, target: str, lags: int, window: int, train: tuple[int, int], test: tuple[int, int], top: int = 2) -> DataFrame:
     """Static weights of the training rows against weights that roll with the label; coefficients are fixed in training."""
     found = relations.relations(panel.where(F.col("t") <= train[1]), lags, target)
-    chosen = models.top_sources(found, target, top, "static").persist()
+    chosen = settle(models.top_sources(found, target, top, "static"))
     static = evaluate(mixture_features(panel, target, chosen, lags), train, test, lags)
     rolling = evaluate(step_features(panel, target, rolling_weights(panel, target, lags, window, chosen), lags), train, test, lags)
     return static.unionByName(rolling)
