@@ -26,19 +26,19 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 def _turn_hashes() -> list[Column]:
     """Four 32-bit hashes of a turn; their sums stay below 2^63 in any conversation."""
-    body = F.sha2(F.concat_ws("\x1f", F.col("position").cast("string"), F.length("role").cast("string"), "role", "digest"), 256)
+    body = F.sha2(F.concat_ws("\x1f", F.col("position").cast("string"), F.length("role").cast("string"), "role", F.hex("digest")), 256)
     return [F.conv(F.substring(body, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i}") for i in range(4)]
 
 
 def numbered_turns(turns: DataFrame, with_text: bool = False) -> DataFrame:
     """(conv_id, block, position, role, digest and, if asked for, text) of turns in order of turn, role and digest.
 
-    digest is the SHA-256 of the text. A null role or text counts as empty, a null turn
+    digest is the SHA-256 of the text, as bytes. A null role or text counts as empty, a null turn
     comes first; a row that repeats another in all of these counts once. Rows with a null
     conv_id belong to no conversation and are left out. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.sha2(text, 256).alias("digest"), *[text.alias("text")] * with_text)
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.unhex(F.sha2(text, 256)).alias("digest"), *[text.alias("text")] * with_text)
     rows = rows.groupBy("conv_id", "turn", "role", "digest").agg(F.first("text").alias("text")) if with_text else rows.distinct()
     # by blocks of the turn number, so that no conversation is sorted in one task
     rows = rows.withColumn("_cut", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
@@ -60,8 +60,9 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     starts = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"b{h}").over(before), F.lit(0)).alias(f"s{h}") for h in names])
     within = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     running = hashed.select("conv_id", "block", "position", *[F.sum(h).over(within).alias(h) for h in names]).join(starts, ["conv_id", "block"])
-    # the sums, joined, keep all of their bits
-    return running.select("conv_id", "position", F.concat_ws("-", *[(F.col(h) + F.col(f"s{h}")).cast("string") for h in names]).alias("prefix"))
+    # a digest of the sums, as 16 bytes
+    whole = F.concat_ws("-", *[(F.col(h) + F.col(f"s{h}")).cast("string") for h in names])
+    return running.select("conv_id", "position", F.unhex(F.md5(whole.cast("binary"))).alias("prefix"))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
+from ..plans import settle as settle_module
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or else the context's; only a local master, as in tests, gets one made here."""
-    context = spark.sparkContext
-    named = context.getConf().get(SETTING, None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lagweave-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
+    """The library's shared folder, which checkpoints are written to as well."""
+    named = settle_module.shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
