@@ -61,6 +61,27 @@ def origin_skills(forecasts: DataFrame, panel: DataFrame, target: str) -> DataFr
     return folds.select("series_id", "model", (F.row_number().over(order) - 1).alias("fold"), F.col("origin").alias("t"), "skill")
 
 
+def era_skills(panel: DataFrame, target: str, sources: DataFrame, lags: int, eras: DataFrame) -> DataFrame:
+    """(series_id, model, era, fold, t, skill) of frozen sources, refitted at every step of each era on all rows before it.
+
+    eras: (series_id, era, first, last), both ends included; an origin without a model, or
+    with a naive error of 0, is skipped. Folds count within an era.
+    """
+    origins = eras.select("series_id", F.explode(F.sequence("first", "last")).alias("t")).distinct()
+    found = origin_skills(origin_forecasts(panel, target, sources, lags, origins), panel, target).drop("fold")
+    rows = found.join(eras, "series_id").where(F.col("t").between(F.col("first"), F.col("last")))
+    order = Window.partitionBy("series_id", "model", "era").orderBy("t")
+    return rows.select("series_id", "model", "era", (F.row_number().over(order) - 1).alias("fold"), "t", "skill")
+
+
+def era_intervals(skills: DataFrame, **options) -> DataFrame:
+    """(series_id, model, era, folds, median, low, high): ``evaluation.skill_intervals`` of each era."""
+    key = F.concat_ws("\x1f", "series_id", "model", "era")
+    found = evaluation.skill_intervals(skills.select(key.alias("series_id"), "fold", "skill"), **options)
+    part = F.split("series_id", "\x1f")
+    return found.select(part[0].alias("series_id"), part[1].alias("model"), part[2].alias("era"), "folds", "median", "low", "high")
+
+
 def controls(panel: DataFrame, target: str, sources: DataFrame, lags: int, origins: DataFrame, test_size: int = 1, with_target: bool = False) -> DataFrame:
     """(series_id, control, fold, t, skill) of one model a series and its three controls, on folds that all of them have."""
     names = [r[0] for r in sources.where("source is not null").select("source").distinct().collect()]  # signals of a panel

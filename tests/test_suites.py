@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions import stats
 from lagweave.operators import evaluation, lifecycle, models, relations, selection, transforms
-from lagweave.plans import files, predictors, suites, sweep
+from lagweave.plans import files, power, predictors, suites, sweep
 from lagweave.sources import cases, fixtures, panel
 
 
@@ -211,6 +211,20 @@ def test_running_lifecycle_is_that_of_every_prefix(spark):
         assert all(near(r[c], whole[c]) for c in columns)
 
 
+def test_eras_are_parts_of_all_origins(spark):
+    rng = random.Random(3)
+    x = [rng.gauss(0, 1) for _ in range(50)]
+    y = [5 + (x[t - 1] if t else 0) + rng.gauss(0, 0.3) for t in range(50)]
+    frame = spark.createDataFrame([("s", t, k, float(v[t])) for k, v in (("x", x), ("y", y)) for t in range(50)], "series_id string, t long, signal string, value double").persist()
+    sources = spark.createDataFrame([("s", "frozen", "x", 1, 1.0)], "series_id string, model string, source string, rank int, scale double")
+    eras = spark.createDataFrame([("s", "calm", 20, 29), ("s", "later", 35, 49)], "series_id string, era string, first long, last long")
+    got = {(r.era, r.t): (r.fold, r.skill) for r in power.era_skills(frame, "y", sources, 1, eras).collect()}
+    want = {r.t: r.skill for r in power.origin_skills(power.origin_forecasts(frame, "y", sources, 1, spark.range(20, 50).select(F.lit("s").alias("series_id"), F.col("id").alias("t"))), frame, "y").collect()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({(era, t): want[t] for era, a, b in (("calm", 20, 29), ("later", 35, 49)) for t in range(a, b + 1)})
+    table = {r.era: r for r in power.era_intervals(power.era_skills(frame, "y", sources, 1, eras), resamples=50).collect()}
+    assert table["calm"].folds == 10 and table["later"].median == pytest.approx(statistics.median(want[t] for t in range(35, 50))) and table["later"].low <= table["later"].median <= table["later"].high
+
+
 def test_tables_and_scopes(spark, tmp_path):
     (tmp_path / "t.csv").write_text("date,a,b\n2020-01,1,x\n2020-02, 2.5 ,3\n2020-03,4,5\n")
     rows = {(r.t, r.signal): r.value for r in cases.read_table(spark, str(tmp_path / "t.csv"), end="2020-02").collect()}
