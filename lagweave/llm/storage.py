@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import settle as settle_module
 
+
 def shared_folder(spark: SparkSession) -> str:
     """The library's shared folder, which checkpoints are written to as well."""
     named = settle_module.shared_folder(spark)
