@@ -232,7 +232,7 @@ def relation_detection(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
     found = selection.evidence_gate(_lifecycle(spark, d), LAGS)
-    return found.select("series_id", "source", "target", "lag", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), out("noise_floor", 8).alias("noise_floor"), out("effect_size", 6).alias("effect_size"), out("support").alias("support"), "selected", "reason")
+    return found.select("series_id", "source", "target", "lag", out("p_value", 6).alias("p_value"), out("fdr_cutoff", 6).alias("fdr_cutoff"), out("noise_floor", 8).alias("noise_floor"), out("effect_size", 6).alias("effect_size"), out("support").alias("support"), "selected", "reason")
 
 
 def rolling_origin_folds(spark: SparkSession, d: str) -> DataFrame:

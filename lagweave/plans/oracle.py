@@ -202,7 +202,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, coun
 c AS (SELECT r.*, {_STEP_UP} AS cut, tanh(crit / sqrt(sample_count - 3)) AS fl, sample_count / most AS support FROM r JOIN (VALUES {_CRITICAL}) v(pairs, crit) USING (pairs)),
 d AS (SELECT *, CASE WHEN p > cut THEN 'below_fdr_corrected_effect' WHEN stability IS NULL OR stability < 0.45 THEN 'insufficient_stability' WHEN uncertainty IS NULL OR uncertainty > 0.20 THEN 'excess_relationship_uncertainty'
   WHEN support < 0.5 THEN 'insufficient_sample_support' ELSE 'selected' END AS reason FROM c)
-SELECT {EDGE}, lag, {_out('p', 8, 'p_value')}, {_out('cut', 8, 'fdr_cutoff')}, {_out('fl', 8, 'noise_floor')}, {_out('score / fl', 6, 'effect_size')}, {_out('support', 10, 'support')}, reason = 'selected' AS selected, reason FROM d""",
+SELECT {EDGE}, lag, {_out('p', 6, 'p_value')}, {_out('cut', 6, 'fdr_cutoff')}, {_out('fl', 8, 'noise_floor')}, {_out('score / fl', 6, 'effect_size')}, {_out('support', 10, 'support')}, reason = 'selected' AS selected, reason FROM d""",
     "rolling_origin_folds": f"""WITH {PANEL}, n AS (SELECT series_id, count(*) AS n FROM panel WHERE signal = 'volume' GROUP BY 1), o AS (SELECT series_id, unnest(range(15, n - 1, 3)) AS o FROM n)
 SELECT series_id, CAST((o - 15) // 3 AS INT) AS fold, CAST(0 AS BIGINT) AS train_lo, o AS train_hi, o AS test_lo, o + 2 AS test_hi FROM o""",
     "sliding_folds": f"""WITH {PANEL}, n AS (SELECT series_id, count(*) AS n FROM panel WHERE signal = 'volume' GROUP BY 1), o AS (SELECT series_id, unnest(range(12, n, 2)) AS o FROM n)
