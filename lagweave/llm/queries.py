@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, compression, langid, media, packing, quality, secrets, sharding, simhash
+from . import bpe, chat, compression, fillmiddle, langid, media, negatives, packing, quality, secrets, sharding, simhash, toxicity
 from .arrow import read
 
 #: The limit of a shard of documents: one read of a training loader.
@@ -65,6 +65,21 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), radius=3)
 
 
+def op11_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5 hard negatives of every anchor and positive, by exact integer products."""
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op12_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model that never saw the held-out fold."""
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged by units of letters and single characters, and what the output restores."""
+    return fillmiddle.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_secret_randomness,
@@ -77,10 +92,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_attention,
         op9_bpe_round_trip,
         op10_simhash_near_duplicates,
+        op11_sliced_negatives,
+        op12_subword_toxicity,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can express over whole tables; the rest is tested against brute force."""
-    return {"op2_chat_snapshots": chat.ORACLE_SQL, "op7_extendible_shards": sharding.oracle_sql(SHARD_BYTES)}
+    return {"op2_chat_snapshots": chat.ORACLE_SQL, "op7_extendible_shards": sharding.oracle_sql(SHARD_BYTES), "op11_sliced_negatives": negatives.ORACLE_SQL, "op13_fill_in_middle": fillmiddle.ORACLE_SQL}
