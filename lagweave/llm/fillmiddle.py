@@ -27,10 +27,13 @@ PLAIN_FROM, SPM = 90, 20
 
 
 def boundary(grammar: list[tuple[str, str]]) -> str:
-    """The zero-width expression of all positions inside a text where one unit ends and the next begins."""
-    together = "|".join(f"(?<={left}){right}" for left, right in grammar)
-    inside = r"(?<=[\s\S])(?=[\s\S])"
-    return inside + (f"(?!{together})" if together else "")
+    """The zero-width expression of all positions inside a text where one unit ends and the next begins.
+
+    Each pair is asked for from its right character on, as most positions are settled by that
+    one. The halves of a character beyond the first plane are one character.
+    """
+    apart = "".join(f"(?:(?!{right})|(?<!{left}))" for left, right in grammar)
+    return r"(?!^|\z|[\uDC00-\uDFFF])" + apart
 
 
 def units(text: Column, grammar: list[tuple[str, str]]) -> Column:
@@ -73,18 +76,21 @@ def fill_in_middle(docs: DataFrame, grammar: list[tuple[str, str]] = LETTER_RUNS
     return rows.select("*", F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("text")).alias("output"))
 
 
-def restored(output: Column, form: Column) -> Column:
-    """The text that an output came from: its parts between the marks, which no part holds, in their order."""
-    parts = F.split(F.substring(output, 4, 2**31 - 1), f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1)
-    return F.when(form == "psm", F.concat(parts[0], parts[2], parts[1])).when(form == "spm", F.concat(parts[1], parts[2], parts[0])).otherwise(output)
+def restored(made: DataFrame) -> DataFrame:
+    """Add the text that an output came from, by its form: the parts between its marks, which no part holds, in their order."""
+    parts = F.when(F.col("form") != "plain", F.split(F.substring("output", 4, 2**31 - 1), f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1))
+    rows = made.select("*", parts.alias("_parts"))
+    at = lambda *order: F.concat(*[F.col("_parts")[i] for i in order])
+    text = F.when(F.col("form") == "psm", at(0, 2, 1)).when(F.col("form") == "spm", at(1, 2, 0)).otherwise(F.col("output"))
+    return rows.select("*", text.alias("restored")).drop("_parts")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every row, the last from output and form alone."""
-    made = fill_in_middle(docs)
-    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    made = restored(fill_in_middle(docs).drop("text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
     chars = lambda c: F.char_length(c).cast("long").alias(f"{c}_chars")
-    return made.select("doc_id", "n", "form", chars("prefix"), chars("middle"), digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", chars("prefix"), chars("middle"), digest("output"), digest("restored"))
 
 
 #: DuckDB's expressions have no lookaround: it lists the units by matching them.
