@@ -14,19 +14,20 @@ from pyspark.sql.types import StringType
 TIE_DIGITS = 12
 
 
-def _correlation(covariance: Column, x_variance: Column, y_variance: Column) -> Column:
+def correlation(covariance: Column, x_variance: Column, y_variance: Column) -> Column:
+    """From the (co)variances of two columns, within [-1, 1]; 0 where one is constant."""
     r = F.coalesce(F.try_divide(covariance, F.sqrt(x_variance * y_variance)), F.lit(0.0))
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Correlation of two columns over a group; 0 where either is constant."""
-    return _correlation(F.covar_pop(x, y), F.var_pop(x), F.var_pop(y))
+    return correlation(F.covar_pop(x, y), F.var_pop(x), F.var_pop(y))
 
 
 def pearson_over(x: str, y: str, frame: WindowSpec) -> Column:
     """``pearson`` over the frame of each row; rows with a NULL don't count."""
-    return _correlation(F.covar_pop(x, y).over(frame), F.var_pop(x).over(frame), F.var_pop(y).over(frame))
+    return correlation(F.covar_pop(x, y).over(frame), F.var_pop(x).over(frame), F.var_pop(y).over(frame))
 
 
 def mae(actual: Column, predicted: Column) -> Column:

@@ -1,21 +1,22 @@
 """Directed relations between signals: lagged correlations, best lags, ranks and trajectories.
 
 A relation from source to target at lag L correlates the source at t - L with the target at
-t. Lagged pairs come from one equi-join on (series_id, t); correlations are aggregated with
-partial moments, so a long series or a wide panel is shared by many tasks.
+t. Moments of all pairs and lags come from blocks of steps (``blocks``), which are summed for
+whole series and differenced for windows; only expanding windows join the lagged pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import blocks, transforms
 
-EDGE = ["series_id", "source", "target"]
+EDGE = blocks.EDGE
 
 
 def lag_pairs(panel: DataFrame, max_lag: int, target: str | None = None) -> DataFrame:
@@ -34,8 +35,14 @@ def lag_pairs(panel: DataFrame, max_lag: int, target: str | None = None) -> Data
 
 
 def lagged_correlations(panel: DataFrame, max_lag: int, target: str | None = None) -> DataFrame:
-    """The correlation and the number of pairs of every edge and lag."""
-    return lag_pairs(panel, max_lag, target).groupBy(*EDGE, "lag").agg(stats.pearson("x", "y").alias("weight"), F.count(F.lit(1)).alias("sample_count"))
+    """The correlation and the number of pairs of every edge and lag; 0 where either side is constant. With a target, only edges into it."""
+    total = lambda c: F.sum(c).alias(c)
+    ends = [f(c).alias(c) for side in "xy" for f, c in ((F.min, f"{side}_least"), (F.max, f"{side}_most"))]
+    rows = blocks.lagged_moments(panel, max_lag, target).groupBy(*EDGE, "lag").agg(*[total(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")], *ends)
+    spread = lambda product, a, b: F.col(product) - F.col(a) * F.col(b) / F.col("n")
+    constant = (F.col("x_least") == F.col("x_most")) | (F.col("y_least") == F.col("y_most"))
+    weight = F.when(constant, 0.0).otherwise(stats.correlation(spread("sxy", "sx", "sy"), spread("sxx", "sx", "sx"), spread("syy", "sy", "sy")))
+    return rows.select(*EDGE, "lag", weight.alias("weight"), F.col("n").alias("sample_count"))
 
 
 def order_key(score: Column | str) -> Column:
@@ -54,42 +61,49 @@ def relations(panel: DataFrame, max_lag: int, target: str | None = None) -> Data
     return best_lags(lagged_correlations(panel, max_lag, target))
 
 
+def declared_relations(levels: DataFrame, declared: dict[str, str], max_lag: int, target: str | None = None) -> DataFrame:
+    """The best relations between signals under their declared transforms; raises where levels persist though they are declared ``none``."""
+    return relations(transforms.guarded(levels, declared), max_lag, target)
+
+
 def ranked(relations: DataFrame, keys: tuple[str, ...] = ("series_id", "target")) -> DataFrame:
     """Add each source's rank for its target: by falling score, then source, then lag."""
     order = Window.partitionBy(*keys).orderBy(order_key("score").desc(), "source", "lag")
     return relations.withColumn("rank", F.row_number().over(order))
 
 
-def rolling_correlations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False) -> DataFrame:
+def _windows(panel: DataFrame, max_lag: int, window: int, target: str | None, differenced: bool | Iterable[str], shortened: bool, best: bool) -> DataFrame:
+    if window <= max_lag:
+        raise ValueError("the window must be longer than the lag")
+    changed = differenced if isinstance(differenced, bool) else frozenset(differenced)
+    return blocks.window_correlations(panel, max_lag, window, target, changed, shortened, _best_lag if best else None)
+
+
+def _best_lag(scores: np.ndarray) -> np.ndarray:
+    """The index of the first lag of the largest score."""
+    return np.round(np.where(np.isnan(scores), -1.0, scores), stats.TIE_DIGITS).argmax(0)
+
+
+def rolling_correlations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False, shortened: bool = False) -> DataFrame:
     """Correlations over the ``window`` steps before each step; both ends of a pair lie inside.
 
-    A step that is one past the end of a series is included. Steps whose window isn't full
-    are left out. differenced: whether all values are differences, or which signals are; a
-    difference's first value in a window is unknown, so pairs of such a source begin a step later.
+    Steps are those of the series and the one past its end; any window longer than the lags
+    will do. Steps whose window isn't full are left out, or with ``shortened`` begin with the
+    series once it has more steps than lags. differenced: whether all values are differences,
+    or which signals are; a difference's first value in a window is unknown, so pairs of such a
+    source begin a step later. Windows without a pair have no row.
     """
-    if window <= max_lag:
-        raise ValueError("the window must be longer than the lag")
-    pairs = lag_pairs(panel, max_lag, target)
-    ends = pairs.groupBy(*EDGE, "lag").agg((F.max("t") + 1).alias("t"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    shift = F.lit(int(differenced)) if isinstance(differenced, bool) else F.col("source").isin(*differenced).cast("int")
-    # a frame is a range of t, so that gaps can't widen it. Its length depends on the lag and the source: steps are stretched
-    # to a common multiple of all lengths, on which every frame is as long
-    most = [window - lag - d for lag in range(1, max_lag + 1) for d in (0, 1) if window - lag - d > 0]
-    whole = math.lcm(*most)
-    if whole >= 1 << 40:
-        raise ValueError("the window and its lags have too large a common multiple")
-    length = window - F.col("lag") - shift
-    rows = pairs.unionByName(ends).withColumn("_place", F.col("t") * (F.lit(whole) / F.nullif(length, F.lit(0))).cast("long"))
-    first = panel.where("value is not null").groupBy("series_id").agg(F.min("t").alias("first_t"))
-    frame = Window.partitionBy(*EDGE, "lag").orderBy("_place").rangeBetween(-whole, -1)
-    found = rows.where(length > 0).select(*EDGE, "lag", "t", stats.pearson_over("x", "y", frame).alias("weight"), F.count("x").over(frame).alias("sample_count"))
-    return found.join(first, "series_id").where(F.col("t") - F.col("first_t") >= window).drop("first_t").withColumnRenamed("t", "step")
+    return _windows(panel, max_lag, window, target, differenced, shortened, best=False)
 
 
-def rolling_relations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False) -> DataFrame:
-    """The best relation of every edge in the window before each step, with the window's bounds."""
-    best = best_lags(rolling_correlations(panel, max_lag, window, target, differenced), [*EDGE, "step"])
-    return best.withColumn("window_start", F.col("step") - window).withColumn("window_end", F.col("step"))
+def rolling_relations(panel: DataFrame, max_lag: int, window: int, target: str | None = None, differenced: bool | Iterable[str] = False, shortened: bool = False) -> DataFrame:
+    """The best relation of every edge in the window before each step, with the window's bounds; lags are compared inside the blocks."""
+    best = _windows(panel, max_lag, window, target, differenced, shortened, best=True)
+    start = F.col("step") - window
+    if shortened:
+        first = panel.where("value is not null").groupBy("series_id").agg(F.min("t").alias("_first"))
+        best, start = best.join(first, "series_id"), F.greatest(start, F.col("_first"))
+    return best.select(*EDGE, "step", "lag", "weight", F.abs("weight").alias("score"), "sample_count", start.alias("window_start"), F.col("step").alias("window_end"))
 
 
 def expanding_relations(panel: DataFrame, max_lag: int, target: str, least: int) -> DataFrame:
