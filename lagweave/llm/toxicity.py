@@ -228,8 +228,8 @@ def loss_and_gradients(parts: dict[str, np.ndarray], b: Bags, chosen: np.ndarray
     return loss, {"table": pulled @ parts["layer"].T, "layer": parts["table"].T @ pulled, "bias": out.sum(0)}
 
 
-def fit(b: Bags, totals: tuple[int, int], width: int = 10, epochs: int = 8, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: float = LEAST, power: float = 1.5, seed: int = 11) -> SubwordModel:
-    """Train table and layer jointly by Adam on mini-batches of documents.
+def fit(b: Bags, totals: tuple[int, int], width: int = 10, steps: int = 250, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: float = LEAST, power: float = 1.5, seed: int = 11) -> SubwordModel:
+    """Train table and layer jointly by Adam on ``steps`` mini-batches of documents, in random order, round after round.
 
     totals: how many documents of each label there are; where the sample has another share of
     a label, its documents weigh accordingly. Averages weigh a row by its rarity, the logarithm
@@ -251,19 +251,18 @@ def fit(b: Bags, totals: tuple[int, int], width: int = 10, epochs: int = 8, batc
     rows = replace(b, bucket=place[b.bucket])
     parts = {"table": rng.normal(0, 1 / width, (len(often), width)), "layer": model.layer, "bias": model.bias}
     first, second = ({k: np.zeros_like(v) for k, v in parts.items()} for _ in range(2))
-    step, steps = 0, epochs * -(-len(b.labels) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(b.labels))
-        for low in range(0, len(order), batch):
-            step += 1
-            chosen = order[low : low + batch]
-            _, grad = loss_and_gradients(parts, rows, chosen, scale, importance[chosen])
-            pace = rate * (1 - (step - 1) / steps)
-            for k, value in parts.items():
-                g = grad[k] + decay * value
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                value -= pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    queue = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        while len(queue) < min(batch, len(b.labels)):
+            queue = np.concatenate([queue, rng.permutation(len(b.labels))])
+        chosen, queue = queue[:batch], queue[batch:]
+        _, grad = loss_and_gradients(parts, rows, chosen, scale, importance[chosen])
+        pace = rate * (1 - (step - 1) / steps)
+        for k, value in parts.items():
+            g = grad[k] + decay * value
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            value -= pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     model.table[often] = parts["table"] * scale[:, None]
     return model
 
