@@ -17,6 +17,8 @@ from .settle import settle
 TARGET = panels.TARGET
 #: Lags, rolling window, and the transforms declared for the signals of the base panels.
 LAGS, WINDOW, SEASON = 3, 20, 12
+#: A year of lags, with windows of three years, and of two that may begin with the series.
+YEAR, YEAR_WINDOW, GROWING_WINDOW = 12, 36, 24
 DECLARED = {s: "diff" for s in ("volume", "quantity", "discount", "tax", "lines", "orders", "finished", "mean_value", "max_value", "users")}
 MIXED = DECLARED | {s: "none" for s in ("quantity", "tax", "orders", "mean_value", "users")}
 LOGS = DECLARED | {s: "log_diff" for s in ("volume", "quantity", "lines", "orders", "users")}
@@ -194,6 +196,21 @@ def rolling_relations(spark: SparkSession, d: str) -> DataFrame:
     return _relations(found, "step", "window_start", "window_end")
 
 
+def yearly_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The best of a year of lags of every edge."""
+    return _relations(relations.relations(panels.panel(spark, d), YEAR))
+
+
+def yearly_rolling_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The best of a year of lags in the three years before each step."""
+    return _relations(relations.rolling_relations(panels.panel(spark, d), YEAR, YEAR_WINDOW, TARGET), "step", "window_start", "window_end")
+
+
+def growing_window_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The best of a year of lags in the two years before each step, or in the steps since the series began."""
+    return _relations(relations.rolling_relations(panels.panel(spark, d), YEAR, GROWING_WINDOW, TARGET, shortened=True), "step", "window_start", "window_end")
+
+
 def rolling_diff_relations(spark: SparkSession, d: str) -> DataFrame:
     changed = transforms.transform(panels.panel(spark, d), DECLARED)
     return _relations(relations.rolling_relations(changed, LAGS, WINDOW, TARGET, differenced=True), "step", "window_start", "window_end")
@@ -336,7 +353,7 @@ QUERIES: tuple[Query, ...] = (
     panel_axis_audit, brand_complete_panel, brand_relations, missing_steps, series_digest, lagged_correlations, best_lag_ranking, diff_relations, log_diff_relations,
     acf_diagnostics, naive_forecasts, baseline_errors, baseline_summary, mase, directional_accuracy, worst_decile, change_space, budget_tiers, resource_profile,
     trust_gates, gated_mixture, fixed_threshold, precision_recall, noise_floor, bh_cutoff, lag_features, gram_matrix, ar1_ols, rolling_relations,
-    rolling_diff_relations, rolling_mixed_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
+    yearly_relations, yearly_rolling_relations, growing_window_relations, rolling_diff_relations, rolling_mixed_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
     fold_skill, bootstrap_skill, sign_flip_null, spearman, calibration_bins, input_support, prediction_confidence, budget_sweep, validation_search, frozen_test,
     origin_skill, protocol_controls,
 )

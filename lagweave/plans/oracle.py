@@ -5,6 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 LAGS, WINDOW, SEASON = 3, 20, 12
+YEAR, YEAR_WINDOW, GROWING_WINDOW = 12, 36, 24
 
 PANEL = """
 li AS (SELECT 'lineitem' AS series_id, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS t, round(sum(l_extendedprice), 2) AS volume,
@@ -31,10 +32,10 @@ def _corr_over(frame: str) -> str:
     return f"greatest(-1.0, least(1.0, coalesce(covar_pop(y, x) OVER {frame} / nullif(sqrt(var_pop(x) OVER {frame} * var_pop(y) OVER {frame}), 0), 0.0)))"
 
 
-def _pairs(source: str = "panel", target: str = "") -> str:
+def _pairs(source: str = "panel", target: str = "", lags: int = LAGS) -> str:
     return f"""
 pairs AS (SELECT s.series_id, s.signal AS source, g.signal AS target, l.lag, g.t, s.value AS x, g.value AS y
-  FROM {source} s CROSS JOIN (SELECT CAST(unnest(range(1, {LAGS} + 1)) AS INT) AS lag) l JOIN {source} g ON g.series_id = s.series_id AND g.t = s.t + l.lag AND g.signal <> s.signal
+  FROM {source} s CROSS JOIN (SELECT CAST(unnest(range(1, {lags} + 1)) AS INT) AS lag) l JOIN {source} g ON g.series_id = s.series_id AND g.t = s.t + l.lag AND g.signal <> s.signal
   WHERE s.value IS NOT NULL AND g.value IS NOT NULL {target})"""
 
 
@@ -76,6 +77,11 @@ steps AS (SELECT DISTINCT {EDGE}, lag, t AS step FROM pairs UNION SELECT {EDGE},
 corrs AS (SELECT s.series_id, s.source, s.target, s.lag, s.step, {CORR} AS weight, count(*) AS sample_count
   FROM steps s JOIN ends e USING (series_id) JOIN pairs p ON p.series_id = s.series_id AND p.source = s.source AND p.target = s.target AND p.lag = s.lag AND p.t < s.step AND p.t >= s.step - {WINDOW} + s.lag + {{1}}
   WHERE s.step - e.first_t >= {WINDOW} GROUP BY ALL)"""
+#: A year of lags, in full windows of three years, and in windows of two years that may begin with the series.
+_YEAR_STEPS = _STEPS.format("panel", 0).replace(f"p.t >= s.step - {WINDOW} +", f"p.t >= s.step - {YEAR_WINDOW} +").replace(f"first_t >= {WINDOW}", f"first_t >= {YEAR_WINDOW}")
+_GROWING_STEPS = _STEPS.format("panel", 0).replace(f"p.t >= s.step - {WINDOW} +", f"p.t >= s.step - {GROWING_WINDOW} +").replace(f"first_t >= {WINDOW}", f"first_t > {YEAR}")
+YEARLY = f"{PANEL}, {_pairs('panel', TO_TARGET, YEAR)}, {_YEAR_STEPS}, {_best('corrs', EDGE + ', step')}"
+GROWING = f"{PANEL}, {_pairs('panel', TO_TARGET, YEAR)}, {_GROWING_STEPS}, {_best('corrs', EDGE + ', step')}"
 ROLLING = f"{PANEL}, {_pairs('panel', TO_TARGET)}, {_STEPS.format('panel', 0)}, {_best('corrs', EDGE + ', step')}"
 CHANGED_MIXED = """
 changed AS (SELECT series_id, t, signal, CASE WHEN signal IN ('quantity', 'tax', 'orders', 'mean_value', 'users') THEN value ELSE value - lag(value) OVER (PARTITION BY series_id, signal ORDER BY t) END AS value FROM panel)"""
@@ -184,6 +190,9 @@ SELECT series_id, 'fit' AS fit_status, {_out('regr_intercept(y, x)', 6, 'interce
 m AS (SELECT *, regr_intercept(y, x) OVER b + regr_slope(y, x) OVER b * x AS f FROM v WHERE x IS NOT NULL WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS INT) AS fold, t, {_out('1 - abs(y - f) / abs(y - x)', 6, 'skill')} FROM m WHERE idx > 12 AND isfinite(f) AND y <> x""",
     "rolling_relations": f"WITH {ROLLING} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
+    "yearly_relations": f"WITH {PANEL}, {_pairs('panel', '', YEAR)}, {CORRS}, {_best('corrs', EDGE)} SELECT {EDGE}, {SHOW} FROM best",
+    "yearly_rolling_relations": f"WITH {YEARLY} SELECT {EDGE}, step, step - {YEAR_WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
+    "growing_window_relations": f"WITH {GROWING} SELECT {EDGE}, step, greatest(step - {GROWING_WINDOW}, first_t) AS window_start, step AS window_end, {SHOW} FROM best JOIN ends USING (series_id)",
     "rolling_diff_relations": f"WITH {ROLLING_DIFF} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "rolling_mixed_relations": f"WITH {ROLLING_MIXED} SELECT {EDGE}, step, step - {WINDOW} AS window_start, step AS window_end, {SHOW} FROM best",
     "expanding_relations": f"""WITH {PANEL}, {_pairs('panel', TO_TARGET)}, ends AS (SELECT series_id, min(t) AS first_t FROM panel GROUP BY 1),
