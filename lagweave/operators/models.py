@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A pivot below this makes a system singular; ratios this close are one ratio; values below this are 0.
 PIVOT, RATIO, ZERO = 1e-12, 1e-10, 1e-12
+#: Share of two vectors' squared lengths below which their minor may be rounding.
+MINOR = 1e-9
 
 MODEL = ["series_id", "model"]
 
@@ -59,16 +61,36 @@ def solve(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray | None:
     return a[:, -1]
 
 
-def proportional_pairs(panel: DataFrame, sources: DataFrame, lags: int, labels: DataFrame) -> DataFrame:
-    """(series_id, model, low, high): ranks of sources whose lagged training values are proportional to each other.
+def nearly_proportional(sums: DataFrame, lags: int, with_target: bool = True) -> DataFrame:
+    """(series_id, model, low, high): ranks of sources whose lagged values may be proportional, by the minors of their part of ``gram``.
 
-    labels: (series_id, t) of the training rows.
+    A source's lagged values are one vector; the products of two such vectors are sums of
+    entries that the cross-products already hold, so nothing else is read. Two vectors are
+    proportional only where their minor is 0, up to rounding.
     """
+    shift = 1 if with_target else 0
+    wide = sums.groupBy(*MODEL).agg(((F.max("i") / lags).cast("int")).alias("_w"))
+    cells = sums.where("i > 0 and j > 0").join(wide, MODEL)
+    at = lambda c: F.pmod(F.col(c) - 1, F.col("_w")) + 1 - shift
+    same_lag = F.floor((F.col("i") - 1) / F.col("_w")) == F.floor((F.col("j") - 1) / F.col("_w"))
+    products = cells.where(same_lag).groupBy(*MODEL, at("i").cast("int").alias("low"), at("j").cast("int").alias("high")).agg(F.sum("value").alias("v")).where("low > 0 and low <= high")
+    own = products.where("low = high")
+    pairs = products.where("low < high").join(own.select(*MODEL, "low", F.col("v").alias("a")), [*MODEL, "low"]).join(own.select(*MODEL, "high", F.col("v").alias("b")), [*MODEL, "high"])
+    return pairs.where(F.col("v") * F.col("v") >= (1 - MINOR) * F.col("a") * F.col("b")).select(*MODEL, "low", "high")
+
+
+def proportional_pairs(panel: DataFrame, sources: DataFrame, lags: int, labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(series_id, model, low, high): those of the candidates (``nearly_proportional``) whose lagged training values have one ratio throughout.
+
+    labels: (series_id, t) of the training rows. Only candidates' values are compared, so
+    without any nothing is joined.
+    """
+    sides = candidates.select(*MODEL, "low", "high", F.explode(F.array("low", "high")).alias("rank"))
+    chosen = sides.join(sources.where("source is not null").select(*MODEL, "source", "rank"), [*MODEL, "rank"])
     past = panel.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).select("series_id", F.col("signal").alias("source"), (F.col("t") + F.col("lag")).alias("t"), "lag", "value")
-    past = past.join(labels.select("series_id", "t"), ["series_id", "t"], "left_semi").join(sources.where("source is not null").select(*MODEL, "source", "rank"), ["series_id", "source"])
-    a = past.select(*MODEL, "t", "lag", F.col("rank").alias("low"), F.col("value").alias("a"))
-    b = past.select(*MODEL, "t", "lag", F.col("rank").alias("high"), F.col("value").alias("b"))
-    pairs = a.join(b, [*MODEL, "t", "lag"]).where("low < high")
+    past = past.join(chosen, ["series_id", "source"]).join(labels.select("series_id", "t"), ["series_id", "t"], "left_semi")
+    side = lambda c: F.max(F.when(F.col("rank") == F.col(c), F.col("value")))
+    pairs = past.groupBy(*MODEL, "low", "high", "t", "lag").agg(side("low").alias("a"), side("high").alias("b")).where("a is not null and b is not null")
     za, zb = F.abs("a") < ZERO, F.abs("b") < ZERO
     ratio = F.when(~za & ~zb, F.try_divide("a", "b"))
     found = pairs.groupBy(*MODEL, "low", "high").agg(F.count_if(za != zb).alias("lone"), F.count(ratio).alias("n"), F.min_by(ratio, F.when(ratio.isNotNull(), F.struct("t", "lag"))).alias("first"), F.max(ratio).alias("most"), F.min(ratio).alias("least"))

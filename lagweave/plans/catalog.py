@@ -308,26 +308,32 @@ def prediction_confidence(spark: SparkSession, d: str) -> DataFrame:
     return life.select("series_id", "source", "target", out(score, 8).alias("confidence"))
 
 
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Settled panels on the scale of 1, on which a dense system's digits mean something."""
+    return settle(_unit(panels.panel(spark, d)))
+
+
 def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
-    frame = _held(spark, d)
+    frame = _scaled(spark, d)
     found = sweep.budget_sweep(frame, TARGET, 2, 3, sweep.train_ends(frame, TARGET), selection.tiers(spark))
-    return found.select("series_id", "budget", out("threshold").alias("threshold"), "retained", "admitted", "sources", "fit_status", "compute", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse", "mae_loss_pct", "mae_vs_persistence_pct")])
+    errors = [out(c, 6).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse")]
+    return found.select("series_id", "budget", out("threshold").alias("threshold"), "retained", "admitted", "sources", "fit_status", "compute", "test_rows", *errors, *[out(c, 3).alias(c) for c in ("mae_loss_pct", "mae_vs_persistence_pct")])
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    frame = _held(spark, d)
+    frame = _scaled(spark, d)
     train, check = sweep.train_ends(frame, TARGET, 2), sweep.train_ends(frame, TARGET, 5)
     return frame, sweep.validation_search(frame, TARGET, [1, 2], [0.1, 0.3], [1, 2], train, check.withColumnRenamed("train_end", "validation_end"))
 
 
 def validation_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d)[1].select("series_id", "lag_window", "threshold", "cap", "n_sources", out("validation_mae", 3).alias("validation_mae"), out("persistence_mae", 3).alias("persistence_mae"))
+    return _search(spark, d)[1].select("series_id", "lag_window", "threshold", "cap", "n_sources", "used", "fit_status", out("validation_mae", 6).alias("validation_mae"), out("persistence_mae", 6).alias("persistence_mae"))
 
 
 def frozen_test(spark: SparkSession, d: str) -> DataFrame:
     frame, grid = _search(spark, d)
     found = sweep.frozen_test(frame, TARGET, sweep.select_cell(grid), sweep.train_ends(frame, TARGET, 5), [1, 2])
-    return found.select("series_id", "mode", "lag_window", "threshold", "cap", "test_rows", *[out(c, 3).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse")])
+    return found.select("series_id", "mode", "lag_window", "threshold", "cap", "fit_status", "test_rows", *[out(c, 6).alias(c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse")])
 
 
 def origin_skill(spark: SparkSession, d: str) -> DataFrame:

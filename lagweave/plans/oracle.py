@@ -116,6 +116,92 @@ _STEP_UP = "coalesce(max(CASE WHEN p <= 0.05 * k / m THEN p END) OVER (PARTITION
 #: Every signal over its own largest value.
 UNIT = "unit AS (SELECT series_id, t, signal, value / max(value) OVER (PARTITION BY series_id, signal) AS value FROM panel)"
 
+#: A dense system's matrix as a list of rows with the right side last: the column's largest pivot comes first, and its column is cleared in all other rows.
+_ELIMINATE = """CASE WHEN abs(m[b][c]) >= 1e-12 THEN list_transform(range(1, len(m) + 1), lambda r: CASE WHEN r = c THEN first ELSE
+  list_transform(range(1, len(m) + 2), lambda q: (CASE WHEN r = b THEN m[c][q] ELSE m[r][q] END) - (CASE WHEN r = b THEN m[c][c] ELSE m[r][c] END) * first[q]) END) END"""
+
+
+def _split(name: str, lags: str, train_end: str, last: str = "") -> str:
+    """Label rows from ``lags`` rows on in training, and those after the training."""
+    return f"""
+{name} AS (SELECT series_id, t, idx, n, value AS actual, persistence, t <= train_end AS is_train FROM (SELECT series_id, t, value, row_number() OVER w - 1 AS idx, lag(value) OVER w AS persistence,
+  count(*) OVER (PARTITION BY series_id) AS n FROM unit WHERE signal = 'volume' WINDOW w AS (PARTITION BY series_id ORDER BY t)) JOIN {train_end} USING (series_id) WHERE {lags} {last})"""
+
+
+def _ends(name: str, share: int) -> str:
+    """The last step before a series' final share."""
+    return f"""
+{name} AS (SELECT series_id, max(t) AS train_end FROM (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM unit WHERE signal = 'volume') WHERE idx < n - n // {share} GROUP BY 1)"""
+
+
+def _trained(x: str, lags: int, train_end: str) -> str:
+    """Relations into the target on the steps up to the training's end, with their ranks."""
+    return f"""
+{x}past AS (SELECT u.* FROM unit u JOIN {train_end} USING (series_id) WHERE t <= train_end),
+{_pairs(x + "past", TO_TARGET, lags).replace("pairs AS", x + "pairs AS")},
+{x}corrs AS (SELECT {EDGE}, lag, {CORR} AS weight, count(*) AS sample_count FROM {x}pairs GROUP BY ALL),
+{_best(x + "corrs", EDGE).replace("best AS", x + "best AS")},
+{x}ranked AS (SELECT *, {RANK} FROM {x}best)"""
+
+
+def _fits(x: str, lags: int, cap: int, labels: str) -> str:
+    """Predictors from the target's and the k best sources' lagged values for every k, and their predictions of the rows after the training.
+
+    {x}used has for every k the largest number of sources, at most k, whose system can be solved.
+    """
+    lag, whole = f"(SELECT unnest(range(1, {lags} + 1)) AS l)", "series_id, k, t"
+    return f"""
+{x}k AS (SELECT series_id, CAST(k AS INT) AS k FROM (SELECT series_id, count(*) AS n FROM {x}ranked GROUP BY 1) CROSS JOIN (SELECT unnest(range(1, {cap} + 1)) AS k) WHERE k <= n),
+{x}names AS (SELECT m.series_id, k, string_agg(source, ';' ORDER BY rank) AS names FROM {x}k m JOIN {x}ranked r ON r.series_id = m.series_id AND rank <= k GROUP BY ALL),
+{x}cells AS (SELECT series_id, k, t, CAST(0 AS BIGINT) AS i, CAST(1 AS DOUBLE) AS v FROM {x}k JOIN unit USING (series_id) WHERE signal = 'volume'
+  UNION ALL SELECT series_id, k, t, 1 + {lags} * (k + 1), value FROM {x}k JOIN unit USING (series_id) WHERE signal = 'volume'
+  UNION ALL SELECT series_id, k, t + l, 1 + (l - 1) * (k + 1), value FROM {x}k JOIN unit USING (series_id) CROSS JOIN {lag} WHERE signal = 'volume'
+  UNION ALL SELECT m.series_id, k, t + l, 1 + (l - 1) * (k + 1) + rank, value * weight FROM {x}k m JOIN {x}ranked r ON r.series_id = m.series_id AND rank <= k JOIN unit u ON u.series_id = r.series_id AND u.signal = r.source CROSS JOIN {lag}),
+{x}whole AS (SELECT {whole} FROM {x}cells GROUP BY ALL HAVING count(*) = {lags} * (k + 1) + 2),
+{x}rows AS (SELECT {whole}, i, v, is_train FROM {x}cells JOIN {x}whole USING ({whole}) JOIN {labels} USING (series_id, t)),
+{x}sums AS (SELECT series_id, k, a.i AS i, b.i AS j, sum(a.v * b.v) AS v FROM {x}rows a JOIN {x}rows b USING ({whole}) WHERE a.is_train AND a.i <= {lags} * (k + 1) GROUP BY ALL),
+{x}lines AS (SELECT series_id, k, i, list(v ORDER BY j) AS line FROM {x}sums GROUP BY ALL),
+{x}start AS (SELECT series_id, k, list(line ORDER BY i) AS m FROM {x}lines GROUP BY ALL),
+{x}steps(series_id, k, c, m) AS (SELECT series_id, k, CAST(1 AS BIGINT), m FROM {x}start UNION ALL
+  SELECT series_id, k, c + 1, {_ELIMINATE} FROM (SELECT *, list_transform(m[b], lambda y: y / m[b][c]) AS first FROM (SELECT *, list_position(s, list_max(s)) AS b
+  FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda r: CASE WHEN r < c THEN -1.0 ELSE abs(m[r][c]) END) AS s FROM {x}steps WHERE c <= len(m))))),
+{x}solved AS (SELECT series_id, k, list_transform(m, lambda r: r[len(r)]) AS beta FROM {x}steps WHERE c = len(m) + 1),
+{x}used AS (SELECT m.series_id, m.k, max(s.k) AS used FROM {x}k m LEFT JOIN {x}solved s ON s.series_id = m.series_id AND s.k <= m.k GROUP BY ALL),
+{x}predicted AS (SELECT series_id, k AS used, t, sum(v * beta[i + 1]) AS predicted FROM {x}rows JOIN {x}solved USING (series_id, k) WHERE NOT is_train AND i <= {lags} * (k + 1) GROUP BY ALL)"""
+
+
+_STATUS = "CASE WHEN used IS NULL THEN 'baseline_only_no_stable_signal' WHEN used < k THEN 'fit_after_collinearity_backoff' ELSE 'fit' END"
+
+
+def _search(lags: int) -> str:
+    """The cells of one lag: every threshold and cap, scored on the validation rows."""
+    x = f"l{lags}_"
+    return f"""{_split(x + "labels", f"(t > train_end OR idx >= {lags}) AND idx >= 1", "half", "AND t <= (SELECT any_value(e.train_end) FROM ends e WHERE e.series_id = half.series_id)")},
+{_trained(x, lags, "half")}, {_fits(x, lags, 2, x + "labels")},
+{x}scored AS (SELECT series_id, used, avg(abs(actual - coalesce(predicted, persistence))) AS mae FROM {x}predicted JOIN {x}labels USING (series_id, t) GROUP BY ALL),
+{x}base AS (SELECT series_id, avg(abs(actual - persistence)) AS persistence_mae FROM {x}labels WHERE NOT is_train GROUP BY 1),
+{x}lists AS (SELECT series_id, threshold, cap, CAST(least(count(*), cap) AS INT) AS k FROM {x}best CROSS JOIN grid WHERE score > threshold GROUP BY series_id, threshold, cap),
+{x}cells_of AS (SELECT series_id, CAST({lags} AS INT) AS lag_window, threshold, cap, coalesce(k, 0) AS n_sources, CASE WHEN k IS NULL THEN 0 ELSE coalesce(used, 0) END AS used,
+  CASE WHEN k IS NULL THEN 'baseline_only_no_retained_signal' ELSE {_STATUS} END AS fit_status, coalesce(mae, persistence_mae) AS validation_mae, persistence_mae, names AS used_sources
+  FROM {x}base CROSS JOIN grid LEFT JOIN {x}lists USING (series_id, threshold, cap) LEFT JOIN {x}used USING (series_id, k) LEFT JOIN {x}scored USING (series_id, used)
+  LEFT JOIN (SELECT series_id, k AS used, names FROM {x}names) USING (series_id, used))"""
+
+
+SEARCH = f"""{PANEL}, {UNIT}, {_ends("half", 2)}, {_ends("ends", 5)}, grid AS (SELECT threshold, cap FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE)) a(threshold) CROSS JOIN (VALUES (1::INT), (2::INT)) b(cap)),
+{_search(1)}, {_search(2)}, cells AS (SELECT * FROM l1_cells_of UNION ALL SELECT * FROM l2_cells_of)"""
+
+
+def _frozen(lags: int) -> str:
+    """The test of the chosen cells of one lag, refitted on all rows before the test."""
+    x = f"f{lags}_"
+    return f"""{_split(x + "labels", f"(t > train_end OR idx >= {lags}) AND idx >= 1", "ends")}, {_trained(x, lags, "ends")}, {_fits(x, lags, 2, x + "labels")},
+{x}base AS (SELECT series_id, avg(abs(actual - persistence)) AS persistence_mae, sqrt(avg(pow(actual - persistence, 2))) AS persistence_rmse, count(*) AS test_rows FROM {x}labels WHERE NOT is_train GROUP BY 1),
+{x}scored AS (SELECT series_id, used, avg(abs(actual - predicted)) AS model_mae, sqrt(avg(pow(actual - predicted, 2))) AS model_rmse FROM {x}predicted JOIN {x}labels USING (series_id, t) GROUP BY ALL),
+{x}lists AS (SELECT series_id, CAST(count(*) AS INT) AS k FROM {x}ranked JOIN chosen USING (series_id) WHERE mode = 'model' AND {x}ranked.score > threshold AND rank <= cap GROUP BY 1),
+{x}test AS (SELECT series_id, mode, lag_window, threshold, cap, CASE WHEN mode = 'baseline_only' THEN 'baseline_only_validation_guard' WHEN k IS NULL THEN 'baseline_only_no_retained_signal_after_refit' ELSE {_STATUS} END AS fit_status,
+  test_rows, persistence_mae, persistence_rmse, model_mae, model_rmse FROM chosen JOIN {x}base USING (series_id) LEFT JOIN {x}lists USING (series_id) LEFT JOIN {x}used USING (series_id, k) LEFT JOIN {x}scored USING (series_id, used) WHERE lag_window = {lags})"""
+
+
 FOLDS = f"""{FORECASTS},
 folds AS (SELECT series_id, CAST((origin - 15) // 3 AS INT) AS fold, origin FROM (SELECT DISTINCT series_id, n FROM rows), LATERAL (SELECT unnest(range(15, n - 1, 3)) AS origin)),
 per AS (SELECT f.series_id, f.fold, avg(abs(actual - seasonal)) AS m, avg(abs(actual - persistence)) AS b FROM folds f JOIN rows r ON r.series_id = f.series_id AND r.idx >= f.origin AND r.idx < f.origin + 2 GROUP BY ALL),
@@ -234,5 +320,21 @@ SELECT series_id, t, round(CASE WHEN hi = lo THEN CASE WHEN actual = lo THEN 1.0
     "prediction_confidence": f"""WITH {ROLLING}, {_lifecycle('best', EDGE)}, c AS (SELECT {EDGE}, (stability + 1 / (1 + uncertainty) + least(1.0, points / 10) + 1 / (1 + CASE WHEN lag > 1 THEN recent_mean END)) / 4 AS m, least(1.0, points / 10) AS s FROM life)
 SELECT {EDGE}, CASE WHEN m IS NOT NULL THEN round(greatest(0.0, least(1.0, least(m, s))), 8) + 0.0 END AS confidence FROM c""",
 }
+_ERRORS = ", ".join(_out(c, 6, c) for c in ("persistence_mae", "persistence_rmse", "model_mae", "model_rmse"))
+SQL["budget_sweep"] = f"""WITH RECURSIVE {PANEL}, {UNIT}, {_ends("ends", 5)}, {_split("labels", "idx >= 2", "ends")}, {_trained("b_", 2, "ends")}, {_fits("b_", 2, 3, "labels")}, {TIERS},
+kept AS (SELECT series_id, budget, count(*) AS retained, CAST(least(count(*), 3) AS INT) AS k FROM b_best CROSS JOIN tiers WHERE score > threshold GROUP BY ALL),
+base AS (SELECT series_id, avg(abs(actual - persistence)) AS persistence_mae, sqrt(avg(pow(actual - persistence, 2))) AS persistence_rmse, count(*) AS test_rows FROM labels WHERE NOT is_train GROUP BY 1),
+rows AS (SELECT series_id, count(*) AS n_rows FROM labels WHERE is_train GROUP BY 1),
+scored AS (SELECT series_id, used, avg(abs(actual - predicted)) AS model_mae, sqrt(avg(pow(actual - predicted, 2))) AS model_rmse FROM b_predicted JOIN labels USING (series_id, t) GROUP BY ALL),
+whole AS (SELECT series_id, budget, threshold, coalesce(retained, 0) AS retained, CAST(coalesce(k, 0) AS BIGINT) AS admitted, coalesce(names, '') AS sources,
+  CASE WHEN k IS NULL THEN 'baseline_only_no_retained_signal' ELSE {_STATUS} END AS fit_status, coalesce(k, 0) * 2 * n_rows AS compute, test_rows, persistence_mae, persistence_rmse, model_mae, model_rmse
+  FROM base CROSS JOIN tiers JOIN rows USING (series_id) LEFT JOIN kept USING (series_id, budget) LEFT JOIN b_names USING (series_id, k) LEFT JOIN b_used USING (series_id, k) LEFT JOIN scored USING (series_id, used))
+SELECT series_id, budget, {_out("threshold", 10, "threshold")}, retained, admitted, sources, fit_status, compute, test_rows, {_ERRORS},
+  {_out("(model_mae / first_value(model_mae) OVER (PARTITION BY series_id ORDER BY budget DESC) - 1) * 100", 3, "mae_loss_pct")}, {_out("(model_mae / persistence_mae - 1) * 100", 3, "mae_vs_persistence_pct")} FROM whole"""
+SQL["validation_search"] = f"""WITH RECURSIVE {SEARCH} SELECT series_id, lag_window, threshold, cap, CAST(n_sources AS BIGINT) AS n_sources, CAST(used AS BIGINT) AS used, fit_status, {_out("validation_mae", 6, "validation_mae")}, {_out("persistence_mae", 6, "persistence_mae")} FROM cells"""
+SQL["frozen_test"] = f"""WITH RECURSIVE {SEARCH},
+chosen AS (SELECT series_id, lag_window, threshold, cap, CASE WHEN validation_mae >= persistence_mae THEN 'baseline_only' ELSE 'model' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(validation_mae, 12), used, threshold DESC, lag_window, cap, coalesce(used_sources, '')) AS place FROM cells) WHERE place = 1),
+{_frozen(1)}, {_frozen(2)}, tested AS (SELECT * FROM f1_test UNION ALL SELECT * FROM f2_test)
+SELECT series_id, mode, lag_window, threshold, cap, fit_status, test_rows, {_ERRORS} FROM tested"""
 SQL["baseline_summary"] = f"""WITH e AS ({SQL["baseline_errors"]})
 SELECT baseline, count(*) AS runs, {", ".join(_out(f"{f}({m})", 3, f"{n}_{m}") for m in ("mae", "rmse") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))} FROM e GROUP BY 1"""

@@ -50,6 +50,13 @@ def _names(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("series_id", "model").agg(F.array_join(F.transform(ordered, lambda s: s["source"]), ";").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
 
 
+def _fitted(panel: DataFrame, rows: DataFrame, sources: DataFrame, lags: int, train: DataFrame) -> DataFrame:
+    """The models of training ``features``, without sources that are proportional to better ones. Cross-products are summed once."""
+    sums = settle(models.gram(rows.join(train, ["series_id", "t"], "left_semi")))
+    pairs = models.proportional_pairs(panel, sources, lags, train, settle(models.nearly_proportional(sums, lags)))
+    return settle(models.fit_sums(sums, pairs, lags))
+
+
 def budget_sweep_frames(panel: DataFrame, target: str, lags: int, cap: int, windows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tiers' metrics, and their predictions of every test row.
 
@@ -65,8 +72,7 @@ def budget_sweep_frames(panel: DataFrame, target: str, lags: int, cap: int, wind
     sources = settle(admitted.select("series_id", "model", "source", "rank", F.col("weight").alias("scale")))
     rows = models.features(panel, target, sources, lags)
     train = labels.where("is_train").select("series_id", "t")
-    pairs = models.proportional_pairs(panel, sources, lags, train)
-    fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), pairs, lags))
+    fitted = _fitted(panel, rows, sources, lags, train)
     test = labels.where("not is_train")
     predicted = models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null")
     predicted = settle(predicted)
@@ -103,7 +109,7 @@ def budget_sweep(panel: DataFrame, target: str, lags: int, cap: int, train_end:
 
 
 def _status(fit: Column | str, sources: Column) -> Column:
-    return F.when(sources == 0, "baseline_only_no_retained_signal").otherwise(fit)
+    return F.when(sources == 0, "baseline_only_no_retained_signal").otherwise(F.col(fit) if isinstance(fit, str) else fit)
 
 
 def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresholds: list[float], caps: list[int], train: DataFrame, validation: DataFrame) -> DataFrame:
@@ -129,7 +135,7 @@ def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresh
         sources = settle(found.join(lists.select("series_id", "k").distinct(), "series_id").where("rank <= k").select("series_id", F.col("k").cast("string").alias("model"), "source", "rank", F.col("weight").alias("scale")))
         rows = models.features(seen, target, sources, lags)
         own = labels.where("is_train").select("series_id", "t")
-        fitted = settle(models.fit(rows.join(own, ["series_id", "t"], "left_semi"), models.proportional_pairs(seen, sources, lags, own), lags))
+        fitted = _fitted(seen, rows, sources, lags, own)
         held = labels.where("not is_train")
         predicted = models.predict(rows, fitted).join(held.select("series_id", "t", "persistence"), ["series_id", "t"])
         value = F.coalesce("predicted", "persistence")
@@ -175,7 +181,7 @@ def frozen_test_frames(panel: DataFrame, target: str, cells: DataFrame, windows:
         sources = settle(found.where("score > threshold and rank <= cap").select("series_id", F.lit("frozen").alias("model"), "source", "rank", F.col("weight").alias("scale")))
         rows = models.features(part, target, sources, lags)
         train, test = labels.where("is_train").select("series_id", "t"), labels.where("not is_train")
-        fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(part, sources, lags, train), lags))
+        fitted = _fitted(part, rows, sources, lags, train)
         predicted = settle(models.predict(rows, fitted).join(test.select("series_id", "t"), ["series_id", "t"], "left_semi").where("predicted is not null"))
         scored = predicted.groupBy("series_id").agg(stats.mae(F.col("y"), F.col("predicted")).alias("model_mae"), stats.rmse(F.col("y"), F.col("predicted")).alias("model_rmse"))
         base = evaluation.errors(test, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("test_rows"))
@@ -210,7 +216,7 @@ def real_case(panel: DataFrame, target: str, lags: int, cap: int, windows: DataF
     sources = settle(found.where(F.col("rank") <= cap).select("series_id", F.lit("model").alias("model"), "source", "rank", F.col("weight").alias("scale")))
     rows = models.features(panel, target, sources, lags)
     train, test = labels.where("is_train").select("series_id", "t"), labels.where("not is_train")
-    fitted = settle(models.fit(rows.join(train, ["series_id", "t"], "left_semi"), models.proportional_pairs(panel, sources, lags, train), lags))
+    fitted = _fitted(panel, rows, sources, lags, train)
     predicted = models.predict(rows, fitted).select("series_id", "t", F.col("predicted").alias("model"))
     predictions = settle(test.join(predicted, ["series_id", "t"], "left").select("series_id", "t", "actual", "persistence", "model", (F.col("seasonal") if season > 0 else F.lit(None).cast("double")).alias("seasonal")))
     metrics = None

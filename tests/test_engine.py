@@ -185,7 +185,9 @@ def test_collinear_sources_are_dropped(spark):
     names = [("s", "m", s, i + 1, 1.0) for i, s in enumerate(("a", "b", "c", "zero"))]
     sources = spark.createDataFrame(names, "series_id string, model string, source string, rank int, scale double")
     rows = models.features(frame, "target", sources, 2)
-    pairs = models.proportional_pairs(frame, sources, 2, rows.select("series_id", "t"))
+    near_ones = models.nearly_proportional(models.gram(rows), 2)
+    pairs = models.proportional_pairs(frame, sources, 2, rows.select("series_id", "t"), near_ones)
+    assert {(1, 2)} <= {(r.low, r.high) for r in near_ones.collect()} <= {(1, 2), (1, 4), (2, 4), (3, 4)}  # a vector of zeros has no minors
     assert [(r.low, r.high) for r in pairs.collect()] == [(1, 2)]
     r = models.fit(rows, pairs, 2).first()
     assert (r.fit_status, r.kept, r.dropped) == ("fit_after_collinearity_backoff", [1, 3], [2, 4]) and len(r.coefficients) == 11
