@@ -22,6 +22,8 @@ STEPS = 512
 EDGE = ["series_id", "source", "target"]
 #: A pair whose centred variance is so small a share of its raw one is looked at value by value.
 _DOUBTFUL = 1e-9
+#: Share of all earlier steps' moments below which differences of running sums lose digits.
+_QUIET = 1e-6
 
 
 def dealt(panel: DataFrame, length: int, before: int) -> DataFrame:
@@ -161,10 +163,18 @@ def window_correlations(panel: DataFrame, max_lag: int, window: int, target: str
     return grouped(rows.select("series_id", "block", "t", "signal", "value", "first_t", "last_t"), run, ROLLED)
 
 
+def _direct(x: np.ndarray, y: np.ndarray) -> float:
+    """The correlation of two short vectors in two passes."""
+    x, y = x - x[0], y - y[0]
+    x, y = x - x.mean(), y - y.mean()
+    length = np.sqrt((x @ x) * (y @ y))
+    return float(x @ y / length) if length > 0 else 0.0
+
+
 def _windows(b: Block, at: np.ndarray, first: int, max_lag: int, window: int, target: str | None, differenced: bool | frozenset[str], best: Callable | None) -> Iterator[tuple[np.ndarray, ...]]:
     """(source, target, lag, place in ``at``, weight, pairs) of one target at a time."""
-    filled = np.maximum(b.mask.sum(0), 1)
-    x = np.where(b.mask, b.values - b.values.sum(0) / filled, 0.0)
+    # about each signal's first value: a mean would let later steps touch the last digits of earlier windows
+    x = np.where(b.mask, b.values - b.values[b.mask.argmax(0), np.arange(len(b.names))], 0.0)
     shift = np.array([differenced if isinstance(differenced, bool) else name in differenced for name in b.names], np.int64)
     sources = np.arange(len(b.names))
     for goal in [i for i, name in enumerate(b.names) if target is None or name == target]:
@@ -176,19 +186,24 @@ def _windows(b: Block, at: np.ndarray, first: int, max_lag: int, window: int, ta
             sums = [running(v) for v in (both.astype(np.int64), past, now, past * past, now * now, past * now)]
             # pairs of a window: the source's row from the window's first row on, the target's row before the step
             low = np.maximum(np.maximum(at - window, first)[:, None] + shift, 0)
-            high = np.maximum(at - lag, 0)[:, None]
+            high = np.broadcast_to(np.maximum(at - lag, 0)[:, None], low.shape)
             low = np.minimum(low, high)
             n, sx, sy, sxx, syy, sxy = (s[high, sources] - s[low, sources] for s in sums)
             n = n.astype(np.int64)
             some = np.maximum(n, 1)
             vx, vy, cov = sxx - sx * sx / some, syy - sy * sy / some, sxy - sx * sy / some
-            flat = np.zeros(n.shape, bool)
+            still = np.zeros(n.shape, bool)
             for v in (b.values[:-lag], np.broadcast_to(b.values[lag:, goal, None], both.shape)):
                 count, following = changes(v, both)
                 begin = np.minimum(np.concatenate([following, np.full((1, len(sources)), len(both))])[low, sources] + 1, len(both))
-                flat |= count[high, sources] - count[np.minimum(begin, high), sources] == 0
-            flat |= (vx <= 0) | (vy <= 0)
+                still |= count[high, sources] - count[np.minimum(begin, high), sources] == 0
+            flat = still | (vx <= 0) | (vy <= 0)
             r = np.where(flat, 0.0, cov / np.sqrt(np.where(flat, 1, vx) * np.where(flat, 1, vy))).astype(float)
+            # where a window is far quieter than what came before it, its own values are read again
+            quiet = (vx <= _QUIET * sums[3][high, sources]) | (vy <= _QUIET * sums[4][high, sources])
+            for k, i in zip(*np.nonzero(quiet & ~still & (n > 1))):
+                rows = np.flatnonzero(both[low[k, i] : high[k, i], i]) + low[k, i]
+                r[k, i] = _direct(b.values[rows, i], b.values[rows + lag, goal])
             weights[lag - 1], counts[lag - 1] = np.where(n > 0, np.clip(r, -1, 1), np.nan), n
         weights[:, :, goal] = np.nan
         if best is not None:

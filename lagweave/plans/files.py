@@ -20,26 +20,20 @@ from ..sources.panel import month_label
 
 MOST_ROWS = 100_000
 
-METRICS = (
-    "budget", "threshold", "candidates", "retained", "admitted", "used", "retained_sources", "sources", "used_sources", "dropped_sources", "fit_status", "persistence_mae", "persistence_rmse",
-    "model_mae", "model_rmse", "mae_vs_persistence_pct", "rmse_vs_persistence_pct", "mae_loss_pct", "rmse_loss_pct", "compute", "memory", "bytes", "test_rows",
-)
-GRID = (
-    "threshold", "lag_window", "cap", "candidates", "retained", "n_sources", "used", "sources", "used_sources", "dropped_sources", "coefficients", "fit_status", "validation_mae", "validation_rmse",
-    "persistence_mae", "persistence_rmse", "mae_vs_persistence_pct", "train_rows", "validation_rows", "test_evaluated",
-)
-FROZEN = (
-    "case_name", "mode", "threshold", "lag_window", "cap", "used", "used_sources", "dropped_sources", "fit_status", "persistence_mae", "persistence_rmse", "model_mae", "model_rmse",
-    "mae_vs_persistence_pct", "test_rows", "adjusted_after_test",
-)
 
+def _names(joined: str) -> list[str]:
+    return [x for x in joined.split(";") if x]
 
-def percent(value: float | None, digits: int = 2) -> str:
-    return "n/a" if value is None else f"{value:+.{digits}f}%"
 
+def own_columns(table: DataFrame) -> list[str]:
+    """A report's columns: those of its frame. The series is the report's subject."""
+    return [c for c in table.columns if c != "series_id"]
 
-def number(value: float | None, digits: int = 6) -> str:
-    return "n/a" if value is None else f"{value:.{digits}f}"
+
+def page(title: str, table: DataFrame, order: list[str | Column], notes: list[str]) -> str:
+    """A Markdown page of a small frame, followed by paragraphs; empty ones are left out."""
+    body = sinks.markdown(table.orderBy(*order).select(*own_columns(table)), title)
+    return body + "".join(f"\n{note}\n" for note in notes if note)
 
 
 def csv_text(table: DataFrame, columns: tuple[str, ...] | list[str], order: list[str | Column]) -> str:
@@ -81,69 +75,52 @@ def _dated(predictions: DataFrame) -> DataFrame:
 def write_sweep(folder: str, config: cases.CaseConfig, metrics: DataFrame, predictions: DataFrame) -> list[Path]:
     """sweep_metrics.csv, sweep_predictions.csv and sweep_summary.md of one case's budget sweep."""
     _one_series(metrics, predictions)
-    falling = F.col("budget").desc()
-    shown = _dated(predictions).join(metrics.select("budget", "fit_status", "used_sources"), "budget")
-    tiers = metrics.orderBy(falling).collect()
-    two = lambda table: table.withColumn("budget", F.format_string("%.2f", "budget"))
-    lines = [
-        f"# Budget sweep of {config.case_name}", "",
-        "A fixed ladder of budgets. Sources are ranked, kept, capped and fitted on training rows only; the test rows are scored once, and no tier is chosen by them. Results are about co-movement and prediction, not about causes.", "",
-        f"- Target: `{config.target}`", f"- Candidates: {len(config.candidate_signals)}", f"- Test rows: {tiers[0]['test_rows'] if tiers else 0}", f"- Lags: {config.lag_window}", f"- Most sources: {config.max_selected_signals}", "",
-        "| Budget | Threshold | Candidates | Kept | Admitted | Used | MAE against persistence | Status |", "|---:|---:|---:|---:|---:|---:|---:|---|",
-        *(f"| {r['budget']:.2f} | {r['threshold']:.2f} | {r['candidates']} | {r['retained']} | {r['admitted']} | {r['used']} | {percent(r['mae_vs_persistence_pct'])} | `{r['fit_status']}` |" for r in tiers), "",
-        "A tier without a model has empty model fields; the baseline's are not copied there.", *(["", "## Notes", "", config.notes] if config.notes else []), "",
-    ]
+    falling = [F.col("budget").desc()]
+    named = metrics.withColumn("budget", F.format_string("%.2f", "budget"))
+    shown = _dated(predictions).join(metrics.select("budget", "fit_status", "used_sources"), "budget").withColumn("budget", F.format_string("%.2f", "budget"))
+    brief = named.select("series_id", *[c for c in own_columns(named) if not c.endswith("sources")])
+    about = f"{config.case_name} predicts {config.target} from at most {config.max_selected_signals} of {len(config.candidate_signals)} signals and {config.lag_window} lags."
     return _put(
-        folder, sweep_metrics__csv=csv_text(two(metrics), METRICS, [falling]),
-        sweep_predictions__csv=csv_text(two(shown), ["budget", "date", "actual", "persistence", "predicted", "fit_status", "used_sources"], [falling, "t"]), sweep_summary__md="\n".join(lines),
+        folder, sweep_metrics__csv=csv_text(named, own_columns(named), falling),
+        sweep_predictions__csv=csv_text(shown, ["budget", "date", "actual", "persistence", "predicted", "fit_status", "used_sources"], [*falling, "t"]),
+        sweep_summary__md=page("Budgets and errors", brief, falling, [about, "Empty cells are figures of models that a budget doesn't have.", config.notes]),
     )
 
 
 def write_search(folder: str, case: cases.AdaptiveCase, grid: DataFrame, best: DataFrame) -> list[Path]:
-    """search_grid.csv and selection.json of one case's validation search; ``cases.load_selection`` reads the latter."""
+    """search_grid.csv and selection.json of one case's validation search: the chosen cell's columns, which ``cases.load_selection`` reads."""
     _one_series(grid, best)
-    cell = best.first()
-    guarded = cell["mode"] == "baseline_only"
-    chosen = {
-        "case_name": case.case_name, "mode": cell["mode"], "threshold": cell["threshold"], "lag_window": cell["lag_window"], "max_selected_signals": cell["cap"], "test_evaluated": False,
-        "selected_sources": [] if guarded else [x for x in cell["used_sources"].split(";") if x], "coefficients": [] if guarded else cell["coefficients"] or [],
-        "fit_status": "baseline_only_validation_guard" if guarded else cell["fit_status"], "baseline_guard_applied": guarded,
-        "validation_mae": cell["persistence_mae"] if guarded else cell["validation_mae"], "persistence_mae": cell["persistence_mae"],
-        "mae_vs_persistence_pct": 0.0 if guarded else cell["mae_vs_persistence_pct"],
-        "best_model": {"fit_status": cell["fit_status"], "sources": [x for x in cell["used_sources"].split(";") if x], "validation_mae": cell["validation_mae"]},
-        "rule": "least validation MAE, then fewest sources used, highest threshold, smallest lag, smallest cap, source names",
-    }
-    table = csv_text(grid.withColumn("test_evaluated", F.lit(False)), GRID, ["threshold", "lag_window", "cap"])
-    return _put(folder, search_grid__csv=table, selection__json=json.dumps(chosen, indent=2, sort_keys=True) + "\n")
+    cell = best.first().asDict()
+    record = {"case_name": case.case_name, "test_evaluated": False} | {cases.SELECTED.get(c, c): _names(v) if isinstance(v, str) and c.endswith("sources") else v for c, v in cell.items() if c != "series_id"}
+    if cell["mode"] == "baseline_only":
+        record["selected_sources"] = []
+    rest = ["threshold", "lag_window", "cap"]
+    return _put(folder, search_grid__csv=csv_text(grid, own_columns(grid), rest), selection__json=json.dumps(record, indent=2, sort_keys=True) + "\n")
 
 
 def write_frozen_test(folder: str, case: cases.AdaptiveCase, metrics: DataFrame, predictions: DataFrame) -> list[Path]:
     """frozen_metrics.csv, frozen_predictions.csv and frozen_summary.md of one case's test."""
     _one_series(metrics, predictions)
-    r = metrics.first()
-    refit = "The model was fitted again on training and validation before its one test." if r["mode"] == "model" else "Validation chose the baseline before the test; no model figure is made up."
-    lines = [
-        f"# Frozen test of {case.case_name}", "", "Settings were chosen on validation rows and not changed after the test.", refit, "",
-        f"- Mode: `{r['mode']}`", f"- Threshold: `{r['threshold']:.2f}`", f"- Lags: `{r['lag_window']}`", f"- Most sources: `{r['cap']}`", f"- Sources used: `{r['used_sources']}`", f"- Status: `{r['fit_status']}`",
-        f"- Persistence MAE: `{number(r['persistence_mae'])}`", f"- Model MAE: `{number(r['model_mae'])}`", f"- MAE against persistence: `{percent(r['mae_vs_persistence_pct'])}`", f"- Test rows: `{r['test_rows']}`", "",
-    ]
-    table = metrics.withColumns({"case_name": F.lit(case.case_name), "adjusted_after_test": F.lit(False)})
-    return _put(folder, frozen_metrics__csv=csv_text(table, FROZEN, ["case_name"]), frozen_predictions__csv=csv_text(_dated(predictions), ["date", "actual", "persistence", "predicted"], ["t"]), frozen_summary__md="\n".join(lines))
+    note = f"{case.case_name}: the cell was fixed before these rows were read, and not changed after the test."
+    plain = metrics.drop("coefficients")
+    return _put(
+        folder, frozen_metrics__csv=csv_text(metrics, own_columns(metrics), ["lag_window"]), frozen_predictions__csv=csv_text(_dated(predictions), ["date", "actual", "persistence", "predicted"], ["t"]),
+        frozen_summary__md=page("Test of a frozen cell", plain, ["lag_window"], [note]),
+    )
 
 
 def write_real_case(folder: str, config: cases.CaseConfig, frames: dict[str, DataFrame]) -> list[Path]:
     """Ranking, metrics, predictions, resources and summary of ``sweep.real_case``."""
     _one_series(*frames.values())
-    metrics, model = {r["name"]: r for r in frames["metrics"].collect()}, frames["model"].first()
+    made = [r["name"] for r in frames["metrics"].select("name").collect()]  # three at most
     order = F.when(F.col("name") == "persistence", 0).when(F.col("name") == "model", 1).otherwise(2)
-    status = model["fit_status"] if model else "baseline_only_no_retained_signal"
-    lines = [f"# {config.case_name}", "", f"- Target: `{config.target}`", f"- Status: `{status}`", f"- Sources used: `{(model['used_sources'] or '') if model else ''}`", f"- Sources dropped: `{(model['dropped_sources'] or '') if model else ''}`", "", "| Forecast | MAE | RMSE | Rows |", "|---|---:|---:|---:|"]
-    lines += [f"| {n} | {number(metrics[n]['mae'])} | {number(metrics[n]['rmse'])} | {metrics[n]['n']} |" for n in ("persistence", "model", "seasonal") if n in metrics]
-    columns = ["date", "actual", "persistence", *(["model"] if "model" in metrics else []), *(["seasonal"] if "seasonal" in metrics else [])]
+    model = frames["model"].first()
+    used = "; ".join(f"{k}: {v}" for k, v in model.asDict().items() if k not in ("series_id", "coefficients") and v) if model else "No source is kept."
+    columns = ["date", "actual", "persistence", *[c for c in ("model", "seasonal") if c in made]]
     return _put(
         folder, ranking__csv=csv_text(frames["ranking"], ["rank", "source", "lag", "weight", "score", "sample_count", "selected"], ["rank"]), metrics__csv=csv_text(frames["metrics"], ["name", "mae", "rmse", "n"], [order]),
         predictions__csv=csv_text(_dated(frames["predictions"]), columns, ["t"]), resources__csv=csv_text(frames["resources"], ["budget", "threshold", "retained", "compute", "memory", "sources"], [F.col("budget").desc()]),
-        summary__md="\n".join([*lines, *(["", config.notes] if config.notes else []), ""]),
+        summary__md=page(f"Forecasts of {config.target}", frames["metrics"], [order], [used, config.notes]),
     )
 
 

@@ -192,6 +192,10 @@ def window_table(spark: SparkSession, series_id: str, **months: str) -> DataFram
     return spark.createDataFrame([(series_id, *map(month, months.values()))], ", ".join(["series_id string", *(f"{k} long" for k in months)]))
 
 
+#: A selection's names of a cell's columns.
+SELECTED = {"cap": "max_selected_signals", "used_sources": "selected_sources"}
+
+
 def load_selection(path: str) -> FrozenSelection:
     """A frozen selection that hasn't been tested yet."""
     given = json.loads(Path(path).read_text(encoding="utf-8"))

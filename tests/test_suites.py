@@ -99,7 +99,7 @@ def test_sweep_of_a_written_case_is_published(spark, tmp_path):
     assert runs[0] == runs[1]
     header, *lines = runs[0][0].decode().splitlines()
     rows = [dict(zip(header.split(","), x.split(","))) for x in lines]
-    assert header.split(",") == list(files.METRICS) and [r["budget"] for r in rows] == ["1.00", "0.75", "0.50", "0.25", "0.00"]
+    assert header.split(",") == [c for c in found.columns if c != "series_id"] and [r["budget"] for r in rows] == ["1.00", "0.75", "0.50", "0.25", "0.00"]
     assert (rows[0]["persistence_mae"], rows[0]["model_mae"]) == ("1.2841998951", "0.7382196369")
     assert runs[0][1].decode().count("\n") == 1 + 5 * 24
     forecast, used = cases.read_frozen_forecast(spark, str(tmp_path / "a" / "sweep_predictions.csv"), "1.00", 24)
@@ -175,7 +175,7 @@ def test_adaptive_case_to_frozen_test(spark, tmp_path):
     beta = np.linalg.lstsq(np.array([at(t) for t in range(chosen.lag_window, 42)]), y[chosen.lag_window : 42], rcond=None)[0]
     assert r.test_rows == 18 and r.model_mae == pytest.approx(statistics.mean(abs(y[t] - np.dot(at(t), beta)) for t in range(42, 60)), abs=1e-6)
     text = files.write_frozen_test(str(tmp_path / "c"), case, found, predicted)
-    assert text[1].read_text().count("\n") == 19 and "not changed" in text[2].read_text()
+    assert text[1].read_text().count("\n") == 19 and "not changed" in text[2].read_text() and f"{r.model_mae:.10f}" in text[2].read_text()
     guard, shown = sweep.frozen_test_frames(frame, case.target, chosen.cell(spark, case).withColumn("mode", F.lit("baseline_only")), case.test_windows(spark), [chosen.lag_window])
     assert guard.first().fit_status == "baseline_only_validation_guard" and guard.first().model_mae is None and shown.where("predicted is not null").isEmpty()
 
