@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow, ragged, storage
@@ -44,11 +44,11 @@ class Bands:
     chunk: tuple[tuple[int, float, float], ...] = ((64, 0.30, 1.45), (256, 0.25, 0.95), (512, 0.25, 0.79), (1024, 0.22, 0.74), (2048, 0.20, 0.70), (4096, 0.20, 0.68))
     bad_share: float = 0.3
     level: int = 3
-    #: The corpus's band: from least_bytes on, quartiles for each half of a doubling of the length that has least_texts
-    #: different ratios, interpolated between; below and above the median so many times the distance of the quartiles,
-    #: which counts as least_spread of the median at least.
+    #: The corpus's band: from least_bytes on, limits for each half of a doubling of the length, interpolated between:
+    #: below and above the median so many times the distance of the quartiles, which counts as least_spread of the
+    #: median at least. The whole band's limits weigh as prior_texts texts in each, so few texts move them little.
     least_bytes: int = 256
-    least_texts: int = 30
+    prior_texts: int = 30
     below: float = 3.0
     above: float = 6.0
     least_spread: float = 0.02
@@ -127,43 +127,62 @@ def measure(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunk_share double, n_bytes long"
 
 
-def corpus_quartiles(measured: DataFrame, bands: Bands) -> list[tuple[int, float, float, float]]:
-    """(step, lower quartile, median, upper quartile) of the ratio for each half of a doubling of the length, over all rows that pass the base rules.
+#: Cells of the ratio in which the corpus's texts are counted, to a ratio of 1; and halves of doublings of the length, beyond any text.
+CELLS, STEPS = 10_000, 82
 
-    Texts of one length and ratio count once, so copies weigh nothing. At most some 100 rows.
+
+def corpus_quartiles(measured: DataFrame, bands: Bands) -> dict[int, tuple[int, list[float]]]:
+    """By half of a doubling of the length, the different texts and the quartiles of their ratio, over all rows that pass the base rules.
+
+    Texts of one length and ratio count once, so copies weigh nothing. Ratios are counted in
+    cells of 1 / ``CELLS``, so the quartiles are those of all rows, however they are dealt.
+    Some 60 rows at most.
     """
-    step = F.floor(2 * F.log2("n_bytes")).cast("int").alias("step")
     rows = measured.where(~F.col("base_failed") & (F.col("n_bytes") >= bands.least_bytes)).select("n_bytes", "ratio").distinct()
-    found = rows.groupBy(step).agg(F.percentile_approx("ratio", [0.25, 0.5, 0.75], 10000).alias("q"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= bands.least_texts)
-    return sorted((r["step"], *r["q"]) for r in found.collect())
+    cells = rows.groupBy(F.floor(2 * F.log2("n_bytes")).cast("int").alias("step"), F.floor(F.col("ratio") * CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("step").orderBy("cell")  # of the cells of a step
+    summed = cells.withColumns({"rank": F.sum("n").over(upto), "k": F.sum("n").over(Window.partitionBy("step"))})
+    quartile = lambda q: F.min(F.when(F.col("rank") >= F.ceil(q * F.col("k")), F.col("cell")))
+    found = summed.groupBy("step").agg(F.first("k").alias("k"), *[quartile(q).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
+    return {r["step"]: (r["k"], [(r[f"q{i}"] + 0.5) / CELLS for i in range(3)]) for r in found.collect()}
+
+
+def corpus_limits(quartiles: dict[int, tuple[int, list[float]]], bands: Bands) -> list[tuple[float, float]]:
+    """The lowest and highest ratio in the middle of each half of a doubling, from that of ``least_bytes`` on."""
+    out = []
+    for step in range(_first_step(bands), STEPS + 1):
+        (low,), (high,) = _limits(bands.whole, np.array([2 ** ((step + 0.5) / 2)]))
+        k, (lower, middle, upper) = quartiles.get(step, (0, (0.0, 0.0, 0.0)))
+        spread, weight = max(upper - lower, middle * bands.least_spread), k / (k + bands.prior_texts)
+        out.append((low + weight * (middle - bands.below * spread - low), high + weight * (middle + bands.above * spread - high)))
+    return out
+
+
+def _first_step(bands: Bands) -> int:
+    return int(2 * np.log2(bands.least_bytes))
 
 
-def _between(knots: list[tuple[float, float]], x: Column) -> Column:
-    """The line through (x, y) knots, level beyond both ends."""
-    out = F.lit(knots[-1][1])
-    for (a, low), (b, high) in reversed([*zip(knots, knots[1:])]):
-        out = F.when(x < b, F.lit(low) + (high - low) * (x - a) / (b - a)).otherwise(out)
-    return F.when(x < knots[0][0], F.lit(knots[0][1])).otherwise(out)
+def _between(values: list[float], x: Column) -> Column:
+    """The line through values at 0, 1, 2, ..., level below 0."""
+    knots, x = F.array(*[F.lit(float(v)) for v in values]), F.greatest(x, F.lit(0.0))
+    i = F.floor(x).cast("int")
+    return knots[i] + (knots[i + 1] - knots[i]) * (x - i)
 
 
 def compression_rules(docs: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Counts, ratios, corpus limits and verdict of each row's whole text.
 
     Null and empty texts have no words and so fail the base rules; their ratio is 0.
-    corpus_low and corpus_high are the corpus's band, null for texts below ``least_bytes`` and
-    where no length has enough texts; band_failed says that some band rejects the text.
+    corpus_low and corpus_high are the corpus's band, null for texts below ``least_bytes``;
+    without any other text they are the whole band's limits. band_failed says that some band
+    rejects the text. Verdicts don't depend on how rows are dealt to partitions.
     Repeated rows each give a row. Other columns are not read.
     """
     columns = [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")]
     measured = storage.settle(arrow.map_texts(docs, lambda batch: measure(batch, bands), SCHEMA, columns))
-    knots = corpus_quartiles(measured, bands)
-    low = high = F.lit(None).cast("double")
-    if knots:
-        x = 2 * F.log2("n_bytes") - 0.5
-        lower, middle, upper = (_between([(k[0], k[1 + i]) for k in knots], x) for i in range(3))
-        spread = F.greatest(upper - lower, middle * bands.least_spread)
-        own = F.col("n_bytes") >= bands.least_bytes
-        low, high = F.when(own, middle - bands.below * spread), F.when(own, middle + bands.above * spread)
+    limits = corpus_limits(corpus_quartiles(measured, bands), bands)
+    x, own = 2 * F.log2("n_bytes") - 0.5 - _first_step(bands), F.col("n_bytes") >= bands.least_bytes
+    low, high = (F.when(own, _between([v[i] for v in limits], x)) for i in (0, 1))
     inside = F.coalesce(F.col("ratio").between(low, high), F.lit(True))
     out = measured.withColumns({"corpus_low": low, "corpus_high": high, "kept": F.col("kept") & inside})
     return out.withColumn("band_failed", ~F.col("base_failed") & ~F.col("kept"))

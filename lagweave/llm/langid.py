@@ -352,7 +352,8 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, most_languages: int = M
     ``most_languages`` languages are an error, as the model has a weight table for each.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(most_languages + 1).collect()}
+    # ids are drawn, so ids are counted: rows of one id, however many, change nothing
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     h = F.xxhash64("doc_id")

@@ -96,6 +96,10 @@ def test_bounds_on_samples(spark):
     rows, languages = langid.training_rows(docs, sample=7)
     assert languages == sorted(SYLLABLES) and {r["count"] for r in rows.groupBy("lang").count().collect()} == {7}
     assert {r.text for r in rows.collect()} <= {r.text for r in docs.collect()}
+    # rows of one id, however many, change nothing
+    often = docs.crossJoin(spark.range(40).select())
+    drawn = lambda d: sorted((r.doc_id, r.lang, r.text) for r in langid.training_rows(d, sample=7)[0].collect())
+    assert drawn(often) == drawn(docs) and len(drawn(docs)) == 7 * len(SYLLABLES)
     with pytest.raises(ValueError, match="more than 2 languages"):
         langid.training_rows(docs, most_languages=2)
     x, edges, y = quality.sample_features(docs, labels.withColumnRenamed("quality", "label"), sample=11)

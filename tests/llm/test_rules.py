@@ -49,9 +49,9 @@ def test_compression_bands_reject_repetition_and_noise():
 
 def test_compression_verdict_is_brute_force(spark):
     """Ratios, chunks, the corpus's quartiles by length and the verdict, by plain loops."""
-    rng, bands = random.Random(7), compression.Bands(least_texts=12)
+    rng, bands = random.Random(7), compression.Bands(prior_texts=12)
     vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(900)]
-    prose = [" ".join(rng.choices(vocabulary, k=int(2 ** rng.uniform(5, 11)))) for _ in range(400)]
+    prose = [" ".join(rng.choices(vocabulary, k=int(2 ** rng.uniform(5, 11)))) for _ in range(1600)]  # enough texts of each length to outweigh the fixed bands
     junk = [" ".join(rng.choices(vocabulary[:40], k=rng.randint(60, 900))) for _ in range(25)]  # repetitive, but without repeated windows
     junk += [" ".join(base64.b64encode(rng.randbytes(12)).decode() for _ in range(rng.randint(60, 300))) for _ in range(25)]
     rows = [*prose, *junk, *junk[:3] * 30, None, "", "a b", *texts(n=20)]
@@ -69,20 +69,42 @@ def test_compression_verdict_is_brute_force(spark):
     for x, r, failed in zip(raw, ratio, base):
         if not failed and len(x) >= 256:
             seen.setdefault(math.floor(2 * math.log2(len(x))), set()).add((len(x), r))
-    knots = {k: [sorted(r for _, r in v)[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75)] for k, v in sorted(seen.items()) if len(v) >= 12}
-    assert len(knots) > 6
+    limits = []
+    for step in range(16, 60):
+        low, high = band(bands.whole, 2 ** ((step + 0.5) / 2))
+        own = sorted(math.floor(r * 10_000) for _, r in seen.get(step, ()))
+        if own:
+            lower, middle, upper = ((own[math.ceil(q * len(own)) - 1] + 0.5) / 10_000 for q in (0.25, 0.5, 0.75))
+            spread, k = max(upper - lower, 0.02 * middle), len(own)
+            low, high = (12 * low + k * (middle - 3 * spread)) / (12 + k), (12 * high + k * (middle + 6 * spread)) / (12 + k)
+        limits.append((low, high))
+    assert len(seen) > 6
     for i, x in enumerate(raw):
         chunks = [x[j : j + 4096] for j in range(0, len(x), 4096)]
         bad = sum(len(c) for c in chunks if not (lambda b: b[0] <= squeeze(c) <= b[1])(band(bands.chunk, len(c))))
         low, high = band(bands.whole, len(x))
         kept = not base[i] and low <= ratio[i] <= high and bad <= 0.3 * len(x)
         if len(x) >= 256:
-            lower, middle, upper = (float(np.interp(2 * math.log2(len(x)) - 0.5, [*knots], [k[j] for k in knots.values()])) for j in range(3))
-            spread = max(upper - lower, 0.02 * middle)
-            assert got[i].corpus_low == pytest.approx(middle - 3 * spread) and got[i].corpus_high == pytest.approx(middle + 6 * spread)
+            for got_one, j in ((got[i].corpus_low, 0), (got[i].corpus_high, 1)):
+                assert got_one == pytest.approx(float(np.interp(2 * math.log2(len(x)) - 0.5, range(16, 60), [v[j] for v in limits])))
             kept = kept and got[i].corpus_low <= ratio[i] <= got[i].corpus_high
         assert (got[i].ratio, got[i].base_failed, got[i].kept, got[i].band_failed) == (ratio[i], base[i], kept, not base[i] and not kept)
-    assert all(got[i].kept for i in range(400)) and not any(got[i].kept for i in range(400, 450)) and sum(got[i].band_failed for i in range(400, 450)) > 20
+    assert all(got[i].kept for i in range(1600)) and not any(got[i].kept for i in range(1600, 1650)) and sum(got[i].band_failed for i in range(1600, 1650)) > 20
+
+
+def test_compression_verdicts_do_not_depend_on_partitions_or_jump(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=int(2 ** rng.uniform(5, 10))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda d: sorted(tuple(r) for r in compression.compression_rules(d).collect())
+    whole = shown(docs)
+    assert whole == shown(docs.repartition(1)) == shown(docs.repartition(37)) == sorted({*shown(docs.unionByName(docs))})  # repeats don't count
+    # one text more moves a limit by its weight and no more
+    bands, made = compression.Bands(), {18: (29, [0.41, 0.45, 0.47])}
+    before, after = compression.corpus_limits(made, bands)[2], compression.corpus_limits({18: (30, made[18][1])}, bands)[2]
+    assert all(abs(a - b) < 0.02 for a, b in zip(before, after)) and before != after
+    assert compression.corpus_limits({}, bands)[0] == (0.25, 0.95)
 
 
 def lines_with_noise(rng, size, share, block):
