@@ -46,9 +46,9 @@ class Bands:
     level: int = 3
     #: The corpus's band: from least_bytes on, limits for each half of a doubling of the length, interpolated between:
     #: below and above the median so many times the distance of the quartiles, which counts as least_spread of the
-    #: median at least. The whole band's limits weigh as prior_texts texts in each, so few texts move them little.
+    #: median at least. The whole band's limits weigh as prior_texts texts in each, so what few texts say counts in part.
     least_bytes: int = 256
-    prior_texts: int = 30
+    prior_texts: int = 2
     below: float = 3.0
     above: float = 6.0
     least_spread: float = 0.02

@@ -101,7 +101,7 @@ def test_compression_verdicts_do_not_depend_on_partitions_or_jump(spark):
     whole = shown(docs)
     assert whole == shown(docs.repartition(1)) == shown(docs.repartition(37)) == sorted({*shown(docs.unionByName(docs))})  # repeats don't count
     # one text more moves a limit by its weight and no more
-    bands, made = compression.Bands(), {18: (29, [0.41, 0.45, 0.47])}
+    bands, made = compression.Bands(prior_texts=5), {18: (29, [0.41, 0.45, 0.47])}
     before, after = compression.corpus_limits(made, bands)[2], compression.corpus_limits({18: (30, made[18][1])}, bands)[2]
     assert all(abs(a - b) < 0.02 for a, b in zip(before, after)) and before != after
     assert compression.corpus_limits({}, bands)[0] == (0.25, 0.95)
