@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .positions import cumulative
 
 #: Fixed values of the seeded intervals.
 SEED, RESAMPLES, CONFIDENCE = 20260818, 2000, 0.90
@@ -58,9 +59,12 @@ def directional_accuracy(forecasts: DataFrame, predicted: str, previous: str = "
 def worst_decile(forecasts: DataFrame, predicted: str) -> DataFrame:
     """Mean of the largest tenth of absolute errors, one at least."""
     rows = forecasts.where(F.col(predicted).isNotNull()).withColumn("_e", F.abs(F.col("actual") - F.col(predicted)))
-    order = Window.partitionBy("series_id").orderBy(F.col("_e").desc(), "t")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    return rows.withColumns({"_r": F.row_number().over(order), "_n": n}).where("_r <= greatest(1, _n div 10)").groupBy("series_id").agg(F.avg("_e").alias("worst_decile"))
+    # equal errors are one row with a count, of which the last one may be in the tenth in part
+    counts = rows.groupBy("series_id", "_e").agg(F.count(F.lit(1)).alias("_n"))
+    placed = cumulative(counts, ("series_id",), [F.col("_e").desc()], "_n")
+    room = F.greatest(F.lit(1), F.expr("_whole div 10")) - F.col("_before")
+    taken = placed.withColumn("_k", F.least(F.col("_n"), room)).where("_k > 0")
+    return taken.groupBy("series_id").agg((F.sum(F.col("_e") * F.col("_k")) / F.sum("_k")).alias("worst_decile"))
 
 
 def change_space(forecasts: DataFrame, predicted: str, previous: str = "persistence") -> DataFrame:
@@ -146,9 +150,13 @@ def sign_flip_intervals(skills: DataFrame, confidence: float = CONFIDENCE, resam
 
 
 def average_ranks(rows: DataFrame, column: str, out: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """Add ranks from 1 on; equal values share the mean of theirs."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, column))
-    return rows.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (ties - 1) / 2.0)
+    """Add ranks from 1 on; equal values share the mean of theirs. Values are counted first, so a frequent one is one row to rank."""
+    counts = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cumulative(counts, keys, [column], "_n").select(*keys, F.col(column).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
+    same = F.col(f"_rows.{column}").eqNullSafe(F.col("_ranks._v"))
+    for key in keys:
+        same = same & F.col(f"_rows.{key}").eqNullSafe(F.col(f"_ranks.{key}"))
+    return rows.alias("_rows").join(placed.alias("_ranks"), same).select("_rows.*", f"_ranks.{out}")
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -160,8 +168,7 @@ def spearman(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("series_i
 
 def calibration_bins(rows: DataFrame, confidence: str, error: str, bins: int = 4, keys: tuple[str, ...] = ("series_id",), tie: str = "t") -> DataFrame:
     """Mean confidence, mean absolute error and size of bins of equal numbers of rows in order of confidence."""
-    order = Window.partitionBy(*keys).orderBy(confidence, tie)
-    rows = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    rows = cumulative(rows.select(*keys, confidence, error, tie), keys, [confidence, tie], None, "_i", "_n")
     # bin b holds positions from b * n div bins on: the largest such b
     rows = rows.withColumn("bin", F.floor(((F.col("_i") + 1) * bins - 1) / F.col("_n")).cast("int"))
     return rows.groupBy(*keys, "bin").agg(F.avg(confidence).alias("confidence"), F.avg(F.abs(error)).alias("error"), F.count(F.lit(1)).alias("n"))

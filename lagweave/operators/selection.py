@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .positions import cumulative
 from .relations import ranked
 
 #: Score limits of the whole and of the empty budget, the tiers, and bytes of a value.
@@ -61,7 +62,7 @@ def retain(relations: DataFrame, budgets: DataFrame) -> DataFrame:
     return ranked(kept, ("series_id", "target", "budget"))
 
 
-def resource_profile(relations: DataFrame, budgets: DataFrame, lags: int, rows: DataFrame, cap: int | None = None) -> DataFrame:
+def resource_profile(relations: DataFrame, budgets: DataFrame, lags: int, rows: DataFrame, cap: int | None = None, rule: BudgetRule = BudgetRule()) -> DataFrame:
     """Per target and tier: relations kept, and what a model with them computes and holds.
 
     rows: (series_id, rows) that a model sees. Tiers that keep nothing are reported with 0.
@@ -73,7 +74,7 @@ def resource_profile(relations: DataFrame, budgets: DataFrame, lags: int, rows:
     n = F.coalesce("n", F.lit(0))
     table = table.withColumn("retained", (F.least(n, F.lit(cap)) if cap is not None else n).cast("long"))
     work = F.col("retained") * lags * F.col("rows")
-    return table.select("series_id", "target", "budget", "threshold", "retained", "rows", work.alias("compute"), work.alias("memory"), (work * VALUE_BYTES).alias("bytes"))
+    return table.select("series_id", "target", "budget", "threshold", "retained", "rows", work.alias("compute"), work.alias("memory"), (work * rule.value_bytes).alias("bytes"))
 
 
 def admission(trust: Column, rule: TrustRule = TrustRule()) -> Column:
@@ -108,13 +109,29 @@ def gated_mixture(panel: DataFrame, gates: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, keys: tuple[str, ...] = ("series_id",), p: str = "p_value") -> DataFrame:
-    """Add the step-up cutoff of each family of tests: the largest p with p <= alpha * rank / m, or 0."""
+    """Add the step-up cutoff of each family of tests: the largest p with p <= alpha * rank / m, or 0.
+
+    Without keys all tests are one family, however many: p-values are counted, ranked in
+    ranges by many tasks, and only the cutoff comes back.
+    """
+    if not keys:
+        counts = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = cumulative(counts, (), ["_p"], "_n")
+        reached = F.when(F.col("_p") <= alpha * (F.col("_before") + F.col("_n")) / F.col("_whole"), F.col("_p"))
+        cutoff = placed.agg(F.coalesce(F.max(reached), F.lit(0.0)).alias("fdr_cutoff"))
+        return tests.crossJoin(F.broadcast(cutoff))  # one row
     order = Window.partitionBy(*keys).orderBy(p)
     family = Window.partitionBy(*keys)
     rows = tests.withColumn("_rank", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(family))
     return rows.withColumn("fdr_cutoff", F.coalesce(F.max(F.when(F.col(p) <= alpha * F.col("_rank") / F.col("_m"), F.col(p))).over(family), F.lit(0.0))).drop("_rank", "_m")
 
 
+def _of_family(rows: DataFrame, keys: tuple[str, ...], **figures: Column) -> DataFrame:
+    """Add aggregates of each row's family."""
+    found = rows.groupBy(*keys).agg(*[f.alias(name) for name, f in figures.items()])
+    return rows.join(found, list(keys)) if keys else rows.crossJoin(F.broadcast(found))  # one row
+
+
 def noise_floor(samples: Column, comparisons: int, alpha: float = 0.05) -> Column:
     """The correlation that noise reaches in that many comparisons."""
     return stats.fisher_threshold(samples, stats.critical_z(alpha, comparisons))
@@ -130,10 +147,9 @@ def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_s
     if reference_samples is not None and reference_samples <= 0:
         raise ValueError("reference_samples must be positive")
     tested = benjamini_hochberg(relations.withColumn("p_value", stats.correlation_p(F.col("score"), F.col("sample_count"))), alpha, keys)
-    family = Window.partitionBy(*keys)
-    most = F.lit(reference_samples) if reference_samples is not None else F.max("sample_count").over(family)
-    pairs = F.size(F.collect_set(F.struct("source", "target")).over(family))
-    level = stats.critical(stats.sidak_alpha(alpha, pairs * max_lag))
+    tested = _of_family(tested, keys, _most=F.max("sample_count"), _pairs=F.count_distinct("source", "target"))
+    most = F.lit(reference_samples) if reference_samples is not None else F.col("_most")
+    level = stats.critical(stats.sidak_alpha(alpha, F.col("_pairs") * max_lag))
     tested = tested.withColumns({"support": F.least(F.lit(1.0), F.col("sample_count") / most), "_z": level}).withColumn("noise_floor", stats.fisher_threshold(F.col("sample_count"), F.col("_z")))
     reason = (
         F.when(F.col("p_value") > F.col("fdr_cutoff"), "below_fdr_corrected_effect")
@@ -143,7 +159,7 @@ def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_s
         .otherwise("selected")
     )
     effect = F.coalesce(F.try_divide(F.col("score"), F.col("noise_floor")), F.lit(0.0))
-    return tested.withColumn("reason", reason).withColumns({"selected": F.col("reason") == "selected", "effect_size": effect}).drop("_z")
+    return tested.withColumn("reason", reason).withColumns({"selected": F.col("reason") == "selected", "effect_size": effect}).drop("_z", "_most", "_pairs")
 
 
 def fixed_threshold(relations: DataFrame, threshold: float = BUDGET_FLOOR) -> DataFrame:

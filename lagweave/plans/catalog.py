@@ -160,10 +160,17 @@ def noise_floor(spark: SparkSession, d: str) -> DataFrame:
 
 def bh_cutoff(spark: SparkSession, d: str) -> DataFrame:
     found = _budget_relations(spark, d)
-    rows = found.withColumn("p_value", F.round(stats.correlation_p(F.col("score"), F.col("sample_count")), 9))
+    rows = found.withColumn("p_value", stats.correlation_p(F.col("score"), F.col("sample_count")))
     return selection.benjamini_hochberg(rows).select("series_id", "source", "target", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), (F.col("p_value") <= F.col("fdr_cutoff")).alias("rejected"))
 
 
+def pooled_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    """All relations of all panels and brands as one family of tests."""
+    found = relations.relations(panels.panel(spark, d).unionByName(panels.brand_panel(spark, d)), LAGS)
+    tested = selection.benjamini_hochberg(found.withColumn("p_value", stats.correlation_p(F.col("score"), F.col("sample_count"))), keys=())
+    return tested.select("series_id", "source", "target", out("p_value", 8).alias("p_value"), out("fdr_cutoff", 8).alias("fdr_cutoff"), (F.col("p_value") <= F.col("fdr_cutoff")).alias("rejected"))
+
+
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
     frame = _held(spark, d)
     sources = models.top_sources(relations.relations(frame, LAGS, TARGET), TARGET, 2).withColumn("scale", F.lit(1.0))
@@ -358,7 +365,7 @@ def protocol_controls(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     panel_axis_audit, brand_complete_panel, brand_relations, missing_steps, series_digest, lagged_correlations, best_lag_ranking, diff_relations, log_diff_relations,
     acf_diagnostics, naive_forecasts, baseline_errors, baseline_summary, mase, directional_accuracy, worst_decile, change_space, budget_tiers, resource_profile,
-    trust_gates, gated_mixture, fixed_threshold, precision_recall, noise_floor, bh_cutoff, lag_features, gram_matrix, ar1_ols, rolling_relations,
+    trust_gates, gated_mixture, fixed_threshold, precision_recall, noise_floor, bh_cutoff, pooled_cutoff, lag_features, gram_matrix, ar1_ols, rolling_relations,
     yearly_relations, yearly_rolling_relations, growing_window_relations, rolling_diff_relations, rolling_mixed_relations, expanding_relations, trajectory_ranks, relation_lifecycle, relation_detection, evidence_gate, rolling_origin_folds, sliding_folds,
     fold_skill, bootstrap_skill, sign_flip_null, spearman, calibration_bins, input_support, prediction_confidence, budget_sweep, validation_search, frozen_test,
     origin_skill, protocol_controls,

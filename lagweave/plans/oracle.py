@@ -255,9 +255,13 @@ n AS (SELECT series_id, count(*) FILTER (a) AS a, count(*) FILTER (b) AS b, coun
 SELECT series_id, round(CASE WHEN a = 0 THEN 0.0 ELSE hit / a END, 10) AS precision, round(CASE WHEN b = 0 THEN 1.0 ELSE hit / b END, 10) AS recall FROM n""",
     "noise_floor": f"""WITH {RELATIONS}, z AS (SELECT *, 2.3877378870708172 / sqrt(sample_count - 3) AS z FROM best), f AS (SELECT *, (exp(2 * z) - 1) / (exp(2 * z) + 1) AS fl FROM z)
 SELECT {EDGE}, sample_count, {_out('fl', 8, 'floor')}, score > fl AS clears FROM f""",
-    "bh_cutoff": f"""WITH {RELATIONS}, zs AS (SELECT *, {_FISHER} AS z FROM best), p AS (SELECT {EDGE}, CASE WHEN sample_count <= 3 THEN 1.0 ELSE round({_TAIL}, 9) END AS p FROM zs),
+    "bh_cutoff": f"""WITH {RELATIONS}, zs AS (SELECT *, {_FISHER} AS z FROM best), p AS (SELECT {EDGE}, CASE WHEN sample_count <= 3 THEN 1.0 ELSE {_TAIL} END AS p FROM zs),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k, count(*) OVER (PARTITION BY series_id) AS m FROM p),
 c AS (SELECT *, {_STEP_UP} AS cut FROM r)
+SELECT {EDGE}, {_out('p', 8, 'p_value')}, {_out('cut', 8, 'fdr_cutoff')}, p <= cut AS rejected FROM c""",
+    "pooled_cutoff": f"""WITH {PANEL}, {BRANDS.replace("panel AS (", "brand_panel AS (")}, everything AS (SELECT * FROM panel UNION ALL SELECT * FROM brand_panel),
+{_pairs("everything")}, {CORRS}, {_best("corrs", EDGE)}, zs AS (SELECT *, {_FISHER} AS z FROM best), p AS (SELECT {EDGE}, CASE WHEN sample_count <= 3 THEN 1.0 ELSE {_TAIL} END AS p FROM zs),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p), c AS (SELECT *, coalesce(max(CASE WHEN p <= 0.05 * k / m THEN p END) OVER (), 0.0) AS cut FROM r)
 SELECT {EDGE}, {_out('p', 8, 'p_value')}, {_out('cut', 8, 'fdr_cutoff')}, p <= cut AS rejected FROM c""",
     "lag_features": f"""WITH {RELATIONS}, top AS (SELECT series_id, source, {RANK} FROM best WHERE target = 'volume'), two AS (SELECT a.series_id, a.source AS s1, b.source AS s2 FROM top a JOIN top b USING (series_id) WHERE a.rank = 1 AND b.rank = 2),
 v AS (SELECT series_id, t, value FROM panel WHERE signal = 'volume')
