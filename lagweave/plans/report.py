@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import evaluation, lifecycle, relations, selection, transforms
-from ..sources import cases, sinks
+from ..sources import cases, cubes, sinks
 
 SCHEMA_VERSION = "report.v1"
 #: States and reason codes of the report.
@@ -162,10 +161,10 @@ def find_case(name: str, root: str) -> str:
     return str(path)
 
 
-def _input(spark: SparkSession, payload: dict, root: str | None) -> AnalysisInput:
-    kinds = [k for k in ("case_name", "csv_base64", "cubes") if payload.get(k) is not None]
+def _input(spark: SparkSession, payload: dict, root: str | None, service: cubes.Service | None = None) -> AnalysisInput:
+    kinds = [k for k in ("case_name", "csv_base64", "series") if payload.get(k) is not None]
     if len(kinds) != 1:
-        raise cases.CaseError("invalid_request", "one of case_name, csv_base64 and cubes is needed")
+        raise cases.CaseError("invalid_request", "one of case_name, csv_base64 and series is needed")
     if kinds == ["case_name"]:
         if root is None:
             raise LookupError("no folder of cases is served")
@@ -186,10 +185,13 @@ def _input(spark: SparkSession, payload: dict, root: str | None) -> AnalysisInpu
     series = cases.check_series([cases.CubeSeries(s["name"], s["dataset"], tuple(map(tuple, s["filters"]))) for s in payload["series"]])
     if unknown := sorted({target, *candidates} - {s.name for s in series}):
         raise cases.CaseError("unknown_signal", f"unknown signals: {', '.join(unknown)}", unknown[0])
-    texts = spark.createDataFrame([(k, json.dumps(v)) for k, v in payload["cubes"].items()], "dataset string, json string")
-    panel = cases.cube_panel(cases.decode_cube(spark, texts, series), payload["start"], payload["end"]).where(F.col("signal").isin(target, *candidates))
-    about = {s.name: {"unit": dict(s.filters).get("unit", "unknown"), "seasonal_adjustment": dict(s.filters).get("s_adj", "unknown")} for s in series}
-    return AnalysisInput("snapshot", panel, *common, source="snapshot", metadata=about, provenance={"series": [s.name for s in series]})
+    start, end = payload["start"], payload["end"]
+    docs = cubes.documents(spark, series, payload.get("cubes") or {}, start, end, service)
+    panel = cases.cube_panel(cases.decode_cube(spark, docs, series), start, end).where(F.col("signal").isin(target, *candidates))
+    scope, when, root = {s.name: dict(s.filters) for s in series}, cubes.updated(docs), service.root if service else ""
+    about = {k: {"unit": v.get("unit", "unknown"), "seasonal_adjustment": v.get("s_adj", "unknown")} for k, v in scope.items()}
+    told = [{"name": s.name, "dataset": s.dataset, "filters": scope[s.name], "address": s.url(root, start, end), "updated": when[s.name]} for s in series]
+    return AnalysisInput("snapshot", panel, *common, source="snapshot", metadata=about, provenance={"start": start, "end": end, "series": told})
 
 
 def _error(status: int, outcome: str, code: str, message: str, where: str | None, **blocks: object) -> tuple[int, dict]:
@@ -211,21 +213,21 @@ def _answer(make: Callable[[], dict]) -> tuple[int, dict]:
         return _error(500, "analysis_failure", "analysis_failed", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None)
 
 
-def analyze_payload(spark: SparkSession, payload: dict, root: str | None = None) -> tuple[int, dict]:
-    """(status, report) of a request; ``root`` is the folder of bundled cases."""
-    return _answer(lambda: build_report(_input(spark, payload, root)))
+def analyze_payload(spark: SparkSession, payload: dict, root: str | None = None, service: cubes.Service | None = None) -> tuple[int, dict]:
+    """(status, report) of a request; ``root`` is the folder of bundled cases, ``service`` where cubes that the request doesn't bring are fetched."""
+    return _answer(lambda: build_report(_input(spark, payload, root, service)))
 
 
-def audit_payload(spark: SparkSession, payload: dict, root: str | None = None) -> tuple[int, dict]:
+def audit_payload(spark: SparkSession, payload: dict, root: str | None = None, service: cubes.Service | None = None) -> tuple[int, dict]:
     """(status, audit blocks) of a request."""
-    return _answer(lambda: audit(_input(spark, payload, root)))
+    return _answer(lambda: audit(_input(spark, payload, root, service)))
 
 
-def snapshot_payload(spark: SparkSession, payload: dict, root: str | None = None) -> tuple[int, dict]:
+def snapshot_payload(spark: SparkSession, payload: dict, root: str | None = None, service: cubes.Service | None = None) -> tuple[int, dict]:
     """(status, canonical CSV and its hash) of a request."""
 
     def make() -> dict:
-        given = _input(spark, payload, root)
+        given = _input(spark, payload, root, service)
         text = sinks.snapshot_csv(given.panel, given.variables)
         return {"csv": text, "hash": sinks.snapshot_hash(text), "provenance": given.provenance}
 

@@ -391,7 +391,7 @@ def fetch_cube(series: CubeSeries, root: str, start: str, end: str, opener: Call
 
 
 def decode_cube(spark: SparkSession, cubes: DataFrame, series: list[CubeSeries]) -> DataFrame:
-    """(name, period, value) of JSON-stat documents: (dataset, json).
+    """(name, period, value) of JSON-stat documents: (dataset, json), or (name, dataset, json) for documents of single series.
 
     Values lie in one flat list, or a sparse map, in row-major order of the dimensions. A
     dimension without a code must have a single category. Values that are missing stay NULL.
@@ -399,10 +399,11 @@ def decode_cube(spark: SparkSession, cubes: DataFrame, series: list[CubeSeries])
     schema = "id array<string>, size array<int>, dimension map<string, struct<category: struct<index: map<string, int>>>>, value string"
     asked = spark.createDataFrame([(s.name, s.dataset, dict(s.filters)) for s in series], "name string, dataset string, codes map<string, string>")
     text = F.get_json_object("json", "$.value")
-    doc = cubes.select("dataset", F.from_json("json", schema).alias("d"), text.alias("v")).select("dataset", "d.id", "d.size", "d.dimension", "v")
+    key = "name" if "name" in cubes.columns else "dataset"
+    doc = cubes.select(key, F.from_json("json", schema).alias("d"), text.alias("v")).select(key, "d.id", "d.size", "d.dimension", "v")
     flat = F.when(F.substring("v", 1, 1) == "[", F.from_json("v", "array<double>"))
     sparse = F.when(F.substring("v", 1, 1) == "{", F.from_json("v", "map<string, double>"))
-    rows = doc.join(asked, "dataset").withColumns({"flat": flat, "sparse": sparse})
+    rows = doc.join(asked, key).withColumns({"flat": flat, "sparse": sparse})
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.element_at(F.col("size"), F.array_position("id", F.lit("time")).cast("int")) - 1)))
     place = """aggregate(sequence(0, size(id) - 1), 0L, (s, i) -> s * size[i] + case when id[i] = 'time' then k
         when codes[id[i]] is not null then coalesce(dimension[id[i]].category.index[codes[id[i]]], cast(raise_error(concat('no category ', codes[id[i]], ' in ', id[i])) as int))
@@ -413,10 +414,13 @@ def decode_cube(spark: SparkSession, cubes: DataFrame, series: list[CubeSeries])
 
 
 def cube_panel(decoded: DataFrame, start: str, end: str, series_id: str = "snapshot") -> DataFrame:
-    """The long panel of decoded series, each of which must have every month from start to end."""
+    """The long panel of decoded series, each of which must have every month from start to end, and no other."""
     rows = decoded.select(F.lit(series_id).alias("series_id"), period_index(F.col("period")).cast("long").alias("t"), F.col("name").alias("signal"), "value")
-    want = month(end) - month(start) + 1
-    for r in rows.groupBy("signal").agg(F.count("value").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("signal").collect():
-        if (r["n"], r["a"], r["b"]) != (want, month(start), month(end)):
-            raise CaseError("missing_months", f"{r['signal']} does not cover {start} to {end}", r["signal"])
+    low, high = month(start), month(end)
+    axis = rows.select("signal").distinct().withColumn("t", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
+    gaps = axis.join(rows.where("value is not null"), ["signal", "t"], "left_anti")
+    over = rows.where(F.col("value").isNotNull() & ~F.col("t").between(low, high)).select("signal", "t")
+    bad = gaps.unionByName(over).orderBy("signal", "t").first()
+    if bad is not None:
+        raise CaseError("missing_months", f"{bad['signal']} does not cover {start} to {end}: {month_name(bad['t'])}", bad["signal"])
     return rows
