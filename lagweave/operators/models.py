@@ -21,23 +21,26 @@ MINOR = 1e-9
 MODEL = ["series_id", "model"]
 
 
-def features(panel: DataFrame, target: str, sources: DataFrame, lags: int, with_target: bool = True) -> DataFrame:
+def features(panel: DataFrame, target: str, sources: DataFrame, lags: int | None, with_target: bool = True) -> DataFrame:
     """(series_id, model, t, y, x): for every t with all of its lags, x = [1, then for each lag the target's and the sources' values].
 
     sources: (series_id, model, source, rank, scale) with ranks from 1 on; a source's values
-    are multiplied by scale. A model without sources needs a row with a NULL source.
+    are multiplied by scale. A model without sources needs a row with a NULL source. With
+    ``lags`` None every model has its own number of lags in sources' column lags, which is
+    given out too.
     """
-    models = sources.groupBy(*MODEL).agg(F.count("source").alias("k"))
-    own = sources.where("source is not null").select(*MODEL, F.col("source").alias("signal"), F.col("rank").cast("long").alias("place"), F.col("scale").cast("double").alias("scale"))
+    sources = sources if lags is None else sources.withColumn("lags", F.lit(lags))
+    models = sources.groupBy(*MODEL, "lags").agg(F.count("source").alias("k"))
+    own = sources.where("source is not null").select(*MODEL, "lags", F.col("source").alias("signal"), F.col("rank").cast("long").alias("place"), F.col("scale").cast("double").alias("scale"))
     if with_target:
-        own = own.unionByName(models.select(*MODEL, F.lit(target).alias("signal"), F.lit(0).cast("long").alias("place"), F.lit(1.0).alias("scale")))
+        own = own.unionByName(models.select(*MODEL, "lags", F.lit(target).alias("signal"), F.lit(0).cast("long").alias("place"), F.lit(1.0).alias("scale")))
     shift = 1 if with_target else 0
-    past = panel.where("value is not null").join(own, ["series_id", "signal"]).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags))))
+    past = panel.where("value is not null").join(own, ["series_id", "signal"]).withColumn("lag", F.explode(F.sequence(F.lit(1), F.col("lags"))))
     past = past.select(*MODEL, (F.col("t") + F.col("lag")).alias("t"), F.struct("lag", "place", (F.col("value") * F.col("scale")).alias("v")).alias("f"))
     rows = past.groupBy(*MODEL, "t").agg(F.array_sort(F.collect_list("f")).alias("f"))
     label = panel.where((F.col("signal") == target) & F.col("value").isNotNull()).select("series_id", "t", F.col("value").alias("y"))
-    rows = rows.join(models, MODEL).where(F.size("f") == lags * (F.col("k") + shift)).join(label, ["series_id", "t"])
-    return rows.select(*MODEL, "t", "y", F.concat(F.array(F.lit(1.0)), F.transform("f", lambda f: f["v"])).alias("x"))
+    rows = rows.join(models, MODEL).where(F.size("f") == F.col("lags") * (F.col("k") + shift)).join(label, ["series_id", "t"])
+    return rows.select(*MODEL, *(["lags"] if lags is None else []), "t", "y", F.concat(F.array(F.lit(1.0)), F.transform("f", lambda f: f["v"])).alias("x"))
 
 
 def gram(rows: DataFrame, keys: list[str] = MODEL) -> DataFrame:
@@ -61,7 +64,12 @@ def solve(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray | None:
     return a[:, -1]
 
 
-def nearly_proportional(sums: DataFrame, lags: int, with_target: bool = True) -> DataFrame:
+def _with_lags(sums: DataFrame, lags: int | DataFrame) -> DataFrame:
+    """Add each model's number of lags: one for all, or a table (series_id, model, lags)."""
+    return sums.withColumn("lags", F.lit(lags)) if isinstance(lags, int) else sums.join(lags, MODEL)
+
+
+def nearly_proportional(sums: DataFrame, lags: int | DataFrame, with_target: bool = True) -> DataFrame:
     """(series_id, model, low, high): ranks of sources whose lagged values may be proportional, by the minors of their part of ``gram``.
 
     A source's lagged values are one vector; the products of two such vectors are sums of
@@ -69,7 +77,7 @@ def nearly_proportional(sums: DataFrame, lags: int, with_target: bool = True) ->
     proportional only where their minor is 0, up to rounding.
     """
     shift = 1 if with_target else 0
-    wide = sums.groupBy(*MODEL).agg(((F.max("i") / lags).cast("int")).alias("_w"))
+    wide = _with_lags(sums.groupBy(*MODEL).agg(F.max("i").alias("_p")), lags).select(*MODEL, (F.col("_p") / F.col("lags")).cast("int").alias("_w"))
     cells = sums.where("i > 0 and j > 0").join(wide, MODEL)
     at = lambda c: F.pmod(F.col(c) - 1, F.col("_w")) + 1 - shift
     same_lag = F.floor((F.col("i") - 1) / F.col("_w")) == F.floor((F.col("j") - 1) / F.col("_w"))
@@ -79,16 +87,19 @@ def nearly_proportional(sums: DataFrame, lags: int, with_target: bool = True) ->
     return pairs.where(F.col("v") * F.col("v") >= (1 - MINOR) * F.col("a") * F.col("b")).select(*MODEL, "low", "high")
 
 
-def proportional_pairs(panel: DataFrame, sources: DataFrame, lags: int, labels: DataFrame, candidates: DataFrame) -> DataFrame:
+def proportional_pairs(panel: DataFrame, sources: DataFrame, lags: int | None, labels: DataFrame, candidates: DataFrame) -> DataFrame:
     """(series_id, model, low, high): those of the candidates (``nearly_proportional``) whose lagged training values have one ratio throughout.
 
-    labels: (series_id, t) of the training rows. Only candidates' values are compared, so
-    without any nothing is joined.
+    labels: (series_id, t) of the training rows, or with ``lags`` None (series_id, lags, t) for
+    models with lags of their own. Only candidates' values are compared, so without any
+    nothing is joined.
     """
+    sources = sources if lags is None else sources.withColumn("lags", F.lit(lags))
+    on = ["series_id", "t", *(["lags"] if lags is None else [])]
     sides = candidates.select(*MODEL, "low", "high", F.explode(F.array("low", "high")).alias("rank"))
-    chosen = sides.join(sources.where("source is not null").select(*MODEL, "source", "rank"), [*MODEL, "rank"])
-    past = panel.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).select("series_id", F.col("signal").alias("source"), (F.col("t") + F.col("lag")).alias("t"), "lag", "value")
-    past = past.join(chosen, ["series_id", "source"]).join(labels.select("series_id", "t"), ["series_id", "t"], "left_semi")
+    chosen = sides.join(sources.where("source is not null").select(*MODEL, "source", "rank", "lags"), [*MODEL, "rank"])
+    past = panel.withColumnRenamed("signal", "source").join(chosen, ["series_id", "source"]).withColumn("lag", F.explode(F.sequence(F.lit(1), F.col("lags"))))
+    past = past.withColumn("t", F.col("t") + F.col("lag")).join(labels.select(*on), on, "left_semi")
     side = lambda c: F.max(F.when(F.col("rank") == F.col(c), F.col("value")))
     pairs = past.groupBy(*MODEL, "low", "high", "t", "lag").agg(side("low").alias("a"), side("high").alias("b")).where("a is not null and b is not null")
     za, zb = F.abs("a") < ZERO, F.abs("b") < ZERO
@@ -125,8 +136,8 @@ def running_gram(rows: DataFrame, origins: DataFrame) -> DataFrame:
     return sums.where("n > 0").join(own, ["series_id", "t"], "left_semi").select("series_id", F.concat("model", F.lit("@"), "t").alias("model"), "i", "j", "value", "n")
 
 
-def fit_sums(sums: DataFrame, pairs: DataFrame | None = None, lags: int = 1, with_target: bool = True) -> DataFrame:
-    """``fit`` from the cross-products of ``gram`` or ``running_gram``."""
+def fit_sums(sums: DataFrame, pairs: DataFrame | None = None, lags: int | DataFrame = 1, with_target: bool = True) -> DataFrame:
+    """``fit`` from the cross-products of ``gram`` or ``running_gram``; models may have lags of their own, by a table (series_id, model, lags)."""
     table = sums.select(*MODEL, "i", "j", "value")
     if pairs is not None:  # as entries below -1
         table = table.unionByName(pairs.select(*MODEL, F.col("low").cast("int").alias("i"), (-1 - F.col("high")).cast("int").alias("j"), F.lit(0.0).alias("value")))
@@ -138,6 +149,7 @@ def fit_sums(sums: DataFrame, pairs: DataFrame | None = None, lags: int = 1, wit
         p = int(cells["i"].max()) + 1
         m = np.zeros((p, p + 1))
         m[cells["i"], cells["j"]] = cells["value"]  # the column of y is the last
+        lags = int(group["lags"].iloc[0])
         k = (p - 1) // lags - shift
         active, dropped = [*range(1, k + 1)], []
 
@@ -164,7 +176,7 @@ def fit_sums(sums: DataFrame, pairs: DataFrame | None = None, lags: int = 1, wit
         status = "baseline_only_no_stable_signal" if beta is None else "fit_after_collinearity_backoff" if dropped else "fit"
         return pd.DataFrame([{"series_id": key[0], "model": key[1], "fit_status": status, "coefficients": None if beta is None else beta.tolist(), "kept": active, "dropped": dropped}])
 
-    return table.groupBy(*MODEL).applyInPandas(one, SOLVED)
+    return _with_lags(table, lags).groupBy(*MODEL).applyInPandas(one, SOLVED)
 
 
 def predict(rows: DataFrame, models: DataFrame) -> DataFrame:

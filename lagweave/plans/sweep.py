@@ -50,11 +50,15 @@ def _names(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("series_id", "model").agg(F.array_join(F.transform(ordered, lambda s: s["source"]), ";").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
 
 
-def _fitted(panel: DataFrame, rows: DataFrame, sources: DataFrame, lags: int, train: DataFrame) -> DataFrame:
-    """The models of training ``features``, without sources that are proportional to better ones. Cross-products are summed once."""
-    sums = settle(models.gram(rows.join(train, ["series_id", "t"], "left_semi")))
-    pairs = models.proportional_pairs(panel, sources, lags, train, settle(models.nearly_proportional(sums, lags)))
-    return settle(models.fit_sums(sums, pairs, lags))
+def _fitted(panel: DataFrame, rows: DataFrame, sources: DataFrame, lags: int | None, train: DataFrame) -> DataFrame:
+    """The models of training ``features``, without sources that are proportional to better ones. Cross-products are summed once.
+
+    With ``lags`` None sources and training rows have a column lags.
+    """
+    sums = settle(models.gram(rows.join(train, ["series_id", "t", *(["lags"] if lags is None else [])], "left_semi")))
+    each = sources.select(*models.MODEL, "lags").distinct() if lags is None else lags
+    pairs = models.proportional_pairs(panel, sources, lags, train, settle(models.nearly_proportional(sums, each)))
+    return settle(models.fit_sums(sums, pairs, each))
 
 
 def budget_sweep_frames(panel: DataFrame, target: str, lags: int, cap: int, windows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,44 +121,49 @@ def validation_search(panel: DataFrame, target: str, lag_grid: list[int], thresh
 
     train: (series_id, train_end) and perhaps train_start; validation: (series_id,
     validation_end) and perhaps validation_start, which else follows the training. Rows
-    after the validation are never read. Cross-products are built once a lag for every
-    distinct source list.
+    after the validation are never read.
+
+    All cells go through one pass: correlations of the longest lag hold those of all shorter
+    ones, cells with equally many sources at a lag share a model, and models with lags of
+    their own are built, summed and fitted together.
     """
     spark = panel.sparkSession
     grid = spark.createDataFrame([(t, c) for t in thresholds for c in caps], "threshold double, cap int")
+    every = F.broadcast(spark.createDataFrame([(lags,) for lags in lag_grid], "lags int"))
     windows = train.join(validation.withColumnsRenamed({"validation_end": "test_end", "validation_start": "test_start"}), "series_id")
     seen = panel.join(windows.select("series_id", F.col("test_end").alias("_end")), "series_id").where("t <= _end").drop("_end")
-    out = None
-    for lags in lag_grid:
-        # every lag is scored on the same validation rows
-        labels = settle(split_rows(seen, target, 1, windows).where(~F.col("is_train") | (F.col("idx") >= lags)))
-        found = relations.ranked(training_relations(seen, target, lags, windows))
-        cells = found.crossJoin(F.broadcast(grid)).where("score > threshold")
-        lists = cells.groupBy("series_id", "threshold", "cap").agg(F.count(F.lit(1)).alias("retained"), F.least(F.count(F.lit(1)), F.first("cap")).cast("int").alias("k"))
-        # a cell admits the best k sources: models differ by k alone
-        sources = settle(found.join(lists.select("series_id", "k").distinct(), "series_id").where("rank <= k").select("series_id", F.col("k").cast("string").alias("model"), "source", "rank", F.col("weight").alias("scale")))
-        rows = models.features(seen, target, sources, lags)
-        own = labels.where("is_train").select("series_id", "t")
-        fitted = _fitted(seen, rows, sources, lags, own)
-        held = labels.where("not is_train")
-        predicted = models.predict(rows, fitted).join(held.select("series_id", "t", "persistence"), ["series_id", "t"])
-        value = F.coalesce("predicted", "persistence")
-        scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), value).alias("mae"), stats.rmse(F.col("y"), value).alias("rmse"))
-        base = evaluation.errors(held, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("validation_rows"))
-        base = base.join(own.groupBy("series_id").agg(F.count(F.lit(1)).alias("train_rows")), "series_id", "left").join(found.groupBy("series_id").agg(F.count(F.lit(1)).alias("candidates")), "series_id", "left")
-        ranks = lambda c: fitted.select(*models.MODEL, F.explode(c).alias("rank")).join(sources.select(*models.MODEL, "rank", "source"), [*models.MODEL, "rank"])  # noqa: B023, E731
-        part = base.crossJoin(F.broadcast(grid)).join(lists, ["series_id", "threshold", "cap"], "left").withColumn("model", F.col("k").cast("string"))
-        for more in (scored, fitted.select(*models.MODEL, "fit_status", "coefficients"), _names(sources, "sources"), _names(ranks("kept"), "used_sources"), _names(ranks("dropped"), "dropped_sources")):
-            part = part.join(more, ["series_id", "model"], "left")
-        k = F.coalesce("k", F.lit(0)).cast("long")
-        part = part.select(
-            "series_id", F.lit(lags).alias("lag_window"), "threshold", "cap", "candidates", F.coalesce("retained", F.lit(0)).alias("retained"), k.alias("n_sources"), F.coalesce("n_used_sources", F.lit(0)).alias("used"),
-            *[F.coalesce(c, F.lit("")).alias(c) for c in ("sources", "used_sources", "dropped_sources")], "coefficients", _status("fit_status", k).alias("fit_status"),
-            F.coalesce("mae", "persistence_mae").alias("validation_mae"), F.coalesce("rmse", "persistence_rmse").alias("validation_rmse"), "persistence_mae", "persistence_rmse",
-            stats.relative_change_pct(F.coalesce("mae", "persistence_mae"), "persistence_mae").alias("mae_vs_persistence_pct"), "train_rows", "validation_rows",
-        )
-        out = part if out is None else out.unionByName(part)
-    return settle(out)
+    labels = settle(split_rows(seen, target, 1, windows))
+    own = labels.where("is_train").crossJoin(every).where(F.col("idx") >= F.col("lags")).select("series_id", "lags", "t")
+    held = labels.where("not is_train")  # every lag is scored on the same rows
+    past = seen.join(windows, "series_id").where(_within(windows, "train_start", "train_end")).select(*panel.columns)
+    lagged = settle(relations.lagged_correlations(past, max(lag_grid), target))
+    best = relations.best_lags(lagged.join(every, F.col("lag") <= F.col("lags")), [*relations.EDGE, "lags"])
+    found = settle(relations.ranked(best, ("series_id", "target", "lags")))
+    name = F.concat_ws(":", "lags", "k")
+    lists = found.crossJoin(F.broadcast(grid)).where("score > threshold").groupBy("series_id", "lags", "threshold", "cap").agg(F.count(F.lit(1)).alias("retained"), F.least(F.count(F.lit(1)), F.first("cap")).cast("int").alias("k"))
+    # a cell admits the best k sources: models of a lag differ by k alone
+    sources = found.join(lists.select("series_id", "lags", "k").distinct(), ["series_id", "lags"]).where("rank <= k")
+    sources = settle(sources.select("series_id", name.alias("model"), "source", "rank", F.col("weight").alias("scale"), "lags"))
+    rows = models.features(seen, target, sources, None)
+    fitted = _fitted(seen, rows, sources, None, own)
+    predicted = models.predict(rows, fitted).join(held.select("series_id", "t", "persistence"), ["series_id", "t"])
+    value = F.coalesce("predicted", "persistence")
+    scored = predicted.groupBy("series_id", "model").agg(stats.mae(F.col("y"), value).alias("mae"), stats.rmse(F.col("y"), value).alias("rmse"))
+    base = evaluation.errors(held, "persistence").select("series_id", F.col("mae").alias("persistence_mae"), F.col("rmse").alias("persistence_rmse"), F.col("n").alias("validation_rows"))
+    ranks = lambda c: fitted.select(*models.MODEL, F.explode(c).alias("rank")).join(sources.select(*models.MODEL, "rank", "source"), [*models.MODEL, "rank"])
+    table = base.crossJoin(every).crossJoin(F.broadcast(grid))
+    table = table.join(own.groupBy("series_id", "lags").agg(F.count(F.lit(1)).alias("train_rows")), ["series_id", "lags"], "left")
+    table = table.join(found.groupBy("series_id", "lags").agg(F.count(F.lit(1)).alias("candidates")), ["series_id", "lags"], "left")
+    table = table.join(lists, ["series_id", "lags", "threshold", "cap"], "left").withColumn("model", F.when(F.col("k").isNotNull(), name))
+    for more in (scored, fitted.select(*models.MODEL, "fit_status", "coefficients"), _names(sources, "sources"), _names(ranks("kept"), "used_sources"), _names(ranks("dropped"), "dropped_sources")):
+        table = table.join(more, ["series_id", "model"], "left")
+    k = F.coalesce("k", F.lit(0)).cast("long")
+    return settle(table.select(
+        "series_id", F.col("lags").alias("lag_window"), "threshold", "cap", "candidates", F.coalesce("retained", F.lit(0)).alias("retained"), k.alias("n_sources"), F.coalesce("n_used_sources", F.lit(0)).alias("used"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("sources", "used_sources", "dropped_sources")], "coefficients", _status("fit_status", k).alias("fit_status"),
+        F.coalesce("mae", "persistence_mae").alias("validation_mae"), F.coalesce("rmse", "persistence_rmse").alias("validation_rmse"), "persistence_mae", "persistence_rmse",
+        stats.relative_change_pct(F.coalesce("mae", "persistence_mae"), "persistence_mae").alias("mae_vs_persistence_pct"), "train_rows", "validation_rows",
+    ))
 
 
 def select_cell(grid: DataFrame) -> DataFrame:
