@@ -165,9 +165,11 @@ def write_archives(docs: DataFrame, folder: str, id_column: str = "doc_id", text
     rows.mapInArrow(write, "archive string, members long, bytes long").write.parquet(f"{folder}/written")
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+class Ranges(InputPartition):
+    """Byte ranges (archive, start, end) that one task reads, one after another."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
@@ -178,29 +180,40 @@ class ArchiveReader(DataSourceReader):
         self.wait = float(options.get("wait", WAIT))
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
 
-    def partitions(self) -> list[Range]:
-        """Byte ranges of the reported archives; only their names and sizes are looked at."""
+    def partitions(self) -> list[Ranges]:
+        """Byte ranges of the reported archives; only their names and sizes are looked at.
+
+        Large archives are cut, small ones and the rests of large ones share a task, and ranges
+        grow with the total, so that there are some ``MOST_RANGES`` tasks at most.
+        """
         system, root = file_system(f"{self.folder}/written")
         written = ds.dataset(root, filesystem=system, format="parquet", schema=pa.schema([("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64())])).to_table()
-        # ranges grow with the total, so that their number stays bounded
-        step = max(self.range_bytes, (pc.sum(written["bytes"]).as_py() or 0) // MOST_RANGES)
-        return [Range(path, a, min(a + step, size)) for path, size in zip(written["archive"].to_pylist(), written["bytes"].to_pylist()) for a in range(0, size, step)] or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+        step = max(self.range_bytes, -(-(pc.sum(written["bytes"]).as_py() or 0) // MOST_RANGES))
+        tasks, held = [[]], 0
+        for path, size in sorted(zip(written["archive"].to_pylist(), written["bytes"].to_pylist())):
+            for start in range(0, size, step):
+                end = min(start + step, size)
+                if tasks[-1] and held >= step:
+                    tasks.append([])
+                    held = 0
+                tasks[-1].append((path, start, end))
+                held += end - start
+        return [Ranges(t) for t in tasks]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.folder)
         rows, held = [], 0
-        with system.open_input_file(partition.archive) as raw, zipfile.ZipFile(raw) as directory:
-            members = [m for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
         try:
-            for member in members:
-                media, error = self._member(system, partition.archive, member)
-                rows.append((partition.archive, member.header_offset, member.filename, media, error))
-                held += len(media or b"")
-                if held >= BATCH_BYTES or len(rows) >= 1024:
-                    yield self._batch(rows)
-                    rows, held = [], 0
+            for archive, start, end in partition.ranges:
+                with system.open_input_file(archive) as raw, zipfile.ZipFile(raw) as directory:
+                    members = [m for m in directory.infolist() if start <= m.header_offset < end]
+                for member in members:
+                    media, error = self._member(system, archive, member)
+                    rows.append((archive, member.header_offset, member.filename, media, error))
+                    held += len(media or b"")
+                    if held >= BATCH_BYTES or len(rows) >= 1024:
+                        yield self._batch(rows)
+                        rows, held = [], 0
             if rows:
                 yield self._batch(rows)
         finally:

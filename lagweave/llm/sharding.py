@@ -21,6 +21,8 @@ from . import storage
 
 HASH_BITS = 60
 MORE_BITS = 6
+#: Levels that are summed from the same cells.
+LEVELS = 3
 
 
 def key_hash(key: Column, text: Column) -> Column:
@@ -33,12 +35,27 @@ def _sums(n_rows: Column) -> list[Column]:
     return [F.sum("bytes").alias("bytes"), F.sum(n_rows).alias("n_rows"), F.min("low").alias("low"), F.max("high").alias("high")]
 
 
+def _rolled_up(cells: DataFrame, base: int, depth: int) -> DataFrame:
+    """Sums of cells of ``depth`` bits for all their prefixes of base bits on: (depth, prefix, sums), settled.
+
+    A few levels at a time are summed from the shallowest ones so far, of which there are fewer
+    and fewer, so a cell isn't copied once for every level.
+    """
+    out, at, top = None, depth, depth
+    while True:
+        low = max(base, top - LEVELS + 1)
+        rows = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(top)))).withColumn("prefix", F.expr(f"shiftright(cell, {at} - depth)"))
+        part = storage.settle(rows.groupBy("depth", "prefix").agg(*_sums(F.col("n_rows"))))
+        out = part if out is None else out.unionByName(part)
+        if low == base:
+            return out
+        cells, at, top = part.where(F.col("depth") == low).withColumn("cell", F.col("prefix")).drop("depth", "prefix"), low, low - 1
+
+
 def _round(rows: DataFrame, limit: int, base: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Buckets of depths base to ``depth`` of settled rows (h, bytes): the leaves among them, and cells still too large."""
     cells = rows.withColumns({"cell": F.shiftright("h", HASH_BITS - depth), "low": F.col("h"), "high": F.col("h")}).groupBy("cell").agg(*_sums(F.lit(1)))
-    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
-    levels = levels.groupBy("depth", "prefix").agg(*_sums(F.col("n_rows"))).withColumn("fits", (F.col("bytes") <= limit) | (F.col("low") == F.col("high")))
-    levels = storage.settle(levels)
+    levels = _rolled_up(cells, base, depth).withColumn("fits", (F.col("bytes") <= limit) | (F.col("low") == F.col("high")))
     parents = levels.where(~F.col("fits")).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
     below = levels.where("fits").withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi").drop("parent")
     # the shallowest level of a later round lies below buckets that were too large

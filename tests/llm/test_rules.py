@@ -394,10 +394,15 @@ def test_ranges_grow_with_the_total(monkeypatch, spark, tmp_path):
     folder = f"file://{tmp_path}/m"
     media.write_archives(documents(spark), folder, archive_bytes=4000)
     reader = media.ArchiveReader({"path": folder, "rangebytes": "100"})
-    many = len(reader.partitions())
+    read = lambda parts: sorted(tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist())
+    parts = reader.partitions()
+    many, rows = len(parts), read(parts)
     monkeypatch.setattr(media, "MOST_RANGES", 10)
-    archives = len({r.archive for r in reader.partitions()})
-    assert len(reader.partitions()) <= 10 + archives < many
+    parts = reader.partitions()
+    assert len(parts) <= 11 < many and any(len({archive for archive, _, _ in p.ranges}) > 1 for p in parts)
+    assert read(parts) == rows and len(rows) == documents(spark).count()  # each member once, however ranges share tasks
+    monkeypatch.setattr(media, "MOST_RANGES", 1)
+    assert read(reader.partitions()) == rows and len(reader.partitions()) <= 2
     assert media.file_system("dbfs:/x/y")[1] == "/dbfs/x/y" and media.file_system("/a/b")[1] == "/a/b" and media.file_system("file:/a/b")[1] == "/a/b"
 
 
