@@ -35,8 +35,16 @@ def hold_out(rows: DataFrame, share: int = 5) -> DataFrame:
     return rows.withColumn("is_test", F.col("idx") >= n - F.floor(n / share))
 
 
+def paired(forecasts: DataFrame, predicted: str) -> DataFrame:
+    """The rows, of which each must have both an actual and a forecast; one without the other is an error when the rows are read, and so is a NaN."""
+    a, p = F.col("actual"), F.col(predicted)
+    whole = a.isNotNull() & p.isNotNull() & ~F.isnan(a) & ~F.isnan(p)
+    checked = F.when(whole, p).otherwise(F.raise_error(F.concat(F.lit(f"actual and {predicted} must be paired: step "), F.coalesce(F.col("t").cast("string"), F.lit("NULL")))).cast("double"))
+    return forecasts.withColumn(predicted, checked)
+
+
 def errors(forecasts: DataFrame, predicted: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """MAE, RMSE and the number of rows with a forecast."""
+    """MAE, RMSE and the number of rows with a forecast. Rows without one don't count; ``paired`` makes them an error."""
     a, p = F.col("actual"), F.col(predicted)
     return forecasts.where(p.isNotNull()).groupBy(*keys).agg(stats.mae(a, p).alias("mae"), stats.rmse(a, p).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
@@ -181,7 +189,12 @@ def input_support(value: Column, low: Column, high: Column, margin: float = 0.25
     return F.when(low.isNull() | value.isNull(), None).when(width == 0, (value == low).cast("double")).when((value >= low) & (value <= high), 1.0).otherwise(stats.clamp01(1 - F.try_divide(away, width * margin)))
 
 
+def _support(uncertainty: Column, name: str) -> Column:
+    """1 / (1 + u): 1 where nothing is uncertain; a value below 0 is an error."""
+    return F.when(uncertainty < 0, F.raise_error(F.lit(f"{name} must not be below 0")).cast("double")).otherwise(1 / (1 + uncertainty))
+
+
 def prediction_confidence(stability: Column, parameter: Column, support: Column, residual: Column) -> Column:
-    """The mean of stability, support and the supports 1 / (1 + u) of two uncertainties, at most the input's support; NULL if any is."""
-    mean = (stability + 1 / (1 + parameter) + support + 1 / (1 + residual)) / 4
+    """The mean of stability, support and the supports 1 / (1 + u) of two uncertainties, at most the input's support; NULL if any is. Uncertainties below 0 are an error."""
+    mean = (stability + _support(parameter, "parameter uncertainty") + support + _support(residual, "residual uncertainty")) / 4
     return F.when(mean.isNotNull(), stats.clamp01(F.least(mean, support)))

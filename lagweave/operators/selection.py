@@ -132,9 +132,10 @@ def _of_family(rows: DataFrame, keys: tuple[str, ...], **figures: Column) -> Dat
     return rows.join(found, list(keys)) if keys else rows.crossJoin(F.broadcast(found))  # one row
 
 
-def noise_floor(samples: Column, comparisons: int, alpha: float = 0.05) -> Column:
-    """The correlation that noise reaches in that many comparisons."""
-    return stats.fisher_threshold(samples, stats.critical_z(alpha, comparisons))
+def noise_floor(samples: Column, comparisons: int, alpha: float = 0.05, strict: bool = False) -> Column:
+    """The correlation that noise reaches in that many comparisons; up to three samples it is NULL, or with ``strict`` an error."""
+    floor = stats.fisher_threshold(samples, stats.critical_z(alpha, comparisons))
+    return F.when(samples <= 3, F.raise_error(F.lit("a noise floor needs more than three samples")).cast("double")).otherwise(floor) if strict else floor
 
 
 def evidence_gate(relations: DataFrame, max_lag: int, alpha: float = 0.05, min_stability: float = 0.45, max_uncertainty: float = 0.20, min_support: float = 0.50, keys: tuple[str, ...] = ("series_id",), reference_samples: int | None = None) -> DataFrame:

@@ -85,3 +85,22 @@ def test_a_gate_over_all_panels(spark):
     assert len(got) == 30 and len({r.fdr_cutoff for r in got}) == 1
     most = max(r[6] for r in rows)
     assert all(math.isclose(r.support, min(1, r.sample_count / most)) for r in got) and {r.reason for r in got} <= {"selected", "below_fdr_corrected_effect", "insufficient_sample_support"}
+
+
+def test_unpaired_rows_negative_uncertainty_and_few_samples_are_errors(spark):
+    import pytest
+
+    whole = spark.createDataFrame([("s", 1, 2.0, 3.0), ("s", 2, 4.0, 1.0)], "series_id string, t long, actual double, p double")
+    assert evaluation.errors(evaluation.paired(whole, "p"), "p").first().mae == 2.0
+    for row in (("s", 3, None, 1.0), ("s", 3, 1.0, None), ("s", 3, 1.0, float("nan"))):
+        with pytest.raises(Exception, match="paired: step 3"):
+            evaluation.errors(evaluation.paired(whole.unionByName(spark.createDataFrame([row], whole.schema)), "p"), "p").collect()
+    at = lambda *v: spark.range(1).select(evaluation.prediction_confidence(*[F.lit(x).cast("double") for x in v]).alias("c")).first().c
+    assert at(0.8, 0.0, 0.9, 1.0) == (0.8 + 1 + 0.9 + 0.5) / 4 and at(0.8, None, 0.9, 1.0) is None
+    for v, name in (((0.8, -0.1, 0.9, 1.0), "parameter"), ((0.8, 0.1, 0.9, -1.0), "residual")):
+        with pytest.raises(Exception, match=f"{name} uncertainty"):
+            at(*v)
+    floor = lambda n, **k: spark.range(1).select(selection.noise_floor(F.lit(n), 6, **k).alias("f")).first().f
+    assert floor(3) is None and floor(191) == floor(191, strict=True) and math.isclose(floor(191), 0.1896, abs_tol=5e-5)
+    with pytest.raises(Exception, match="more than three"):
+        floor(3, strict=True)
