@@ -204,7 +204,7 @@ def test_languages_of_awkward_rows(spark):
 
 
 def test_queries_and_stages():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5 and {*queries.oracle_sql()} <= {*queries.queries()}
 
 
