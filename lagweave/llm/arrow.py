@@ -23,17 +23,17 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
-def map_texts(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, columns: list[str | Column]) -> DataFrame:
+def map_texts(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, columns: list[str | Column], slice_bytes: int = ragged.SLICE_BYTES) -> DataFrame:
     """Apply ``function`` to slices of the given columns, of which one is called text.
 
-    One pass without a shuffle. A slice has at most ``ragged.SLICE_BYTES`` of text or is one
+    One pass without a shuffle. A slice has at most ``slice_bytes`` of text or is one
     row, so memory follows the longest text and not the partition.
     """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.slices(batch):
+            for part in ragged.slices(batch, limit=slice_bytes):
                 out = function(part)
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
@@ -43,7 +43,7 @@ def map_texts(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def fold_texts(docs: DataFrame, start: Callable[[], object], add: Callable[[object, pa.Array], None], finish: Callable[[object], pa.RecordBatch | None], schema: str, text_column: str = "text") -> DataFrame:
+def fold_texts(docs: DataFrame, start: Callable[[], object], add: Callable[[object, pa.Array], None], finish: Callable[[object], pa.RecordBatch | None], schema: str, text_column: str = "text", slice_bytes: int = ragged.SLICE_BYTES) -> DataFrame:
     """One state a partition: made by ``start``, changed by ``add`` for each slice of texts, given out once by ``finish``.
 
     One pass without a shuffle, for sums of bounded size over texts of any number.
@@ -53,7 +53,7 @@ def fold_texts(docs: DataFrame, start: Callable[[], object], add: Callable[[obje
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start()
         for batch in batches:
-            for part in ragged.slices(batch, 0):
+            for part in ragged.slices(batch, 0, slice_bytes):
                 add(state, part.column(0))
         out = finish(state)
         if out is not None:
@@ -98,14 +98,14 @@ def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def filter_texts(docs: DataFrame, keeps: Callable[[pa.Array], np.ndarray], text_column: str = "text") -> DataFrame:
+def filter_texts(docs: DataFrame, keeps: Callable[[pa.Array], np.ndarray], text_column: str = "text", slice_bytes: int = ragged.SLICE_BYTES) -> DataFrame:
     """The rows of ``docs``, with all columns, whose texts ``keeps`` is true for. One pass without a shuffle."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.slices(batch, at):
+            for part in ragged.slices(batch, at, slice_bytes):
                 yield part.filter(pa.array(keeps(part.column(at)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -13,7 +13,9 @@ feature slots, settled as a table; each round sums the gradient of all blocks on
 executors, and only ``BLOCKS`` sums of the table's size reach the driver.
 
 Prediction is one pass without a shuffle. Long texts are cut into segments whose transfer
-matrices are multiplied, so that the result is exact and the number of steps bounded.
+matrices are multiplied, so that the result is exact and the number of steps bounded. Words
+are scored once for each different word of a slice; their features are made for some words at
+a time and added to the scores at once, and probabilities for some texts at a time.
 """
 
 from __future__ import annotations
@@ -36,60 +38,96 @@ ROUNDS = (20, 15)
 LONG, EVIDENCE = 20, 0.6
 TABLE_BITS = 16
 SEGMENT = 256
+#: Bytes of words whose features are made at once, and scores (words times languages) whose probabilities are, or those of one text.
+AT_ONCE, CELLS_AT_ONCE = 1 << 18, 1 << 20
+#: Bytes of text in a slice that is labelled: words seen before save time, and fewer take less memory.
+SLICE_BYTES = 2 << 20
 UNDETERMINED = "und"
 
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[65:91] = _LETTER_BYTE[97:123] = _LETTER_BYTE[128:] = True
+_ASCII_LETTER = _LETTER_BYTE & (np.arange(256) < 128)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _fold(buf: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and Latin-1 letters, byte by byte."""
-    out = buf + np.where((buf >= 65) & (buf <= 90), 32, 0).astype(np.uint8)
+    out = _LOWER[buf]
     if len(buf) > 1:
-        out[1:] += np.where((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E), 32, 0).astype(np.uint8)
+        out[1:] += ((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)).view(np.uint8) << np.uint8(5)
     return out
 
 
 def cores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word from its first to its last letter; empty if it has none."""
-    at = np.flatnonzero(_LETTER_BYTE[buf])
-    if not len(at):
-        return starts, starts
-    low, high = np.searchsorted(at, starts), np.searchsorted(at, ends) - 1
-    has = low <= high
-    return np.where(has, at[np.minimum(low, len(at) - 1)], starts), np.where(has, at[np.maximum(high, 0)] + 1, starts)
+    first, end = starts.copy(), starts.copy()
+    for a, b in ragged.runs(ends - starts, AT_ONCE):
+        begin = starts[a]
+        at = np.flatnonzero(_LETTER_BYTE[buf[begin : ends[b - 1]]]) + begin
+        low, high = np.searchsorted(at, starts[a:b]), np.searchsorted(at, ends[a:b]) - 1
+        has = np.flatnonzero(low <= high)
+        first[a + has], end[a + has] = at[low[has]], at[high[has]] + 1
+    return first, end
+
+
+def with_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have a letter. Characters are looked up only in texts without an ASCII letter."""
+    out = np.zeros(len(offsets) - 1, bool)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.logical_or.reduceat(_ASCII_LETTER[buf], offsets[full])
+    for i in full[~out[full]].tolist():
+        code = pretokens.characters(buf[offsets[i] : offsets[i + 1]])[1]
+        out[i] = (pretokens.class_table()[code] == pretokens.LETTER).any()
+    return out
+
+
+def entry_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words, in parts of bounded size: (word, slot) of each entry, by word. Words without letters have none."""
+    full = np.flatnonzero(ends > starts)
+    slot = lambda value, kind: (ragged.mix(value * ragged.U64(16) + ragged.U64(kind)) >> ragged.U64(64 - TABLE_BITS)).astype(np.int64)
+    for a, b in ragged.runs(ends[full] - starts[full] + 2, AT_ONCE):
+        own = full[a:b]
+        sizes = ends[own] - starts[own]
+        edge = ragged.bounds(sizes + 2)  # each word between two spaces
+        flat = np.full(int(edge[-1]), 32, np.uint8)
+        inside = np.ones(len(flat), bool)
+        inside[edge[:-1]] = inside[edge[1:] - 1] = False
+        flat[inside] = ragged.gather(buf, starts[own], sizes)
+        at = ragged.lanes(flat)
+        for begin in range(0, len(flat), AT_ONCE):
+            position = np.arange(begin, min(begin + AT_ONCE, len(flat)))
+            word = np.searchsorted(edge, position, "right") - 1
+            left = edge[word + 1] - position
+            for n in (2, 3, 4):
+                ok = np.flatnonzero(left >= n)
+                yield own[word[ok]], slot(at[position[ok]] & ragged.U64((1 << 8 * n) - 1), n)
+        for kind, n in ((5, 3), (6, 4)):
+            long = np.flatnonzero(sizes >= n)
+            mask = ragged.U64((1 << 8 * n) - 1)
+            yield own[long], slot(at[edge[long] + 1] & mask, kind)
+            yield own[long], slot(at[edge[long + 1] - 1 - n] & mask, kind + 2)
+        yield own, slot(ragged.span_hashes(flat, edge[:-1], edge[1:]), 9)
 
 
 def word_entries(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of words: (word, slot) of each entry. Words without letters have none."""
-    own = np.flatnonzero(ends > starts)
-    sizes = ends[own] - starts[own]
-    if not len(own):
-        return own, own
-    edge = ragged.bounds(sizes + 2)  # each word between two spaces
-    flat = np.full(int(edge[-1]), 32, np.uint8)
-    inside = np.ones(len(flat), bool)
-    inside[edge[:-1]] = inside[edge[1:] - 1] = False
-    flat[inside] = ragged.gather(buf, starts[own], sizes)
-    at = ragged.lanes(flat)
-    word = np.repeat(np.arange(len(own)), sizes + 2)
-    position = np.arange(len(flat))
-    owners, slots = [], []
-
-    def add(who: np.ndarray, value: np.ndarray, kind: int) -> None:
-        owners.append(own[who])
-        slots.append((ragged.mix(value * ragged.U64(16) + ragged.U64(kind)) >> ragged.U64(64 - TABLE_BITS)).astype(np.int64))
-
-    for n in (2, 3, 4):
-        begin = np.flatnonzero(position + n <= edge[word + 1])
-        add(word[begin], at[begin] & ragged.U64((1 << 8 * n) - 1), n)
-    for kind, n in ((5, 3), (6, 4)):
-        long = np.flatnonzero(sizes >= n)
-        mask = ragged.U64((1 << 8 * n) - 1)
-        add(long, at[edge[long] + 1] & mask, kind)
-        add(long, at[edge[long + 1] - 1 - n] & mask, kind + 2)
-    add(np.arange(len(own)), ragged.span_hashes(flat, edge[:-1], edge[1:]), 9)
-    return np.concatenate(owners), np.concatenate(slots)
+    """All of ``entry_parts`` at once."""
+    none = np.zeros(0, np.int64)
+    parts = [(none, none), *entry_parts(buf, starts, ends)]
+    return np.concatenate([word for word, _ in parts]), np.concatenate([slot for _, slot in parts])
+
+
+def span_scores(weights: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ``emissions`` of words given as spans, without holding the entries of all."""
+    total, count = np.zeros((len(starts), weights.shape[1])), np.zeros(len(starts))
+    for word, slot in entry_parts(buf, starts, ends):
+        if len(word):
+            low, high = int(word[0]), int(word[-1]) + 1
+            count[low:high] += np.bincount(word - low)
+            for k in range(weights.shape[1]):
+                total[low:high, k] += np.bincount(word - low, weights[slot, k])
+    return total / np.sqrt(np.maximum(count, 1))[:, None]
 
 
 def emissions(weights: np.ndarray, entries: tuple[np.ndarray, np.ndarray], n_words: int) -> np.ndarray:
@@ -175,13 +213,17 @@ class ChainModel:
         if not len(starts) or not k:
             return np.zeros((n, k)), np.zeros(n), np.zeros(n)
         index, inverse = ragged.unique_spans(buf, starts, ends)
-        scores = emissions(self.weights, word_entries(buf, starts[index], ends[index]), len(index))[inverse]
-        gamma, _ = posteriors(scores, first, self.transitions)
+        of_word = span_scores(self.weights, buf, starts[index], ends[index])
         real = (ends > starts).astype(float)
-        counts = ragged.sums(real, first)
-        totals = np.stack([ragged.sums(gamma[:, j] * real, first) for j in range(k)], 1)
-        evidence = ragged.sums(scores.max(1) * real, first) / np.maximum(counts, 1)
-        return totals / np.maximum(counts, 1)[:, None], counts, evidence
+        counts, totals, evidence = ragged.sums(real, first), np.zeros((n, k)), np.zeros(n)
+        for a, b in ragged.runs(np.diff(first), max(CELLS_AT_ONCE // k, 1)):
+            own, edges = slice(first[a], first[b]), first[a : b + 1] - first[a]
+            scores = of_word[inverse[own]]
+            gamma, _ = posteriors(scores, edges, self.transitions)
+            for j in range(k):
+                totals[a:b, j] = ragged.sums(gamma[:, j] * real[own], edges)
+            evidence[a:b] = ragged.sums(scores.max(1) * real[own], edges)
+        return totals / np.maximum(counts, 1)[:, None], counts, evidence / np.maximum(counts, 1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Each text's language and its share of the words; ``und`` and 0 without a letter."""
@@ -191,10 +233,7 @@ class ChainModel:
         """As ``predict``, and the mean evidence of each text's words."""
         buf, offsets = ragged.text_bytes(texts)
         shares, counts, evidence = self.documents(buf, offsets)
-        at, code = pretokens.characters(buf)
-        letters = ragged.bounds(pretokens.class_table()[code] == pretokens.LETTER)
-        edge = np.searchsorted(at, offsets)
-        known = (letters[edge[1:]] > letters[edge[:-1]]) & bool(self.languages)
+        known = with_letter(buf, offsets) & bool(self.languages)
         best = shares.argmax(1) if self.languages else np.zeros(len(counts), int)
         names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())]
         return names, np.where(known, np.clip(shares.max(1, initial=0.0), 0, 1), 0.0), evidence
@@ -213,7 +252,7 @@ class _Adam:
 
 @dataclass
 class Block:
-    """Words of some whole texts: entries (word kind, slot), each word's kind, each text's first word and label, and word labels if known."""
+    """Words of some whole texts: entries (word kind, slot), each word's kind, each text's first word and label, and word labels if known. Rows hold 32 bits a number."""
 
     kind: np.ndarray
     slot: np.ndarray
@@ -235,11 +274,11 @@ class Block:
     @classmethod
     def read(cls, batch: pa.RecordBatch) -> Iterator[Block]:
         for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            yield cls(*(np.frombuffer(x, np.int64) for x in row))
+            yield cls(*(np.frombuffer(x, np.int32).astype(np.int64) for x in row))
 
     def row(self) -> pa.RecordBatch:
         parts = (self.kind, self.slot, self.words, self.first, self.label, self.gold)
-        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in parts], [c.split()[0] for c in self.SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in parts], [c.split()[0] for c in self.SCHEMA.split(", ")])
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         n = int(self.words.max(initial=-1)) + 1
@@ -387,7 +426,7 @@ def label_documents(docs: DataFrame, model: ChainModel, keep: list[str], text_co
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(languages, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
-    found = arrow.map_texts(docs, label, schema, [*columns, F.col(f"`{text_column}`").alias("text")])
+    found = arrow.map_texts(docs, label, schema, [*columns, F.col(f"`{text_column}`").alias("text")], SLICE_BYTES)
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 
@@ -403,7 +442,7 @@ def keep_identified(docs: DataFrame, model: ChainModel, least: float = 0.35, tex
         languages, score, evidence = model.judge(texts)
         return (np.array(languages, object) != UNDETERMINED) & (score >= least) & (evidence >= model.floor)
 
-    return arrow.filter_texts(docs, keeps, text_column)
+    return arrow.filter_texts(docs, keeps, text_column, SLICE_BYTES)
 
 
 def document_languages(docs: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def commonness(docs: DataFrame, text_column: str = "text") -> np.ndarray:
         own = np.flatnonzero(flat)
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat[own])], ["cell", "n"])
 
-    sums = arrow.fold_texts(docs, lambda: np.zeros((COUNT_ROWS, 1 << CELL_BITS), np.int64), add, finish, "cell long, n long", text_column)
+    sums = arrow.fold_texts(docs, lambda: np.zeros((COUNT_ROWS, 1 << CELL_BITS), np.int64), add, finish, "cell long, n long", text_column, ragged.SMALL_SLICE_BYTES)
     found = sums.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most COUNT_ROWS x 2 ^ CELL_BITS rows
     counts = np.zeros(COUNT_ROWS << CELL_BITS)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
@@ -137,7 +137,7 @@ def distinct_sets(docs: DataFrame, common: np.ndarray, least: float, id_column:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(edges)), _binary(fingerprints(hashes, edges)), prefix], ["id", "key", "n", "fp", "prefix"])
 
     columns = [F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")]
-    rows = arrow.map_texts(docs, run, "id long, key binary, n long, fp binary, prefix array<long>", columns)
+    rows = arrow.map_texts(docs, run, "id long, key binary, n long, fp binary, prefix array<long>", columns, ragged.SMALL_SLICE_BYTES)
     sets = rows.groupBy("key").agg(F.min("id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
     return storage.settle(sets.withColumn("sid", F.monotonically_increasing_id()))
 
@@ -432,7 +432,7 @@ def classes(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id", text
         raw = [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array([set_key(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary()), _binary(fingerprints(hashes, edges)), pa.array(raw, pa.binary())], ["key", "fp", "shingles"])
 
-    whole = arrow.map_texts(own, run, "key binary, fp binary, shingles binary", [F.col(at(text_column)).alias("text")])
+    whole = arrow.map_texts(own, run, "key binary, fp binary, shingles binary", [F.col(at(text_column)).alias("text")], ragged.SMALL_SLICE_BYTES)
     whole = whole.join(some, F.col("key") == F.col("k")).groupBy(F.col("group").alias("root"), "sid").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     return sets, components.components(exact_links(storage.settle(whole), least, part_bytes))
 
@@ -468,7 +468,7 @@ def keep_one_each(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id"
             keys = pa.array([set_key(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), keys], [*names, "key"])
 
-        marked = arrow.map_texts(several, run, schema, [*plain.columns, F.col(at(text_column)).alias("text")])
+        marked = arrow.map_texts(several, run, schema, [*plain.columns, F.col(at(text_column)).alias("text")], ragged.SMALL_SLICE_BYTES)
         wanted = some.select(F.col("least_id").alias("l"), F.col("key").alias("k"))
         marked = marked.join(wanted, mine.eqNullSafe(F.col("l")) & (F.col("key") == F.col("k")), "left_semi")
         merged_rows = marked.groupBy(mine.alias("l"), "key").agg(F.first(F.struct(*plain.columns)).alias("row"))

@@ -164,7 +164,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         bags = [x[a:b].ravel() for a, b in zip(edges[:-1], edges[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
-    found = arrow.map_texts(rows, encode, "doc_id long, label int, x array<float>", ["doc_id", F.col("label").cast("int").alias("label"), "text"])
+    found = arrow.map_texts(rows, encode, "doc_id long, label int, x array<float>", ["doc_id", F.col("label").cast("int").alias("label"), "text"], ragged.SMALL_SLICE_BYTES)
     found = found.toPandas().sort_values("doc_id")  # at most ``sample`` rows
     sizes = np.array([len(v) // N_FEATURES for v in found["x"]], np.int64)
     x = np.concatenate([np.zeros(0, np.float32), *found["x"]]).reshape(-1, N_FEATURES)
@@ -185,7 +185,7 @@ def score_documents(docs: DataFrame, model: AttentionModel, keep: list[str], thr
         return pa.RecordBatch.from_arrays([*columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*(f"_keep_{i}" for i in range(len(fields))), "score", "predicted"])
 
     columns = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    scored = arrow.map_texts(docs, score, schema, [*columns, F.col(f"`{text_column}`").alias("text")])
+    scored = arrow.map_texts(docs, score, schema, [*columns, F.col(f"`{text_column}`").alias("text")], ragged.SMALL_SLICE_BYTES)
     return scored.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
 
 
@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts score the threshold or more, with all columns. Null and empty texts are scored like any; repeated rows are each kept or not."""
-    return arrow.filter_texts(docs, lambda texts: model.score(*passage_features(*ragged.text_bytes(texts))) >= threshold, text_column)
+    return arrow.filter_texts(docs, lambda texts: model.score(*passage_features(*ragged.text_bytes(texts))) >= threshold, text_column, ragged.SMALL_SLICE_BYTES)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once; one longer text is handled alone. Kernels that gain nothing from words seen before take the smaller slices.
+SLICE_BYTES, SMALL_SLICE_BYTES = 4 << 20, 1 << 20
 
 U64 = np.uint64
 _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -112,6 +112,15 @@ def bounds(sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (low, high) of items whose sizes sum to at most ``limit``, or of one larger item."""
+    total, low = bounds(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + limit, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The sum of ``values[edges[i] : edges[i + 1]]`` for each i; empty runs give 0."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,6 +191,55 @@ def test_unlearned_languages_go(spark):
     assert langid.keep_identified(clean, model).count() == clean.count()
 
 
+def _peak(function):
+    tracemalloc.start()
+    function()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_scoring_takes_bounded_memory():
+    """Features of many different words, and of one long word, are made some at a time."""
+    rng, k = np.random.default_rng(3), 3
+    model = langid.ChainModel(list("abc"), rng.normal(0, 0.3, (1 << langid.TABLE_BITS, k)).astype(np.float32), np.eye(k))
+    spread = " ".join("".join(map(chr, rng.integers(97, 123, 20))) for _ in range(50_000))
+    for text in (spread, spread.replace(" ", "")):
+        assert _peak(lambda: model.judge(pa.array([text]))) < 50 * len(text)
+    buf, offsets = ragged.pack_bytes([spread.encode()])
+    block = langid.Block.of_texts(buf, offsets, np.zeros(1, np.int64))
+    assert block.row().nbytes < 1.1 * 4 * sum(len(x) for x in vars(block).values())
+
+
+def test_slices_of_stages_are_bounded(spark, monkeypatch):
+    """What a stage handles at once is bounded by its slice and not by the batch; rows stay the same."""
+    docs, labels, _ = labelled(spark, 60)
+    good, chain = quality.learn(docs, labels), langid.learn(docs)
+    ids = lambda d: sorted(r.doc_id for r in d.collect())
+    want = ids(quality.keep_good(docs, good)), ids(langid.keep_identified(docs, chain))
+    monkeypatch.setattr(ragged, "SMALL_SLICE_BYTES", 1000)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 1000)
+    assert (ids(quality.keep_good(docs, good)), ids(langid.keep_identified(docs, chain))) == want and want[0] and want[1]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 50])
+def test_words_scored_in_parts(monkeypatch, at_once):
+    """Parts of any size give the scores of all features at once, and letters are those of characters."""
+    rows = pa.array([*texts(3, 20), "", None, "12 34", "\u6f22\u5b57 12", "---"], pa.string())
+    rng, k = np.random.default_rng(4), 3
+    model = langid.ChainModel(list("abc"), rng.normal(0, 0.3, (1 << langid.TABLE_BITS, k)), rng.normal(size=(k, k)))
+    buf, offsets = ragged.text_bytes(rows)
+    starts, ends = langid.cores(buf, *ragged.words(buf, offsets)[:2])
+    whole, judged = langid.emissions(model.weights, langid.word_entries(buf, starts, ends), len(starts)), model.judge(rows)
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    monkeypatch.setattr(langid, "CELLS_AT_ONCE", at_once)
+    assert all(np.array_equal(a, b) for a, b in zip(langid.cores(buf, starts, ends), (starts, ends)))
+    assert np.allclose(langid.span_scores(model.weights, buf, starts, ends), whole)
+    again = model.judge(rows)
+    assert again[0] == judged[0] and all(np.allclose(a, b) for a, b in zip(again[1:], judged[1:]))
+    assert langid.with_letter(buf, offsets).tolist() == [any(c.isalpha() for c in t or "") for t in rows.to_pylist()]
+
+
 def test_languages_of_awkward_rows(spark):
     docs, _, _ = labelled(spark, 60)
     model, odd = langid.learn(docs), documents(spark)
